@@ -1,0 +1,406 @@
+"""Each corpus operator against a plain Python version, with nulls, empty and long texts, ties, repeated rows, empty
+tables and extra columns of clashing names."""
+
+import hashlib
+import io
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tickframe.llm import chat_format, decontamination, licence_scan, line_dedup, near_dedup, quality_classifier, quality_rules, secret_scan, source_mixing, warc_zip
+from tickframe.llm.queries import PLANTED, TOKENIZER
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+VOCAB = [a + b for a in ("ba", "de", "fi", "go", "lu", "mé", "ÑA", "sto") for b in ("n", "rt", "s", "lk", "que", "")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCAB) + str(rng.randrange(40)) for _ in range(n))
+
+
+def corpus(seed=3, n=60):
+    rng = random.Random(seed)
+    texts = ["\n".join(prose(rng, rng.randrange(3, 40)) for _ in range(rng.randrange(1, 6))) for _ in range(n)]
+    base = prose(rng, 120)
+    for k in range(12):  # near copies, each with a word or two changed
+        words = base.split()
+        for _ in range(rng.randrange(0, 3)):
+            words[rng.randrange(len(words))] = f"new{k}"
+        texts.append(" ".join(words))
+    texts += [texts[0], texts[0], texts[1].upper(), None, "", "one two", "one two", "  \t\n ", prose(rng, 20_000), "a b c d\n" * 300]
+    rows = [(i, t, "en", f"src{i % 5}" if i % 11 else None, len(t or "")) for i, t in enumerate(texts)]
+    return rows + [(None, "null id text", None, None, 3), rows[2]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(3).cache()
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def low(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_quality_rules(spark, docs):
+    for r in quality_rules.apply_policy(quality_rules.ledger(docs)).collect():
+        w = words(r.text)
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        seen = Counter(tri)
+        covered = {i + o for i, x in enumerate(tri) if seen[x] > 1 for o in range(3)}
+        ls = [x for x in (r.text or "").split("\n") if words(x)]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(ls) - len(set(ls)), len(covered))
+        assert bool(r.fail_bits & 1) == (len(w) < 50) and bool(r.fail_bits & 2) == (100 * len(covered) > 50 * len(w))
+        assert r.kept == (r.fail_bits & quality_rules.mask("v2") == 0)
+
+
+def test_quality_rules_long_way_agrees(spark, docs):
+    w = F.split(F.btrim(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", -1)
+    slow = quality_rules.let(w, lambda x: F.when(F.size(x) < 4, 0).otherwise(quality_rules.let(quality_rules._places_by_hash(x), quality_rules._covered)))
+    assert docs.where(slow != quality_rules.let(w, quality_rules._repeat_words)).count() == 0
+
+
+def test_quality_ablations(spark, docs):
+    rows = quality_rules.ledger(docs.withColumn("n_words", F.lit("clash"))).collect()
+    for r in quality_rules.ablations(quality_rules.ledger(docs), "v3").collect():
+        bit, mask = quality_rules.mask((r.rule,)), quality_rules.mask("v3")
+        assert r.fails == sum(bool(x.fail_bits & bit) for x in rows)
+        assert r.fails_alone == sum(x.fail_bits & mask == bit for x in rows)
+        assert r.kept_without == sum(x.fail_bits & mask & ~bit == 0 for x in rows)
+
+
+def test_line_dedup(spark, docs):
+    rows = docs.collect()
+    key = lambda line: low(line.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for r in rows:
+        for line in (r.text or "").split("\n"):
+            if r.doc_id is not None and len(key(line)) >= 10:
+                holders.setdefault(key(line), set()).add(r.doc_id)
+    expect = Counter()
+    for r in rows:
+        ls = (r.text or "").split("\n")
+        kept = [x for x in ls if r.doc_id is None or len(h := holders.get(key(x), ())) < 2 or min(h) == r.doc_id]
+        expect[(r.doc_id, "\n".join(kept), len(ls), len(ls) - len(kept))] += 1
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(docs.withColumn("n_lines", F.lit("clash"))).collect())
+    assert got == expect and sum(x[3] for x in got) > 0
+
+
+def shingles(t, n=4):
+    w = low(t).split()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def brute_components(rows):
+    sets = [(r.doc_id, shingles(r.text)) for r in rows]
+    up = {r.doc_id: r.doc_id for r in rows if r.doc_id is not None}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[:i]:
+            if s and t and a is not None and b is not None and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return Counter((d, len(s), root(d) if d is not None else None) for d, s in sets)
+
+
+def test_near_classes(spark, docs):
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_classes(docs).collect())
+    assert got == brute_components(docs.collect())
+    kept = near_dedup.near_dedup(docs, shingle=4).select("doc_id").distinct().count()
+    assert kept == len({c for _, _, c in got})
+
+
+def test_near_classes_of_a_drifting_group(spark):
+    """No text is near all others: links must be found beyond one star."""
+    rng = random.Random(9)
+    text, rows = prose(rng, 200).split(), []
+    for k in range(60):
+        text[rng.randrange(200)] = f"w{k}"
+        if k % 2:
+            text[rng.randrange(200)] = f"v{k}"
+        rows.append((k, " ".join(text), "en", "s", 1))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, DOCS)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_classes(df).collect())
+    assert got == brute_components(df.collect())
+
+
+def test_posterior_bounds():
+    for n, need in near_dedup.least_matches(160, 0.8, 1e-6):
+        assert 0 < need < 0.8 * n and near_dedup._beta_tail(need - 1, n, 0.8) < 1e-6 <= near_dedup._beta_tail(need, n, 0.8)
+
+
+def test_components_of_paths(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (95, 100), (7, 7)]
+    got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90}
+
+
+def plain_distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i, x in enumerate(p, 1):
+        new = [i]
+        for j, y in enumerate(t, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_myers_is_the_edit_distance():
+    rng = random.Random(1)
+    for _ in range(300):
+        p, t = ([rng.choice("abcd") for _ in range(rng.randrange(1, 90))] for _ in range(2))
+        assert decontamination.myers(p, t)[0] == plain_distance(p, t)
+
+
+def test_decontamination(spark):
+    rng = random.Random(4)
+    items = [(k, prose(rng, rng.randrange(9, 60)).capitalize() + ".") for k in range(20)] + [(20, None), (21, "too short"), (None, prose(rng, 20))]
+    rows = []
+    for d in range(80):
+        w = prose(rng, 150).split()
+        if d % 3 == 0:
+            p = (items[d % 20][1]).split()
+            for _ in range(rng.randrange(0, 7)):
+                k = rng.randrange(len(p))
+                p = rng.choice([p[:k] + ["edit"] + p[k + 1 :], p[:k] + p[k + 1 :], p[:k] + ["more"] + p[k:]])
+            k = rng.choice([0, rng.randrange(150), 150])
+            w[k:k] = p
+        rows.append((d, " ".join(w).replace("o", "O"), "en", "s", 0))
+    rows += [(None, items[3][1], None, None, None), (98, None, "", "", 0), (99, "", "", "", 0), (4, "  ", "x", "y", 1)]
+    expect = set()
+    for d, t, *_ in rows:
+        ws = decontamination.words_of(t)
+        for i, x in items:
+            p = decontamination.words_of(x)
+            if i is not None and len(p) >= 8 and ws and (n := plain_distance(p, ws)) <= decontamination.budget(len(p)):
+                expect.add((d, i, n))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    for block in (8_000_000, 1000):
+        got = decontamination.contamination(docs, bench, block_chars=block).collect()
+        assert sorted(map(str, {(r.doc_id, r.item_id, r.distance) for r in got})) == sorted(map(str, expect)) and len(got) == len(expect)
+    assert len(expect) > 15
+    clean = {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()}
+    assert clean == {d for d, *_ in rows} - {d for d, *_ in expect} | {None}
+
+
+def test_source_mixing(spark, docs):
+    rows = source_mixing.mix_documents(docs, shards=8, blocks=64).collect()
+    again = source_mixing.mix_documents(docs.repartition(7), shards=8, blocks=64).collect()
+    assert Counter(map(str, rows)) == Counter(map(str, again)) and len(rows) == docs.count()
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(words(r.text))
+    order = sorted(k for k in sizes if k is not None) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, goal, open_ = {}, 1.5 * sum(sizes.values()), set(order)
+    while over := {s for s in open_ if (goal - sum(target.values())) * weight[s] / sum(weight[x] for x in open_) > 2 * sizes[s]}:
+        target |= {s: 2.0 * sizes[s] for s in over}
+        open_ -= over
+    left = goal - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    taken = Counter()
+    for r in rows:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) and r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    largest = max(r.size for r in rows)
+    for s in order:
+        assert abs(taken[s] - target[s]) <= largest
+
+
+def test_mixture_shards(spark, docs):
+    mixed = source_mixing.mixture(docs.withColumn("shard", F.lit("clash")), shards=4, blocks=256)
+    per = {r.doc_id: r.taken for r in source_mixing.mix_documents(docs, shards=4, blocks=256).where("doc_id is not null").dropDuplicates(["doc_id"]).collect()}
+    got = Counter()
+    for r in mixed.dropDuplicates(["doc_id", "epoch"]).collect():
+        got[r.doc_id] += len(words(r.text))
+    assert {k: v for k, v in got.items() if v and k is not None} == {k: v for k, v in per.items() if v}
+    assert set(mixed.columns) == {"doc_id", "text", "lang", "source", "n_chars", "epoch", "shard", "place"}
+
+
+def test_tree_gives_exact_quotas():
+    import pandas as pd
+
+    quotas = pd.DataFrame({"rank": [0, 1, 2], "quota": [100, 1, 37]})
+    out = source_mixing._tree(7, 5)(quotas)
+    assert out.groupby("rank")["quota"].sum().to_dict() == {0: 100, 1: 1, 2: 37}
+    assert sorted(out.groupby("shard")["quota"].sum()) == [19, 19, 20, 20, 20, 20, 20]
+
+
+PAGES = [(k, f"http://x/{k}\nq", f"<p>é{k % 7}</p>" if k % 10 else None) for k in range(40)] + [(50, None, ""), (None, "u", "<p>é1</p>"), (3, "dup", "<p>é3</p>"), (60, "long", "x" * 400_000)]
+
+
+@pytest.mark.parametrize("least,limit", [(0, 10**9), (5, 300)])
+def test_warc(spark, least, limit):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("sha", F.lit("clash")).repartition(3)
+    manifest = warc_zip.write_archives(pages, least_bytes=least, max_bytes=limit)
+    assert manifest.agg(F.sum("records")).first()[0] == len(PAGES)
+    first = {}
+    for p, _, h in PAGES:
+        if p is not None:
+            first[h or ""] = min(p, first.get(h or "", p))
+    expect = Counter()
+    for p, _, h in PAGES:
+        b = (h or "").encode()
+        r = None if p is None or len(b) < least or first[h or ""] == p else first[h or ""]
+        expect[(p, len(b), warc_zip.digest(b), "response" if r is None else "revisit", r)] += 1
+    rows = warc_zip.read_records(manifest, span_bytes=500).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == expect
+    assert all(r.digest_ok is not False for r in rows)
+
+
+def test_zip64_directory():
+    import struct
+    import zipfile
+
+    class File(io.BytesIO):
+        def read_at(self, n, at):
+            self.seek(at)
+            return self.read(n)
+
+    f = File()
+    with zipfile.ZipFile(f, "w") as z:
+        for k in range(70_000):
+            z.writestr(zipfile.ZipInfo(f"m{k}"), b"%d" % k)
+    members = warc_zip.directory(f, len(f.getvalue()))
+    assert len(members) == 70_000
+    name, method, start, size = members[-1]
+    assert (name, method, f.read_at(size, start)) == ("m69999", 0, b"69999")
+    # a member whose sizes and place stand in the ZIP64 extra field only
+    name, data = b"big", b"hello"
+    local = struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, 3, 20) + name + struct.pack("<HHQQ", 1, 16, 5, 5)
+    central = struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\x01\x02", 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, 3, 28, 0, 0, 0, 0, 0xFFFFFFFF) + name + struct.pack("<HHQQQ", 1, 24, 5, 5, 0)
+    at = len(local) + len(data)
+    end64 = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, 1, 1, len(central), at)
+    tail = struct.pack("<4sIQI", b"PK\x06\x07", 0, at + len(central), 1) + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    f = File(local + data + central + end64 + tail)
+    [(n, _, start, size)] = warc_zip.directory(f, len(f.getvalue()))
+    assert (n, f.read_at(size, start)) == ("big", data)
+
+
+CHATS = [
+    (1, 1, "assistant", "Hello <|end|> \\ <\\| wörld 🙂é"),
+    (1, 0, "user", "Hi\n\nthere "),
+    (1, 2, "assistant", None),
+    (1, 3, "assistant", " \\"),
+    (1, 3, "assistant", " \\"),
+    (2, 0, None, "<|turn|>assistant<|text|>x"),
+    (2, 1, "assi<|text|>stant", "no loss"),
+    (None, 0, "assistant", "null id"),
+    (3, None, "assistant", "早上好 " * 3000),
+    (-7, 0, "user", PLANTED),
+    (-7, 1, "assistant", PLANTED),
+]
+
+
+@pytest.mark.parametrize("piece", [1_000_000, 5])
+def test_chat_formatting(spark, piece):
+    df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit(1)).repartition(3)
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(df, TOKENIZER, piece)).collect()}
+    convs = {}
+    for c, t, role, text in sorted(CHATS, key=lambda x: (-1 if x[1] is None else x[1], x[2] or "", x[3] or "")):
+        convs.setdefault(c, []).append((role or "", text or ""))
+    assert set(got) == set(convs)
+    for c, turns in convs.items():
+        said = "".join(t for r, t in turns if r == "assistant")
+        whole = "".join(f"{r}\n{t}\n" for r, t in turns)
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert r.formatted_chars == len(chat_format.render(turns)[0])
+
+
+def test_loss_mask_by_search():
+    rng = np.random.default_rng(0)
+    cuts = np.unique(rng.integers(0, 1000, 200))
+    starts, ends, spans = cuts[:-1], cuts[1:], np.array([[5, 90], [100, 101], [300, 700]])
+    plain = [any(s < b and e > a for a, b in spans) for s, e in zip(starts, ends)]
+    assert chat_format.loss_mask(starts, ends, spans).tolist() == plain
+
+
+def test_licences(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    rest = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    rows = [(1, f"{mit}\n{rest}"), (2, f"x\n{mit}"), (3, "So. Licensed under CC BY-NC 4.0. Released under the MIT License.\nReleased under the MIT License."), (4, "no licence here"), (5, None), (6, ""), (None, "All rights reserved."), (7, rest)]
+    got = {r.doc_id: r for r in licence_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("sentence", F.lit(1))).collect()}
+    assert {k: r.licences for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: "MIT;CC-BY-NC-4.0", None: "all-rights-reserved", 7: ""}
+    assert got[1].sentence_ids == "MitGrant;MitNotice;MitAsIs;MitLiability" and got[1].unmatched == "" and got[7].unmatched == "MitNotice;MitAsIs;MitLiability"
+    assert all(any(c in s for c in licence_scan.CUES) for s in licence_scan.SENTENCES)
+
+
+def test_secrets(spark):
+    rng = random.Random(2)
+    rows, secret = [], set()
+    for k in range(300):
+        hexa = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        tail = [f'token = "{hexa}" ', f"write to {rng.choice(VOCAB).lower()}{k}@mail7.example.com now ", ""][k % 3]
+        if k % 3 == 0:
+            secret.add((k, hashlib.sha256(hexa.encode()).hexdigest()))
+        rows.append((k, prose(rng, 30).lower() + " " + tail + prose(rng, 5), "en", f"a/test{k}.py", 0))
+    rows += [(None, None, None, None, None), (900, "", "", "", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = secret_scan.scan(docs).collect()
+    assert {(r.doc_id, r.value_sha256) for r in out if r.is_secret} == secret
+    assert all(rows[r.doc_id][1][r.start : r.start + r.length] for r in out)
+    assert secret_scan.scan(docs.where("doc_id = 1")).where("is_secret").count() == 0
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    found = secret_scan.seed_labels(secret_scan.candidates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).where("label is not null")
+    half = F.pmod(F.xxhash64("value_sha256"), F.lit(2))
+    model = secret_scan.train(found.where(half == 0))
+    rows = secret_scan.score(found.where(half == 1), model).collect()
+    assert np.mean([r.is_secret == (r.label == 1) for r in rows]) > 0.95
+
+
+def test_quality_classifier_on_held_out_labels(spark):
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    out = quality_classifier.classify(docs, labels.where(~test)).join(labels.where(test), "doc_id").collect()
+    assert np.mean([(r.p_quality >= 0.5) == (r.quality == 1) for r in out]) > 0.9
+    assert np.mean([(r.p_toxic >= 0.5) == (r.toxic == 1) for r in out]) > 0.9
+
+
+def test_site_posteriors(spark):
+    rows = [(i, "big", "big/a", 4.0, -9.0) for i in range(200)] + [(500, "small", "small/a", -4.0, -9.0), (501, None, None, 0.0, None)]
+    got = {(r.host, r.path): r for r in quality_classifier.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, quality double, toxic double")).collect()}
+    one = got[("small", "small/a")]
+    assert 0.018 < one.path_p < one.global_p and abs(got[("big", "big/a")].path_p - 0.982) < 0.01 and (None, None) in got
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert quality_rules.quality_filter(none).count() == 0
+    assert line_dedup.line_dedup(none).count() == 0
+    assert near_dedup.near_dedup(none).count() == 0
+    assert decontamination.decontaminate(none, items).count() == 0
+    assert source_mixing.mix_documents(none).count() == 0 and source_mixing.mixture(none).count() == 0
+    assert warc_zip.read_records(warc_zip.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+    chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.read_back(chat_format.format_conversations(chats, TOKENIZER)).count() == 0
+    assert licence_scan.scan(none).count() == 0 and secret_scan.scan(none).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_classifier.classify(none, labels).count() == 0
+
+
+def test_texts_of_nothing_are_kept(spark):
+    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "", "", 0), (2, "", "", "", 0)], DOCS)
+    assert near_dedup.near_dedup(docs).count() == 3
+    assert line_dedup.line_dedup(docs).count() == 3
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_classifier.classify(docs, labels).where("keep").count() == 3
+    assert source_mixing.mix_documents(docs).agg(F.sum("taken")).first()[0] == 0
