@@ -82,12 +82,19 @@ def result_by_key(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.where(F.col(key) == value)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, through a checkpoint in the folder that the session names (a temporary one in local mode)."""
-    context = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not named and not context.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; in local mode a temporary one where none is set."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getCheckpointDir()
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, through a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
