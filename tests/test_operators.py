@@ -107,6 +107,13 @@ def test_remix_uses_each_defence_once(spark):
     assert sorted(r.def_id for r in got) == list(range(25)) and all((r.def_id - r.off_id) % 2 == 0 for r in got)
 
 
+def test_slots_are_kept_freed_and_reused(spark):
+    rows = [(1, 2, t, p) for t, ps in enumerate(["ab", "abc", "bc", "bcd", "bcde", "e"]) for p in ps]
+    df = spark.createDataFrame(rows, "round_id long, team long, tick_id long, player string")
+    got = {(r.tick_id, r.player): r.slot for r in cleaning.slot_reuse(df, 3).collect()}
+    assert got == {(0, "a"): 0, (0, "b"): 1, (1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (2, "b"): 1, (2, "c"): 2, (3, "b"): 1, (3, "c"): 2, (3, "d"): 0, (4, "b"): 1, (4, "c"): 2, (4, "d"): 0, (5, "e"): 0}
+
+
 def test_angles(spark):
     row = spark.range(1).select(s.wrap(F.lit(-7.5)).alias("a"), s.wrap_half(F.lit(190.0)).alias("b"), s.angle_delta(F.lit(350.0), F.lit(10.0)).alias("c"), s.safe_div(F.lit(1.0), F.lit(0.0)).alias("d")).first()
     assert (row.a, row.b, row.c, row.d) == (352.5, -170.0, -20.0, None)

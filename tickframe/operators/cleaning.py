@@ -158,6 +158,42 @@ def slot_assign(df: DataFrame, slots: int = 5, keys: Sequence[str] = ("round_id"
     return df.join(slot, [*keys, player])
 
 
+def slot_reuse(df: DataFrame, slots: int = 5, keys: Sequence[str] = ("round_id", "team"), player: str = "player", tick: str = "tick_id") -> DataFrame:
+    """Slots tick by tick: a player keeps its slot while present, a slot is free again when its player is missing from a
+    tick, newcomers take the lowest free one in player order, and players beyond the slots have none. What is free
+    hangs on the ticks before, so a team's rows are walked in order; the state is one slot table."""
+    names = [*keys, tick, player]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        team, at, held, present = None, None, {}, []
+
+        def close() -> list[tuple]:
+            nonlocal held
+            held = {p: s for p, s in held.items() if p in present}
+            for p in present:
+                if p not in held and (free := sorted(set(range(slots)) - set(held.values()))):
+                    held[p] = free[0]
+            return [(*team, at, p, held[p]) for p in present if p in held]
+
+        for batch in batches:
+            out = []
+            for *k, t, p in batch.itertuples(index=False):
+                if (k, t) != (team, at):
+                    if present:
+                        out += close()
+                    if k != team:
+                        held = {}
+                    team, at, present = k, t, []
+                present.append(p)
+            yield pd.DataFrame(out, columns=[*names, "slot"])
+        if present:
+            yield pd.DataFrame(close(), columns=[*names, "slot"])
+
+    few = df.select(*names).distinct()
+    dealt = few.repartition(*keys).sortWithinPartitions(*names)
+    return df.join(dealt.mapInPandas(walk, few.schema.add("slot", "int")), names)
+
+
 def assign_ids(df: DataFrame, group: str, order: Sequence[str], offset: int = 0) -> DataFrame:
     """+ id, dense from offset: groups in order, rows of a group by `order`. Groups are counted first and only their
     counts are summed in one place, so the rows stay dealt out."""

@@ -115,6 +115,11 @@ def _(t):
     return c.slot_assign(t.pat, 4).select("tick_id", "slot")
 
 
+@query("slot_reuse")
+def _(t):
+    return c.slot_reuse(t.pat.withColumn("at", F.floor(F.col("gt") / 7200)), 3, tick="at").select("tick_id", "player", "slot")
+
+
 @query("assign_ids", "SELECT tick_id, row_number() OVER (ORDER BY round_id, gt, tick_id) - 1 + 100 AS id FROM pat")
 def _(t):
     return c.assign_ids(t.pat, "round_id", ["gt", "tick_id"], 100).select("tick_id", "id")

@@ -18,7 +18,7 @@ def _replay(t, op, keep="true"):
         gt = F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
         return s.where(keep).select(
             F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"), gt.alias("gt"), (F.col("user_id") % 10).alias("player"), F.col("event_type").alias("kind"),
-            (F.col("event_type") == "click").alias("fired"), (F.col("event_type") != "error").alias("alive"), F.lit(False).alias("reset"),
+            F.col("value").alias("x"), F.regexp_extract("props", r"(\d+)", 1).cast("double").alias("y"), (F.col("event_type") == "click").alias("fired"), (F.col("event_type") != "error").alias("alive"), F.lit(False).alias("reset"),
         )
 
     return st.replay(t.spark, f"{t.dir}/events.parque[t]", op, f"{at}/out", f"{at}/ledger", prepare)
