@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, let
+from .common import WS, ascii_lower, keep, let
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +36,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
-    return lines, over
+    return lines, keep(over, "repeated-lines")  # a written side has no aggregate in the join's stage, so Spark can split a hot line
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
