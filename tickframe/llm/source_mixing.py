@@ -20,6 +20,8 @@ empty table gives an empty mix.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import WORD, keep
 
 WEIGHTS = (3, 1, 2)
+SHARD_WORDS, BLOCKS_A_SHARD = 20_000_000, 16
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -60,17 +63,17 @@ def _tree(shards: int, seed: int):
         quotas = quotas.sort_values("rank")
         ranks, total = quotas["rank"].to_numpy(), quotas["quota"].to_numpy(dtype=np.int64)
         room = np.full(shards, total.sum() // shards) + (np.arange(shards) < total.sum() % shards)
-        out, todo = [], [(0, shards, total)]
+        of_rank, of_shard, of_quota, todo = [], [], [], [(0, shards, total)]
         while todo:
             lo, hi, have = todo.pop()
             if hi - lo == 1:
                 some = have > 0
-                out.append(pd.DataFrame({"rank": ranks[some], "shard": np.int32(lo), "quota": have[some]}))
+                of_rank.append(ranks[some]), of_shard.append(np.full(some.sum(), lo, dtype=np.int32)), of_quota.append(have[some])
                 continue
             mid = (lo + hi) // 2
             draw = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, int(room[lo:mid].sum()), method="marginals")
             todo += [(lo, mid, draw), (mid, hi, have - draw)]
-        return pd.concat(out)
+        return pd.DataFrame({"rank": np.concatenate(of_rank), "shard": np.concatenate(of_shard), "quota": np.concatenate(of_quota)})
 
     return split
 
@@ -83,10 +86,14 @@ def _block(seed: int) -> Column:
     return F.pmod(_key(seed, "doc_id"), F.col("n_blocks"))
 
 
-def draws(sized: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 17, **policy) -> tuple[DataFrame, DataFrame]:
+def draws(sized: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = 17, **policy) -> tuple[DataFrame, DataFrame, int]:
     """(sources with their targets and block counts; for each source and block its draws: epoch, shard, and up to
-    which document key, null for the whole block)."""
+    which document key, null for the whole block; the number of shards). Shards hold about SHARD_WORDS words, and
+    there are BLOCKS_A_SHARD blocks for each, but no fewer than 64 and 4096."""
     t = targets(sized, **policy)
+    if shards is None:
+        shards = max(64, math.ceil((t.agg(F.sum("target")).first()[0] or 0) / SHARD_WORDS))
+    blocks = blocks or max(4096, shards * BLOCKS_A_SHARD)
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") * F.lit(float(blocks)) / F.greatest(F.lit(1), F.sum("source_size").over(Window.partitionBy()))))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     sources = keep(
@@ -129,7 +136,7 @@ def draws(sized: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 17
         "rank", "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("at")
     )
     drawn = units.join(places.withColumn("at", F.col("at").cast("int")), ["rank", "at"]).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "cut"))).alias("draws"))
-    return sources, keep(drawn, "mix-draws")
+    return sources, keep(drawn, "mix-draws"), shards
 
 
 def _meet(docs: DataFrame, sources: DataFrame, drawn: DataFrame, seed: int) -> DataFrame:
@@ -142,19 +149,21 @@ def _meet(docs: DataFrame, sources: DataFrame, drawn: DataFrame, seed: int) -> D
     return named.join(b, (F.col("rank") == F.col("__rank")) & (F.col("block") == F.col("__block")), "left").withColumn("draws", mine).drop("__source", "__rank", "__block", "__draws", "rank", "n_blocks", "block")
 
 
-def mix_documents(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 17, **policy) -> DataFrame:
+def mix_documents(docs: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = 17, **policy) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted) and its draws."""
     sized = keep(sizes(docs), "mix-sizes")
-    out = _meet(sized, *draws(sized, shards, blocks, seed, **policy), seed)
+    sources, drawn, _ = draws(sized, shards, blocks, seed, **policy)
+    out = _meet(sized, sources, drawn, seed)
     return out.withColumn("taken", F.size("draws") * F.col("size"))
 
 
-def mixture(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 17, **policy) -> DataFrame:
+def mixture(docs: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = 17, **policy) -> DataFrame:
     """The mix itself: a row for each time a document is taken, with its epoch and shard. Rows of a shard are in one
     partition, in shuffled order (place: ascending within the shard)."""
     own = ("source_size", "target", "draws", "epoch", "shard", "place")
     sized = keep(sizes(docs), "mix-sizes")
-    met = _meet(docs.select(*[c for c in docs.columns if c not in own]), *draws(sized, shards, blocks, seed, **policy), seed)
+    sources, drawn, shards = draws(sized, shards, blocks, seed, **policy)
+    met = _meet(docs.select(*[c for c in docs.columns if c not in own]), sources, drawn, seed)
     rows = met.drop("source_size", "target").withColumn("draw", F.explode("draws")).drop("draws")
     rows = rows.withColumns({"epoch": F.col("draw.epoch"), "shard": F.col("draw.shard"), "place": _key(seed + 4, "doc_id", "draw.epoch")}).drop("draw")
     return rows.repartition(shards, "shard").sortWithinPartitions("shard", "place")
