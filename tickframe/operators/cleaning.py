@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import stab_join
 from .windows import islands, over, so_far, whole
@@ -191,7 +192,7 @@ def slot_reuse(df: DataFrame, slots: int = 5, keys: Sequence[str] = ("round_id",
 
     few = df.select(*names).distinct()
     dealt = few.repartition(*keys).sortWithinPartitions(*names)
-    return df.join(dealt.mapInPandas(walk, few.schema.add("slot", "int")), names)
+    return df.join(dealt.mapInPandas(walk, T.StructType([*few.schema, T.StructField("slot", T.IntegerType())])), names)
 
 
 def assign_ids(df: DataFrame, group: str, order: Sequence[str], offset: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import band_join, stab_join
 from .windows import asof_prev, islands, over, runs, so_far, whole
@@ -57,7 +58,7 @@ def trajectory_segments(rows: DataFrame, seconds: int, keys: Sequence[str], cloc
             yield batch.assign(segment=out)
 
     few = rows.select(*names)
-    schema = few.schema.add("segment", "long")
+    schema = T.StructType([*few.schema, T.StructField("segment", T.LongType())])
     cut = few.repartition(*keys).sortWithinPartitions(*names).mapInPandas(walk, schema)
     return cut.groupBy(*keys, "segment").agg(F.min(clock).alias("start"), F.max(clock).alias("end"), F.count(F.lit(1)).alias("n"))
 
