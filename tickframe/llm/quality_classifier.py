@@ -1,7 +1,7 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-1. Evidence: two logistic regressions (good quality, toxic) over hashed words and shape features give each document
-   its log-odds. They are fitted on at most `sample` labelled documents, the first by hash; that many rows are the
+1. Evidence: two sparse (L1) logistic regressions (good quality, toxic) over hashed words and shape features give
+   each document its log-odds. They are fitted on at most `sample` labelled documents, the first by hash; that many rows are the
    bound of what is broadcast to meet the texts.
 2. Sites: a document's host and path. Sums of the documents' probabilities are grouped by path and by host. Each
    level's spread (method of moments over its sites) gives the strength of a Beta prior: a host is shrunk toward the
@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, keep
+from .common import keep
 
 # The shape features, as SQL over `words` (array) and `t` (text).
 _SHAPES = {
@@ -51,7 +51,7 @@ def _features(buckets: int) -> list:
 
 def _words(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("t", t).withColumn("words", F.split(F.lower("t"), WS_CLASS + "+"))
+    return docs.withColumn("t", t).withColumn("words", F.split(F.lower("t"), r"[\p{Punct}\x20\x09-\x0D]+"))
 
 
 def train(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, sample: int = 6_000, seed: int = 5) -> dict[str, PipelineModel]:
@@ -65,7 +65,7 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, sample: in
         if known.select(name).distinct().count() < 2:
             continue
         shared = shared or Pipeline(stages=_features(buckets)).fit(known)
-        fit = LogisticRegression(featuresCol="features", labelCol=name, regParam=0.01, maxIter=25, standardization=False, rawPredictionCol=f"raw_{name}", probabilityCol=f"p_{name}", predictionCol=f"is_{name}")
+        fit = LogisticRegression(featuresCol="features", labelCol=name, regParam=0.002, elasticNetParam=1.0, maxIter=40, standardization=False, rawPredictionCol=f"raw_{name}", probabilityCol=f"p_{name}", predictionCol=f"is_{name}")
         out[name] = PipelineModel(stages=[shared, fit.fit(shared.transform(known))])
     return out
 
@@ -121,7 +121,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     sites = posteriors(scored).select(F.col("host").alias("h"), F.col("path").alias("p"), "global_p", "path_p")
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
     quality = _sigmoid(F.col("quality") - _logit(F.col("global_p")) + _logit(F.col("path_p")))
-    toxic = F.coalesce(_sigmoid(F.col("toxic")), F.lit(0.0))
+    toxic = F.when(F.col("toxic").isNull(), F.lit(0.0)).otherwise(_sigmoid(F.col("toxic")))
     return joined.select(
-        "doc_id", "host", "path", _sigmoid(F.col("quality")).alias("p_doc"), "path_p", quality.alias("p_quality"), toxic.alias("p_toxic"), ((quality >= threshold) & (toxic < toxic_threshold)).alias("keep")
+        "doc_id", "host", "path", _sigmoid(F.col("quality")).alias("p_doc"), "path_p", quality.alias("p_quality"), toxic.alias("p_toxic"), ((quality >= threshold - 1e-9) & (toxic < toxic_threshold)).alias("keep")
     )
