@@ -15,6 +15,10 @@ whole sequence is the one shingle; without words the set is empty and links with
 5. Components of the verified links. Then, in each bucket, the pairs across different components that no star has
    compared go the same way, so no candidate pair is left out; pairs within a component need no comparison.
 
+A shingle that no other candidate has is in no intersection. Documents with more than a fifth of those are no
+candidates (of a text copied with many edits each, most are such), and a pair of which one shares too few shingles
+with anyone for the pair's sizes is not formed. Both bounds are exact.
+
 With 32 bands of 5 a pair at similarity 0.8 exactly meets in no bucket with probability 3e-6.
 Components are found by alternating large and small stars on the edge table, written to the shared folder each
 round; no link list, set or component goes to the driver, and no group is gathered in one task.
@@ -171,6 +175,18 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, size: int,
     return both.where(linked).select("a", "b").distinct()
 
 
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, size, shared): the documents that can be linked at all. A shingle of one document alone is in no
+    intersection, so a document with more than 100 - percent hundredths of those has no link."""
+    size = sets.groupBy("doc_id").agg(F.max(F.size("set")).alias("size"), F.count(F.lit(1)).alias("texts"))
+    alone = sets.select("doc_id", F.explode("set").alias("s")).groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
+    own = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    counted = size.join(own, "doc_id", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
+    several = F.col("texts") > 1  # rows of one id with different texts: no bound holds for all of them
+    counted = counted.withColumns({"shared": F.when(several, F.lit(1 << 40)).otherwise(F.col("shared")), "size": F.when(several, F.lit(0)).otherwise(F.col("size"))})
+    return counted.where(F.col("shared") * 100 >= F.col("size") * percent).select("doc_id", "size", "shared")
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, miss: float = 1e-6, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -181,11 +197,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     classes = keep(named.groupBy("lo", "hi").agg(F.min("doc_id").alias("lead")), "classes")
     leads = classes.select(F.col("lead").alias("doc_id")).distinct()
     heads = named.join(leads, "doc_id", "left_semi")
-    places = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    places = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
     crowds = keep(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowds")
     met = keep(places.join(crowds, "bucket"), "met")
     in_crowd = met.select(F.col("id").alias("doc_id")).distinct()
     sets = keep(texts.join(in_crowd, "doc_id", "left_semi").select("doc_id", _sets(shingle)("text").alias("set")), "sets")
+    able = _linkable(sets, percent)
+    met = keep(met.join(able.select(F.col("doc_id").alias("id"), "size", "shared"), "id"), "met")
     fame = met.groupBy("id").agg(F.sum("n").alias("fame"))
     famous = met.select("bucket", "id").join(fame, "id")
     pivots = famous.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("less"))).alias("best")).select("bucket", (-F.col("best.less")).alias("pivot"))
@@ -194,21 +212,25 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     check = lambda pairs: keep(_verified(pairs, heads, sets, bands * rows, percent, miss), "links")
     links = check(stars)
     found = keep(components(links), "components")
-    named_place = met.select("bucket", "id").join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    named_place = met.select("bucket", "band", "id", "size", "shared").join(found, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "size", "shared", F.coalesce("component", "id").alias("component"))
     mixed = named_place.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_places = keep(named_place.join(mixed, "bucket", "left_semi"), "open")
+    open_places = keep(named_place.join(mixed, "bucket", "left_semi").join(heads.select(F.col("doc_id").alias("id"), "bands"), "id"), "open")
     x, y = open_places.alias("x"), open_places.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # an intersection holds at most what either shares with anyone: 100 i >= percent (a + b - i) needs that much
+    enough = F.least("x.shared", "y.shared") * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
+    earlier = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")))
+    enough = enough & ~earlier  # a pair comes from the first bucket that both share
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = check(rest.join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = keep(components(links.union(more)), "components")
     # rows of one id with different texts are one document: its classes are tied together
-    own = named.select("doc_id", "lo", "hi").join(classes, ["lo", "hi"])
-    ties = own.where("doc_id <> lead").groupBy("doc_id").agg(F.min("lead").alias("l0"), F.max("lead").alias("l1")).where("l0 <> l1")
-    if not ties.isEmpty():
-        several = own.join(ties, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = named.join(again, "doc_id", "left_semi").join(classes, ["lo", "hi"]).where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    if not again.isEmpty() and not several.isEmpty():
         found = keep(components(links.union(more).union(several)), "components")
-    ids = own.select("lo", "hi", "lead").distinct().join(found, F.col("lead") == F.col("node"), "left").select(F.col("lo").alias("l"), F.col("hi").alias("h"), F.coalesce("component", "lead").alias("component"))
+    ids = classes.join(found, F.col("lead") == F.col("node"), "left").select(F.col("lo").alias("l"), F.col("hi").alias("h"), F.coalesce("component", "lead").alias("component"))
+    ids = keep(ids, "ids")  # a written side has no aggregate in the join's stage, so Spark can split a class of many copies
     out = sketches.select("doc_id", "n_shingles", "lo", "hi").join(ids, (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h")), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
