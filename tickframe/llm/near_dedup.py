@@ -12,12 +12,13 @@ whole sequence is the one shingle; without words the set is empty and links with
 4. Each pair's signatures are compared batch by batch. After n places with m equal, the similarity has a
    Beta(1 + m, 1 + n - m) posterior; a pair goes when P(similarity >= threshold) is under `miss`. Pairs that stay
    are verified on the full sets.
-5. Components of the verified links. Then, in each bucket, the pairs across different components that no star has
-   compared go the same way, so no candidate pair is left out; pairs within a component need no comparison.
+5. Components of the verified links. Then, of the documents in buckets with more than one component, the pairs across
+   components that no star has compared and that can be linked at all go the same way, so no link is left out; pairs
+   within a component need no comparison. Which pairs can be linked is told by prefixes of the sets, rarest shingles
+   first, with a bound by position. That bound is exact.
 
-A shingle that no other candidate has is in no intersection. Documents with more than a fifth of those are no
-candidates (of a text copied with many edits each, most are such), and a pair of which one shares too few shingles
-with anyone for the pair's sizes is not formed. Both bounds are exact.
+A shingle that no other candidate has is in no intersection; documents with more than a fifth of those are no
+candidates (of a text copied with many edits each, many are such).
 
 With 32 bands of 5 a pair at similarity 0.8 exactly meets in no bucket with probability 3e-6.
 Components are found by alternating large and small stars on the edge table, written to the shared folder each
@@ -187,6 +188,24 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.col("shared") * 100 >= F.col("size") * percent).select("doc_id", "size", "shared")
 
 
+def _across(sets: DataFrame, open_ids: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that can be linked. Each set is ordered from its rarest shingle (counted
+    among these documents) to its most frequent. What two sets share lies at or after their first common shingle, so a
+    linked pair has one early enough in both that the rest of either holds the intersection it needs."""
+    tokens = sets.join(open_ids, F.col("doc_id") == F.col("id")).select("id", "component", F.xxhash64("set").alias("row"), F.size("set").alias("size"), F.explode("set").alias("s"))
+    counts = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = tokens.join(counts, "s").groupBy("id", "component", "row", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("known"))
+    first = F.col("size") - F.size("known")  # shingles of this document alone come first and are in no intersection
+    reach = F.floor(F.col("size") * (100 - percent) / 100).cast("int") + 1 - first
+    head = F.slice("known", F.lit(1), F.greatest(F.lit(0), F.least(reach, F.size("known"))))
+    early = keep(ordered.select("id", "component", "size", first.alias("first"), F.posexplode(head).alias("k", "t")).select("id", "component", "size", (F.col("size") - F.col("first") - F.col("k")).alias("left"), F.col("t.s").alias("s")), "early")
+    x, y = early.alias("x"), early.alias("y")
+    need = (F.col("x.size") + F.col("y.size")) * percent
+    enough = F.least("x.left", "y.left") * (100 + percent) >= need
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & enough)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, miss: float = 1e-6, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -197,13 +216,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     classes = keep(named.groupBy("lo", "hi").agg(F.min("doc_id").alias("lead")), "classes")
     leads = classes.select(F.col("lead").alias("doc_id")).distinct()
     heads = named.join(leads, "doc_id", "left_semi")
-    places = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
+    places = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     crowds = keep(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowds")
     met = keep(places.join(crowds, "bucket"), "met")
     in_crowd = met.select(F.col("id").alias("doc_id")).distinct()
     sets = keep(texts.join(in_crowd, "doc_id", "left_semi").select("doc_id", _sets(shingle)("text").alias("set")), "sets")
     able = _linkable(sets, percent)
-    met = keep(met.join(able.select(F.col("doc_id").alias("id"), "size", "shared"), "id"), "met")
+    met = keep(met.join(able.select(F.col("doc_id").alias("id")), "id"), "met")
     fame = met.groupBy("id").agg(F.sum("n").alias("fame"))
     famous = met.select("bucket", "id").join(fame, "id")
     pivots = famous.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("less"))).alias("best")).select("bucket", (-F.col("best.less")).alias("pivot"))
@@ -212,15 +231,10 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     check = lambda pairs: keep(_verified(pairs, heads, sets, bands * rows, percent, miss), "links")
     links = check(stars)
     found = keep(components(links), "components")
-    named_place = met.select("bucket", "band", "id", "size", "shared").join(found, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "size", "shared", F.coalesce("component", "id").alias("component"))
+    named_place = met.select("bucket", "id").join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = named_place.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_places = keep(named_place.join(mixed, "bucket", "left_semi").join(heads.select(F.col("doc_id").alias("id"), "bands"), "id"), "open")
-    x, y = open_places.alias("x"), open_places.alias("y")
-    # an intersection holds at most what either shares with anyone: 100 i >= percent (a + b - i) needs that much
-    enough = F.least("x.shared", "y.shared") * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
-    earlier = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")))
-    enough = enough & ~earlier  # a pair comes from the first bucket that both share
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    open_ids = keep(named_place.join(mixed, "bucket", "left_semi").select("id", "component").distinct(), "open")
+    rest = _across(sets, open_ids, percent)
     more = check(rest.join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = keep(components(links.union(more)), "components")
