@@ -59,8 +59,8 @@ def _(t):
 
 @query("sim_join")
 def _(t):
-    paths = tr.make_trajectories(t.pat.where("round_id % 3 = 0")).select(F.concat_ws("-", "round_id", "player").alias("id"), "player", "path")
-    return tr.sim_join(paths, paths, ["player"])
+    rounds = tr.multi_trajectories(tr.make_trajectories(t.pat, ("round_id", "team", "player")))
+    return tr.sim_join(rounds, rounds)
 
 
 @query("interpolate", "SELECT tick_id, round(first_value(x) OVER o * (1 - s) + last_value(x) OVER o * s, 6) AS line_x FROM (SELECT *, coalesce((gt - min(gt) OVER b) / nullif(max(gt) OVER b - min(gt) OVER b, 0), 0.0) AS s FROM (SELECT *, (gt - min(gt) OVER (PARTITION BY round_id, player)) // 7200 AS bl FROM pat) WINDOW b AS (PARTITION BY round_id, player, bl)) WINDOW o AS (PARTITION BY round_id, player, bl ORDER BY gt, tick_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
