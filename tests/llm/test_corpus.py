@@ -3,8 +3,10 @@ tables and extra columns of clashing names."""
 
 import hashlib
 import io
+import itertools
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -340,6 +342,60 @@ def test_licences(spark):
     assert all(any(c in s for c in licence_scan.CUES) for s in licence_scan.SENTENCES)
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+GPL = """This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{1}
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program{2}"""
+NOTICES = [
+    ("MIT", MIT),
+    ("BSD-2-Clause", BSD),
+    ("BSD-3-Clause", BSD + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0-or-later", GPL.format(":", ", either version 3 of the License, or (at your option) any later version.", ".  If not, see <https://www.gnu.org/licenses/>.")),
+    ("GPL-2.0-or-later", GPL.format(";", "; either version 2 of the License, or (at your option) any later version.", "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.")),
+    ("GPL-3.0-only", GPL.format(":", ", version 3.", ".  If not, see <https://www.gnu.org/licenses/>.")),
+    ("GPL-2.0-only", GPL.format(";", "; version 2.", "; if not, write to the Free Software Foundation, Inc.")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("all-rights-reserved", "Copyright (c) 2020 A. Person.  All rights reserved."),
+]
+
+
+def test_wrapped_licences(spark):
+    """The notices as printed: at several widths, plain and behind comment leaders, before and after other text."""
+    assert {n for n, _ in NOTICES} == {n for n, _ in licence_scan.RULES}
+    rows, want = [], {}
+    for (name, notice), width, lead in itertools.product(NOTICES, (24, 60, 72, 4000), ("", "# ", " * ", "// ", "dnl ")):
+        lines = [line for p in notice.split("\n\n") for line in [*textwrap.wrap(p.strip(), width, break_long_words=False, break_on_hyphens=False), ""]]
+        k = len(rows)
+        rows.append((k, "Some words before it\n\n" + "\n".join((lead + line).rstrip(" ") for line in lines) + "\nimport os\n"))
+        want[k] = name
+    rows.append((9000, "This project is\n\nlicensed under the\n\nMIT license. All rights are\nnot reserved. Permission is hereby granted"))
+    got = {r.doc_id: r.licences for r in licence_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (want[k], got.get(k), rows[k][1][:300]) for k in want if got.get(k) != want[k]} == {} and 9000 not in got
+
+
 def test_secrets(spark):
     rng = random.Random(2)
     rows, secret = [], set()

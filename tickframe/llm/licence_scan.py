@@ -1,13 +1,15 @@
 """Licence scans by sentence-rule recognition.
 
-Texts are cut into sentences at line ends and after `.`, `;`, `!`, `?` before white space. Sentences that hold a cue
-word are normalised (lower case, runs of anything but letters, digits and dots to one space, dots at the ends gone)
-and looked up among the known licence sentences, each with an identifier. A document's identifiers, in order, form a
+Texts are cut into pieces at line ends and after `.`, `;`, `!`, `?` before white space, and normalised (lower case, runs
+of anything but letters, digits and dots to one space, dots at the ends gone). A known licence sentence is found where
+it is one piece or several pieces in a row of one paragraph (blank lines and empty comment lines end it), so a text may
+be wrapped at any width, with comment leaders, and a sentence may hold `v. 2.0` or `software; you`. From the left, the
+longest one counts. Each known sentence has an identifier, or several. A document's identifiers, in order, form a
 sequence; the ordered rules are matched against it one after the other, each taking its stretch of identifiers out,
 so the longer text of a licence wins over a sentence that it shares with another.
 
-The known sentences are a fixed table of this module, so sending them to every task is bounded by its size. The texts
-are not shuffled: only known sentences are grouped by document.
+The known sentences are a fixed table of this module, held by every task as a tree of words. Only texts with a cue word
+are cut. The texts are not shuffled: only known sentences are grouped by document.
 
 Null and empty texts hold no sentence. Rows that share an id are one document, their sentences in order of place.
 Null ids are a document too. A document without known sentences gives no row. Other columns are not read. An empty
@@ -16,7 +18,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words of which every known sentence has one.
@@ -66,6 +71,21 @@ SENTENCES: dict[str, str] = {
     "spdx license identifier mpl 2.0": "MplRef",
 }
 
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_FSF = f"{_GPL} as published by the free software foundation"
+
+# Known sentences besides, as the licences print them, and the identifiers that each stands for.
+NOTICES: dict[str, tuple[str, ...]] = {
+    f"{_FSF} either version 3 of the license or at your option any later version": ("GplTerms", "Gpl3Plus"),
+    f"{_FSF} either version 2 of the license or at your option any later version": ("GplTerms", "Gpl2Plus"),
+    f"{_FSF} version 3": ("Gpl3Ref",),
+    f"{_FSF} version 3 of the license": ("Gpl3Ref",),
+    f"{_FSF} version 2": ("Gpl2Ref",),
+    f"{_FSF} version 2 of the license": ("Gpl2Ref",),
+    f"{_GPL} version 2 as published by the free software foundation": ("Gpl2Ref",),
+    "this work is licensed under a creative commons attribution sharealike 4.0 international license": ("CcBySaRef",),
+}
+
 # Licence rules in order; a rule matches a stretch of identifiers.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("ApacheHead", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
@@ -94,27 +114,79 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("all-rights-reserved", ("Reserved",)),
 )
 
-_CUT = r"\n|(?<=[.;!?])[ \t\r]+"
-_CUE = "(?i)" + "|".join(CUES)
-
-
-def normalise(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}.]+", " "), F.lit(" ."))
-
+_CUT = re.compile(r"\n|(?<=[.;!?])[ \t\r]+")
+_OTHER = re.compile(r"[^\w.]|_")
+# Comment leaders that are words.
+_LEADERS = ("dnl", "rem")
+# A cue of two words may be wrapped as well.
+_CUE = "(?i)" + "|".join(c.replace(" ", rf"[^a-z0-9]+(?:(?:{'|'.join(_LEADERS)})[^a-z0-9]+)?") for c in CUES)
+_IDS = ""  # in the tree of words, the identifiers of the sentence that ends here
+
+
+def _tree(sentences: dict[str, tuple[str, ...]]) -> dict:
+    root: dict = {}
+    for sentence, ids in sentences.items():
+        node = root
+        for word in sentence.split():
+            node = node.setdefault(word, {})
+        node[_IDS] = ids
+    return root
+
+
+def _words(piece: str) -> list[str]:
+    """The piece's words with their dots; dots alone and comment words before it, and dots alone after it, are gone."""
+    words = _OTHER.sub(" ", piece.lower()).split()
+    while words and not words[-1].strip("."):
+        words.pop()
+    k = next((k for k, w in enumerate(words) if w.strip(".") and w not in _LEADERS), len(words))
+    return words[k:]
+
+
+def _longest(pieces: list[list[str]], i: int, tree: dict) -> tuple[int, tuple[str, ...]] | None:
+    """The last piece and the identifiers of the longest known sentence that starts with piece i."""
+    node, best = tree, None
+    for j in range(i, len(pieces)):
+        words = pieces[j]
+        if not words:
+            break
+        for k, word in enumerate(words):
+            if j == i and k == 0:
+                word = word.lstrip(".")
+            if k == len(words) - 1 and (end := node.get(word.rstrip("."), {}).get(_IDS)):
+                best = j, end
+            node = node.get(word)
+            if node is None:
+                return best
+    return best
+
+
+def find(text: str, tree: dict) -> list[dict]:
+    """place (of the piece where it starts), part (of several identifiers) and sentence_id of the known sentences."""
+    pieces, out, i = [_words(p) for p in _CUT.split(text)], [], 0
+    while i < len(pieces):
+        best = _longest(pieces, i, tree)
+        if best:
+            out += [{"place": i, "part": k, "sentence_id": x} for k, x in enumerate(best[1])]
+        i = best[0] + 1 if best else i + 1
+    return out
+
+
+def known_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, notices: dict[str, tuple[str, ...]] = NOTICES) -> DataFrame:
+    """doc_id, place (of the sentence in its text), part, sentence_id."""
+    tree = _tree({s: (i,) for s, i in sentences.items()} | notices)
+
+    @F.pandas_udf("array<struct<place: int, part: int, sentence_id: string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([find(t, tree) for t in texts], dtype=object)
 
-def known_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES) -> DataFrame:
-    """doc_id, place (of the sentence in its text), sentence_id."""
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(sentences.items()), "sentence string, sentence_id string"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(_CUE))
-    cut = texts.select("doc_id", F.posexplode(F.split("text", _CUT, -1)).alias("place", "raw")).where(F.col("raw").rlike(_CUE))
-    return cut.withColumn("sentence", normalise(F.col("raw"))).join(table, "sentence").select("doc_id", "place", "sentence_id")
+    return texts.select("doc_id", F.explode(found("text")).alias("s")).select("doc_id", "s.*")
 
 
 def licences(found: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
     """Per document: sentence_ids (in order), licences (in rule order, once each) and unmatched identifiers, each
     joined by `;`."""
-    ordered = found.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "sentence_id"))), lambda x: x["sentence_id"]).alias("ids"))
+    ordered = found.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "part", "sentence_id"))), lambda x: x["sentence_id"]).alias("ids"))
     rest, names = F.concat(F.lit(";"), F.array_join(F.transform("ids", lambda x: F.concat(x, F.lit(";"))), ";"), F.lit(";")), []
     out = ordered.withColumn("sentence_ids", F.array_join("ids", ";")).withColumn("rest", rest)
     # the sequence is ;A;;B;;C; so that a stretch is one substring and neighbours don't share a delimiter
