@@ -413,6 +413,44 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.where("doc_id = 1")).where("is_secret").count() == 0
 
 
+SECRET_FORMS = [  # text, its value
+    ('password = "{}"', "hunter2-A9!"),
+    ("DB_PASSWORD={}", "Tr0ub4dor3xyzQ9"),
+    ("API_KEY={}", "sk_live_51HcAbCdEfGhIjKlMn"),
+    ("export AUTH_TOKEN={}", "qwertzuiopas"),
+    ('"secret": "{}"', "Zy!x w?v"),
+    ("password: {}", "k9$wQ,z"),
+    ("Authorization: Bearer {}", "abc.DEF-123"),
+    ('password: str = "{}"', "opensezme"),
+    ("x?token={}&page=2", "T7"),
+]
+
+
+def test_secret_candidates():
+    for form, value in SECRET_FORMS:
+        text = f"some words\n{form.format(value)}\nand more"
+        assert text.index(value) in {a for (a, b), how in secret_scan._spans(text).items() if text[a:b] == value and how[0]}, form
+    text = "a region=eu-west-1-abcdef012345 b abcdefghijklmnop12== c abcdefghijklmnopqrst"
+    assert [text[a:b] for a, b in sorted(secret_scan._spans(text))] == ["eu-west-1-abcdef012345", "abcdefghijklmnop12=="]
+
+
+def test_planted_forms_of_secrets(spark):
+    rng = random.Random(4)
+    rows, secret = [], set()
+    pick = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    for k in range(600):
+        short, long, plain = pick(8, "bcdfgh") + pick(3, "23456789") + "!", "sk_live_" + pick(18, "BCDFGHbcdfgh2345"), pick(12, "bcdfghjkl")
+        form, value = [('password = "{}"', short), ("DB_PASSWORD={}", pick(15, "BCDbcdfg2345")), ("API_KEY={}", long), ("export AUTH_TOKEN={}", plain), ("{}", f"w{k}@mail7.example.com"), ("token = {}()", "vendor.next")][k % 6]
+        line = form.format(value)
+        if k % 6 < 4:
+            secret.add((k, hashlib.sha256(value.encode()).hexdigest()))
+        rows.append((k, prose(rng, 30).lower() + "\n" + line + "\n" + prose(rng, 5), "en", f"a/b{k}.py", 0))
+    out = secret_scan.scan(spark.createDataFrame(rows, DOCS)).collect()
+    assert secret <= {(r.doc_id, r.value_sha256) for r in out if r.label == 1}
+    assert {(r.doc_id, r.value_sha256) for r in out if r.is_secret} == secret
+    assert all(rows[r.doc_id][1][r.start : r.start + r.length] for r in out)
+
+
 def test_secret_forest_on_held_out_findings(spark):
     found = secret_scan.seed_labels(secret_scan.candidates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).where("label is not null")
     half = F.pmod(F.xxhash64("value_sha256"), F.lit(2))

@@ -1,13 +1,16 @@
 """Secret scans: candidates by pattern, a random forest to remove false positives.
 
-Candidates are runs of 16 or more characters of `[A-Za-z0-9+/=_.@-]` that hold a digit. Features of each: length, share of
-digits and capitals, entropy, how often the character class changes, how much of it is covered by words of its own
-text (three letters and more), the path (depth, and words such as test or example in it), and the words before it
-(credential words, an assignment, an opening quote).
+Candidates are runs of 16 or more characters of `[A-Za-z0-9+/=_.@-]` that hold a digit, and whatever is assigned to a
+credential word, of any length and with or without digits: a quoted value whole, another up to white space or the next
+name. Where a run is a name, an assignment sign and a value, only the value is the candidate. Features of each: length,
+share of digits and capitals, entropy, how often the character class changes, how much of it is covered by words of its
+own text (three letters and more), the path (depth, and words such as test or example in it), and the words before it
+(credential words, an assignment, an opening quote, the form of an environment setting).
 
 The forest is Spark ML's, trained on labelled findings. `seed_labels` gives labels where none are at hand: an
-assignment of a credential word to a quoted run is a finding, an address, a web place or a run made of the text's own
-words is not; the rest stays unlabelled. The fit uses at most `sample` labelled findings, the first by hash.
+assignment of a credential word to a quoted value is a finding, and so is an unquoted value with a digit or in the form
+of an environment setting; an address, a web place, code, a lone unquoted word or a value made of the text's own words
+is not; the rest stays unlabelled. The fit uses at most `sample` labelled findings, the first by hash.
 
 Null and empty texts have no candidates; a null path is an empty one. Repeated rows give their rows again. Ids are
 carried along, null or not. Other columns are not read. Without findings of both labels no forest can be trained, and
@@ -31,22 +34,38 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-FEATURES = ("length", "digits", "capitals", "entropy", "changes", "covered", "path_depth", "path_sample", "credential", "assigned", "quoted")
+FEATURES = ("length", "digits", "capitals", "entropy", "changes", "covered", "path_depth", "path_sample", "credential", "assigned", "quoted", "setting")
 FINDINGS = "doc_id string, start int, length int, value_sha256 string, kind string, " + ", ".join(f"f_{f} double" for f in FEATURES)
 _RUN = re.compile(r"[A-Za-z0-9+/=_.@-]{16,}")
+_NAMED = re.compile(r"(?:-*[A-Za-z_][\w.-]*)?={1,3}(?=[^=])")  # of a run, what stands before its value
 _ALPHA = re.compile(r"[^\W\d_]{3,}")
 # Credential words, and words of paths that hold samples.
 _CREDENTIAL = re.compile(r"(?i)(token|secret|passw|pwd|api_?key|auth|bearer|credential|private)\w*\W*$")
+_WORDS = _CREDENTIAL.pattern[4 : _CREDENTIAL.pattern.index(")\\w") + 1]
+# a credential word, its closing quote, a type, the sign, a scheme, and the value: quoted, or up to white space or a quote
+_ASSIGNED = re.compile(
+    rf"""(?i){_WORDS}\w*[\\"'`\])]{{0,4}}[ \t]*(?P<sign>:[ \t]*[\w.\[\]|]{{1,40}}[ \t]*=(?!=)|:=|=>|={{1,3}}|:)[ \t]*"""
+    r"""(?:(?:bearer|basic)[ \t]+)?(?:"(?P<double>(?:[^"\\\n]|\\.)+)"|'(?P<single>(?:[^'\\\n]|\\.)+)'|[\\"'`]*(?P<bare>[^\s"'`]+))"""
+)
+_NEXT = re.compile(r"[,;&][\w.-]+=")
+_CODE = re.compile(r"(?i)[(\[{<$%]|^[a-z_]\w*(?:\.[a-z_]\w*)+$|^(?:true|false|none|null|nil|undefined|bearer|basic)$")
+_SETTING = re.compile(r"^\s*(?:export |set |env |-e |- )?[\w.-]*$")
 _SAMPLE = re.compile(r"(?i)test|example|sample|mock|fixture|demo")
 
 
-def _kind(run: str) -> str:
+def _kind(run: str, assigned: bool = False, quoted: bool = False, setting: bool = False) -> str:
+    """assigned: to a credential word; of such, code and lone words are told apart."""
     if re.search(r"@[\w-]+\.", run):
         return "address"
     if re.fullmatch(r"(?:[0-9a-f]+|[0-9A-F]+)", run):
         return "hex"
     if re.search(r"[a-z]\.[a-z]{2,}/|^www\.", run):
         return "place"
+    if assigned and not quoted and not any(c.isdigit() for c in run):
+        if _CODE.search(run):
+            return "code"
+        if not setting:
+            return "word"
     return "mixed"
 
 
@@ -69,37 +88,63 @@ def _covered(run: str, words: set[str]) -> float:
     return n / len(run)
 
 
-def features(text: str, path: str, start: int, run: str, words: set[str]) -> tuple[float, ...]:
+def features(text: str, path: str, start: int, run: str, words: set[str], assigned: bool = False, quoted: bool = False, setting: bool = False) -> tuple[float, ...]:
     n, before = len(run), text[max(0, start - 40) : start]
     return (
         float(n),
         sum(c.isdigit() for c in run) / n,
         sum(c.isupper() for c in run) / n,
         _entropy(run),
-        sum(_class(a) != _class(b) for a, b in zip(run, run[1:])) / (n - 1),
+        sum(_class(a) != _class(b) for a, b in zip(run, run[1:])) / max(n - 1, 1),
         _covered(run, words),
         float(path.count("/")),
         float(bool(_SAMPLE.search(path))),
-        float(bool(_CREDENTIAL.search(before))),
-        float(bool(re.search(r"[=:]\s*[\"']?$", before))),
-        float(before[-1:] in ("\"", "'") and text[start + n : start + n + 1] == before[-1:]),
+        float(assigned or bool(_CREDENTIAL.search(before))),
+        float(assigned or bool(re.search(r"[=:]\s*[\"']?$", before))),
+        float(quoted or (before[-1:] in ("\"", "'") and text[start + n : start + n + 1] == before[-1:])),
+        float(setting),
     )
 
 
+def _spans(text: str) -> dict[tuple[int, int], tuple[bool, bool, bool]]:
+    """(start, end) of the candidates, each with: assigned to a credential word, quoted, in the form of a setting."""
+    out = {}
+    for m in _ASSIGNED.finditer(text):
+        name = m.lastgroup
+        start, value = m.start(name), m[name]
+        if name == "bare":
+            value = _NEXT.split(value, maxsplit=1)[0].rstrip(",;)]}\\")
+        if value.strip():
+            # NAME=value in capitals, or alone at the start of a line
+            stuck = m["sign"] == "=" and name == "bare" and m.end("sign") == start and not text[m.start("sign") - 1].isspace()
+            line = text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 80) : m.start("sign")]
+            setting = stuck and (bool(_SETTING.search(line)) or bool(re.search(r"(?<![\w.])[A-Z][A-Z0-9_]*$", line)))
+            out[start, start + len(value)] = (True, name != "bare", setting)
+    for m in _RUN.finditer(text):
+        if any(c.isdigit() for c in m.group()):
+            named = _NAMED.match(m.group())
+            out.setdefault((m.start() + (named.end() if named else 0), m.end()), (False, False, False))
+    return out
+
+
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in FINDINGS.split(", ")]
     for batch in batches:
         rows = []
         for doc, text, path in zip(batch["doc_id"], batch["text"], batch["path"]):
-            words = None
-            for m in _RUN.finditer(text or ""):
-                run = m.group()
-                if not any(c.isdigit() for c in run):
-                    continue
-                if words is None:  # of the text without its candidates
-                    words = {w.lower() for w in _ALPHA.findall(_RUN.sub(" ", text))}
+            spans = _spans(text or "")
+            if not spans:
+                continue
+            # the words of the text without its candidates
+            rest, at = [], 0
+            for a, b in sorted(x for x, how in spans.items() if how[0]):
+                rest.append(text[at:a])
+                at = max(at, b)
+            words = {w.lower() for w in _ALPHA.findall(_RUN.sub(" ", " ".join([*rest, text[at:]])))}
+            for (a, b), how in sorted(spans.items()):
+                run = text[a:b]
                 sha = hashlib.sha256(run.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((doc, m.start(), len(run), sha, _kind(run), *features(text, path or "", m.start(), run, words)))
+                rows.append((doc, a, b - a, sha, _kind(run, *how), *features(text, path or "", a, run, words, *how)))
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -111,8 +156,9 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 
 def seed_labels(found: DataFrame) -> DataFrame:
     """found with `label`: 1 for a finding, 0 for a false positive, null where neither is plain."""
-    yes = (F.col("f_credential") == 1) & (F.col("f_assigned") == 1) & (F.col("f_quoted") == 1)
-    no = F.col("kind").isin("address", "place") | (F.col("f_covered") >= 0.5)
+    typed = (F.col("f_quoted") == 1) | (F.col("f_setting") == 1) | (F.col("f_digits") > 0)
+    yes = (F.col("f_credential") == 1) & (F.col("f_assigned") == 1) & typed
+    no = F.col("kind").isin("address", "place", "code", "word") | (F.col("f_covered") >= 0.5)
     return found.withColumn("label", F.when(yes & ~no, F.lit(1.0)).when(no, F.lit(0.0)))
 
 
