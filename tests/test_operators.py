@@ -108,6 +108,43 @@ def test_sim_join_query_searches_every_round(spark):
     assert {i: len(v) for i, v in got.items()} == {i: min(6, sizes.count(tuple(map(len, s))) - 1) for i, s in sides.items() if sizes.count(tuple(map(len, s))) > 1}
 
 
+def test_rest_clusters_hold_all_resting_rows(spark):
+    rng = random.Random(6)
+    centres = {(team, site): [(300.0 * i, 100.0 * team, 50.0 * site) for i in range(3)] for team in (2, 3) for site in (0, 1)}
+    rows, want = [], {}
+    for key, own in centres.items():
+        for i, c in enumerate(own):
+            for j in range(20 + i):
+                # a player's first row rests; its second is far off, its third rests beside that
+                p = len(rows)
+                rows += [(1, p, *key, 0, p, *(v + rng.random() / 10 for v in c)), (1, p, *key, 1, p + 1, 5000.0, 5000.0, 9.0)]
+        want[key] = [20, 21, 22]
+    rows += [(1, 0, 2, 0, 2, 9999, 5000.5, 5000.0, 9.0)]
+    pat = spark.createDataFrame(rows, "round_id long, player long, team int, site int, gt long, tick_id long, x double, y double, z double")
+    got = {}
+    for r in spatial.rest_clusters(pat, k=4).collect():
+        got.setdefault((r.team, r.site), []).append(r.n)
+    assert {k: sum(v) for k, v in got.items()} == {k: sum(v) + (k == (2, 0)) for k, v in want.items()}
+    assert sorted(got[2, 0]) == [1, 20, 21, 22]
+
+
+def test_rest_clusters_query_takes_the_whole_table(spark):
+    from tickframe.plans import registry
+    from tickframe.plans.domain import Tables
+
+    at, last, want = "/root/testdata/sf0.001", {}, {}
+    for r in Tables(spark, at).pat.orderBy("gt", "tick_id").collect():
+        x, y = last.get((r.round_id, r.player), (r.x, r.y))
+        last[r.round_id, r.player] = r.x, r.y
+        if math.hypot(r.x - x, r.y - y) < 1:
+            want[r.team, r.k % 2] = want.get((r.team, r.k % 2), 0) + 1
+    got, clusters = {}, {}
+    for r in registry.QUERIES["rest_clusters"](spark, at).collect():
+        got[r.team, r.site] = got.get((r.team, r.site), 0) + r.n
+        clusters.setdefault((r.team, r.site), set()).add(r.cluster)
+    assert got == want and all(len(c) == 50 for c in clusters.values())
+
+
 def test_dtw_properties():
     rng = np.random.default_rng(0)
     for _ in range(10):

@@ -168,5 +168,25 @@ def kmeans(points: DataFrame, columns: Sequence[str], k: int, seed: int = 3) ->
     return model.transform(rows).withColumn("cluster", rank).drop("_v", "_c")
 
 
+def rest_clusters(pat: DataFrame, k: int = 50, most: float = 1.0, keys: Sequence[str] = ("team", "site"), columns: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Positions at a speed under `most`, clustered for each of the keys: keys, cluster, n, and of each column mean and
+    std. The keys have few values (teams and sites); each is a fit of its own."""
+    from ..sources.tables import cut
+    from .behaviour import speed
+
+    still = cut(speed(pat, F.lit(1.0)).where(F.col("speed") < most).select(*keys, *columns))
+    out = None
+    for key in still.select(*keys).distinct().orderBy(*keys).collect():
+        own = still
+        for c in keys:
+            own = own.where(F.col(c).eqNullSafe(F.lit(key[c])))
+        stats = cluster_stats(kmeans(own, columns, k), columns)
+        stats = stats.select(*[F.lit(key[c]).cast(still.schema[c].dataType).alias(c) for c in keys], *stats.columns)
+        out = stats if out is None else out.union(stats)
+    if out is None:
+        out = cluster_stats(still.withColumn("cluster", F.lit(0)), columns).select(*[F.lit(None).cast(still.schema[c].dataType).alias(c) for c in keys], "*")
+    return out
+
+
 def cluster_stats(points: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
     return points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))])

@@ -136,7 +136,7 @@ def _(t):
 
 @query("rest_clusters")
 def _(t):
-    return s.cluster_stats(s.kmeans(t.pat.where("weapon = 0"), ["x", "y"], 8), ["x", "y"])
+    return s.rest_clusters(t.pat.withColumn("site", F.col("k") % 2))
 
 
 @query("peek_clusters", "SELECT (k % 6) AS cluster, count(*) AS n, round(avg(x), 6) AS x_mean, round(stddev_samp(x), 6) AS x_std FROM pat GROUP BY 1")
