@@ -145,6 +145,28 @@ def test_rest_clusters_query_takes_the_whole_table(spark):
     assert got == want and all(len(c) == 50 for c in clusters.values())
 
 
+def test_peek_clusters_follow_the_points(spark):
+    rng = random.Random(7)
+    # by coarse cells of 200, 100 and 10: (0, 0, 0), (0, 0, 2), (0, 1, 0), (5, 0, 0); exact x would order otherwise
+    centres = [(150.0, 50.0, 5.0), (20.0, 20.0, 900.0), (10.0, 550.0, 5.0), (1100.0, 30.0, 5.0)]
+    points = [tuple(v + rng.random() for v in c) for i, c in enumerate(centres) for _ in range(30 + i)]
+    got = {r.cluster: r for r in spatial.peek_clusters(spark.createDataFrame(points, "x double, y double, z double"), k=4).collect()}
+    assert [got[c].n for c in range(4)] == [30, 31, 32, 33]
+    for c in range(4):
+        own = np.array([p for p in points if math.dist(p, centres[c]) < 2])
+        d = np.sqrt(((own - own.mean(axis=0)) ** 2).sum(axis=1))
+        assert got[c].distance_mean == pytest.approx(d.mean()) and got[c].distance_std == pytest.approx(d.std(ddof=1))
+
+
+def test_peek_query_clusters_all_points(spark):
+    from tickframe.plans import registry
+    from tickframe.plans.domain import Tables
+
+    at = "/root/testdata/sf0.001"
+    got = registry.QUERIES["peek_kmeans"](spark, at).collect()
+    assert sum(r.n for r in got) == Tables(spark, at).pat.count() and sorted(r.cluster for r in got) == list(range(24))
+
+
 def test_dtw_properties():
     rng = np.random.default_rng(0)
     for _ in range(10):

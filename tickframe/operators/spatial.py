@@ -156,16 +156,22 @@ def region_sequence(pat: DataFrame, first: Column, second: Column, keys: Sequenc
     return seen.groupBy(*keys, "t1").agg(F.min(clock).alias("t2"))
 
 
-def kmeans(points: DataFrame, columns: Sequence[str], k: int, seed: int = 3) -> DataFrame:
-    """+ cluster, numbered by coordinates of the centres; Spark ML's KMeans."""
+def kmeans(points: DataFrame, columns: Sequence[str], k: int, seed: int = 3, coarse: Sequence[float] | None = None, distance: str | None = None) -> DataFrame:
+    """+ cluster, numbered by coordinates of the centres (with coarse, by their cells of these sizes first); Spark ML's
+    KMeans. distance: name of a column for the distance to the centre."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(points)
     model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_c").fit(rows)
-    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    order = sorted(range(len(centres)), key=lambda i: ([x // w for x, w in zip(centres[i], coarse or ())], centres[i]))
     rank = F.element_at(F.array(*[F.lit(order.index(i)) for i in range(len(order))]), F.col("_c") + 1)
-    return model.transform(rows).withColumn("cluster", rank).drop("_v", "_c")
+    out = model.transform(rows).withColumn("cluster", rank)
+    if distance:
+        centre = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centres]), F.col("_c") + 1)
+        out = out.withColumn(distance, F.sqrt(sum(((F.col(c) - centre[i]) * (F.col(c) - centre[i]) for i, c in enumerate(columns)), F.lit(0.0))))
+    return out.drop("_v", "_c")
 
 
 def rest_clusters(pat: DataFrame, k: int = 50, most: float = 1.0, keys: Sequence[str] = ("team", "site"), columns: Sequence[str] = ("x", "y", "z")) -> DataFrame:
@@ -188,5 +194,13 @@ def rest_clusters(pat: DataFrame, k: int = 50, most: float = 1.0, keys: Sequence
     return out
 
 
+def peek_clusters(points: DataFrame, k: int = 24, columns: Sequence[str] = ("x", "y", "z"), coarse: Sequence[float] = (200.0, 100.0, 10.0)) -> DataFrame:
+    """All points clustered, labels ordered by coarse coordinates: cluster, n, mean and std of the distance to its
+    centre."""
+    from ..sources.tables import cut
+
+    return cluster_stats(kmeans(cut(points.select(*columns)), columns, k, coarse=coarse, distance="distance"), ["distance"])
+
+
 def cluster_stats(points: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
     return points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))])

@@ -142,3 +142,8 @@ def _(t):
 @query("peek_clusters", "SELECT (k % 6) AS cluster, count(*) AS n, round(avg(x), 6) AS x_mean, round(stddev_samp(x), 6) AS x_std FROM pat GROUP BY 1")
 def _(t):
     return s.cluster_stats(t.pat.withColumn("cluster", F.col("k") % 6), ["x"]).select("cluster", "n", F.round("x_mean", 6).alias("x_mean"), F.round("x_std", 6).alias("x_std"))
+
+
+@query("peek_kmeans")
+def _(t):
+    return s.peek_clusters(t.pat)
