@@ -167,6 +167,14 @@ def test_peek_query_clusters_all_points(spark):
     assert sum(r.n for r in got) == Tables(spark, at).pat.count() and sorted(r.cluster for r in got) == list(range(24))
 
 
+def test_simple_paths_of_any_length(spark):
+    edges = [(i, i + 1) for i in range(12)] + [(0, 20), (20, 12), (20, 30)]
+    links = spark.createDataFrame([(a, b) for e in edges for a, b in (e, e[::-1])], "p long, q long")
+    paths = lambda **how: sorted((r.path for r in spatial.simple_paths(links, 0, 12, **how).collect()), key=len)
+    assert paths() == [[0, 20, 12], list(range(13))]
+    assert paths(avoid=[30]) == paths() and paths(other=30) == [list(range(13))]
+
+
 def test_dtw_properties():
     rng = np.random.default_rng(0)
     for _ in range(10):

@@ -84,14 +84,18 @@ def place_links(edges: DataFrame, areas: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("p <> q").select("p", "q").distinct()
 
 
-def simple_paths(links: DataFrame, start: int, goal: int, avoid: Sequence[int] = (), max_steps: int = 8) -> DataFrame:
-    """All paths from start to goal that visit no node twice and none to avoid, up to max_steps: path."""
+def simple_paths(links: DataFrame, start: int, goal: int, avoid: Sequence[int] = (), other: int | None = None) -> DataFrame:
+    """All paths from start to goal that visit no node twice and none to avoid: path. other: the other objective, which
+    is avoided with all its neighbours. Paths hold no cycle, so the search ends by itself."""
     from ..sources.tables import cut
 
     ok = links.where(~F.col("q").isin(*avoid)) if avoid else links
+    if other is not None:
+        beside = links.where(F.col("p") == other).select("q").distinct()
+        ok = ok.where(F.col("q") != other).join(beside, "q", "left_anti")
     live = links.sparkSession.createDataFrame([([start],)], "path array<long>")
     done = []
-    for _ in range(max_steps):
+    while True:
         live = live.withColumn("p", F.element_at("path", -1)).join(ok, "p").where(~F.array_contains("path", F.col("q"))).select(F.array_append("path", F.col("q").cast("long")).alias("path"))
         live = cut(live)
         done.append(live.where(F.element_at("path", -1) == goal))
