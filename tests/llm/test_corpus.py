@@ -198,6 +198,26 @@ def test_decontamination(spark):
     assert clean == {d for d, *_ in rows} - {d for d, *_ in expect} | {None}
 
 
+def test_short_items_are_matched_exactly(spark):
+    items = [(1, "What is the capital of France?"), (2, "北京是哪国的首都"), (3, "?!"), (4, "Who wrote it?")]
+    texts = ["So: what is\nthe CAPITAL of France, they ask", "what is the big capital of France", "问：北京是哪国的首都？", "he wrote it", "Who wrote it", None]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.budget) for r in decontamination.contamination(docs, bench).collect()}
+    assert got == {(0, 1, 0, 0), (2, 2, 0, 0), (4, 4, 0, 0)}
+    assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == {1, 3, 5}
+
+
+def test_matches_are_written_block_by_block(spark, monkeypatch):
+    log, blocks, keep = [], decontamination.item_blocks, decontamination.keep
+    monkeypatch.setattr(decontamination, "item_blocks", lambda *a, **b: (log.append("read") or x for x in blocks(*a, **b)))
+    monkeypatch.setattr(decontamination, "keep", lambda *a: log.append("written") or keep(*a))
+    bench = spark.createDataFrame([(k, f"one two three four five six seven eight nine number{k}") for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine number7", "en", "s", 0)], DOCS)
+    assert decontamination.contamination(docs, bench, block_chars=1000).count() == 40
+    assert len(log) > 2 and log == ["read", "written"] * (len(log) // 2)
+
+
 def test_source_mixing(spark, docs):
     rows = source_mixing.mix_documents(docs, shards=8, blocks=64).collect()
     again = source_mixing.mix_documents(docs.repartition(7), shards=8, blocks=64).collect()

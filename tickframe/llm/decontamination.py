@@ -7,10 +7,10 @@ word: an automaton over all pieces finds the exact hits in one run over the text
 which the item is verified with Myers' bit-parallel distance. Nothing within the budget is lost.
 
 The items are a query set run against all documents, in blocks of bounded size: a block of at most `block_chars`
-characters is sent to the tasks and each block is one pass. The documents are never shuffled.
+characters is sent to the tasks and each block is one pass, whose matches are written before the next block is fetched. The documents are never shuffled.
 
-Items with fewer than `least_words` words are too short to be evidence and are matched to nothing. Null and empty
-texts match nothing; null ids are carried along. Repeated rows and repeated items each give their own rows. Other
+Items with fewer than `least_words` words are matched exactly (budget 0), word for word; a run of an unspaced script is
+one word. Items without words match nothing. Null and empty texts match nothing; null ids are carried along. Repeated rows and repeated items each give their own rows. Other
 columns are not read. Empty tables give an empty result.
 """
 
@@ -39,6 +39,11 @@ def budget(n: int, rate: float = 0.15) -> int:
     return max(1, int(n * rate))
 
 
+def allowed(n: int, rate: float, least_words: int) -> int:
+    """budget(n), or none for items of fewer than least_words words."""
+    return budget(n, rate) if n >= least_words else 0
+
+
 def pieces(n: int, errors: int) -> list[tuple[int, int]]:
     """errors + 1 stretches of nearly equal length that cover n words."""
     cuts = [n * k // (errors + 1) for k in range(errors + 2)]
@@ -67,7 +72,7 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
     return best, end
 
 
-def _matcher(items: list[tuple[int, list[str]]], rate: float):
+def _matcher(items: list[tuple[int, list[str]]], rate: float, least_words: int):
     """items: (id, words). Rows of MATCHES for batches of doc_id, text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +80,7 @@ def _matcher(items: list[tuple[int, list[str]]], rate: float):
 
         machine, at = ahocorasick.Automaton(), {}
         for k, (_, ws) in enumerate(items):
-            for a, b in pieces(len(ws), budget(len(ws), rate)):
+            for a, b in pieces(len(ws), allowed(len(ws), rate, least_words)):
                 at.setdefault(" " + " ".join(ws[a:b]) + " ", []).append((k, a))
         for piece, places in at.items():
             machine.add_word(piece, (len(piece), places))
@@ -99,7 +104,7 @@ def _matcher(items: list[tuple[int, list[str]]], rate: float):
                         hits.setdefault(k, set()).add(first - a)
                 for k, diagonals in hits.items():
                     item, pattern = items[k]
-                    e = budget(len(pattern), rate)
+                    e = allowed(len(pattern), rate, least_words)
                     best = None
                     for lo, hi in _joined(sorted(diagonals), len(pattern) + 2 * e):
                         lo, hi = max(0, lo - e), min(len(ws), hi + len(pattern) + e)
@@ -124,7 +129,7 @@ def _joined(diagonals: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield lo, hi
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", least_words: int = 8, block_chars: int = 8_000_000) -> Iterator[list[tuple[int, list[str]]]]:
+def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_chars: int = 8_000_000) -> Iterator[list[tuple[int, list[str]]]]:
     """The query set, block by block. Items are dealt by hash to as many blocks as their characters need; an item is
     never cut, so a block exceeds the bound only by what the hash deals unevenly."""
     named = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -133,7 +138,7 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text",
     for k in range(n):
         block = named.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else named
         rows = ((r.item_id, words_of(r.text)) for r in block.toLocalIterator())
-        if own := [(i, ws) for i, ws in rows if len(ws) >= least_words]:
+        if own := [(i, ws) for i, ws in rows if ws]:
             yield own
 
 
@@ -141,7 +146,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """A row for each document and item found in it: its smallest distance, the budget, and where it begins (about:
     the match's end less the item's length)."""
     read = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    parts = [read.mapInPandas(_matcher(block, rate), MATCHES) for block in item_blocks(items, least_words=least_words, block_chars=block_chars)]
+    parts = [keep(read.mapInPandas(_matcher(block, rate, least_words), MATCHES), "matches") for block in item_blocks(items, block_chars=block_chars)]
     found = reduce(DataFrame.union, parts) if parts else read.sparkSession.createDataFrame([], MATCHES)
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))  # a long with nulls is a float in pandas
 
