@@ -59,7 +59,10 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    """shards: epoch:shard of each draw that takes the document."""
+    out = source_mixing.mix_documents(table(spark, sf_dir, "documents"))
+    shards = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["epoch"], d["shard"])), ";")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", shards.alias("shards"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
