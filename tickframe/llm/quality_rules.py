@@ -123,7 +123,9 @@ def ablations(kept_ledger: DataFrame, policy: str | tuple[str, ...] = "v2", rule
 
 
 def quality_filter(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The documents that a policy keeps, with their own columns only. The ledger is one struct, so that the filter
-    reads it and doesn't measure again."""
-    verdict = apply_policy(ledger(docs), policy).select(F.col("kept").alias("__kept"), *docs.columns)
-    return verdict.where("__kept").select(*docs.columns)
+    """The documents that a policy keeps, with their own columns only; those named like a measurement stand aside while
+    it is made. The ledger is one struct, so that the filter reads it and doesn't measure again."""
+    aside = {c: f"__{c}" for c in docs.columns if c in (*MEASURES, "fail_bits", "failed", "kept")}
+    verdict = apply_policy(ledger(docs.withColumnsRenamed(aside)), policy)
+    own = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+    return verdict.select(F.col("kept").alias("__keep"), *own).where("__keep").select(*docs.columns)
