@@ -22,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts without repeated lines; n_chars counts what is left. Every document stays, if with an empty text."""
-    out = line_dedup.line_dedup(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    aside = {c: f"__{c}" for c in docs.columns if c in ("n_lines", "n_dropped")}
+    out = line_dedup.line_dedup(docs.withColumnsRenamed(aside)).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
