@@ -35,7 +35,7 @@ def corpus(seed=3, n=60):
         texts.append(" ".join(words))
     texts += [texts[0], texts[0], texts[1].upper(), None, "", "one two", "one two", "  \t\n ", prose(rng, 20_000), "a b c d\n" * 300]
     rows = [(i, t, "en", f"src{i % 5}" if i % 11 else None, len(t or "")) for i, t in enumerate(texts)]
-    return rows + [(None, "null id text", None, None, 3), rows[2]]
+    return rows + [(None, "null id text", None, None, 3), rows[2], (None, texts[0], None, "src0", 3), (None, texts[3], None, "src1", 3)]
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +78,24 @@ def test_quality_ablations(spark, docs):
         assert r.kept_without == sum(x.fail_bits & mask & ~bit == 0 for x in rows)
 
 
+CLASHING = ("n_words", "kept", "failed", "fail_bits", "n_lines", "n_dropped", "rank", "n_blocks", "block", "draw", "draws", "target", "source_size")
+
+
+def test_filters_leave_clashing_columns_alone(spark, docs):
+    import corpus_pipeline
+
+    named = docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(-1))) for c in CLASHING})
+    want = lambda df: all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for r in df.collect() for c in CLASHING)
+    kept = quality_rules.quality_filter(named)
+    assert kept.columns == named.columns and 0 < kept.count() == quality_rules.quality_filter(docs).count() and want(kept)
+    lines = corpus_pipeline.lines(spark, named, "")
+    assert lines.columns == named.columns and want(lines)
+    mixed = source_mixing.mixture(named, shards=4, blocks=64)
+    assert set(mixed.columns) == {*named.columns, "epoch", "shard", "place"} and mixed.count() > 0 and want(mixed)
+    near = near_dedup.near_dedup(named.withColumns({"component": F.lit(1), "component_id": F.lit(2), "lo": F.lit(3)}))
+    assert want(near) and near.count() == near_dedup.near_dedup(docs).count()
+
+
 def test_line_dedup(spark, docs):
     rows = docs.collect()
     key = lambda line: low(line.strip(" \t\n\x0b\x0c\r"))
@@ -120,8 +138,8 @@ def brute_components(rows):
 def test_near_classes(spark, docs):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_classes(docs).collect())
     assert got == brute_components(docs.collect())
-    kept = near_dedup.near_dedup(docs, shingle=4).select("doc_id").distinct().count()
-    assert kept == len({c for _, _, c in got})
+    kept = Counter(r.doc_id for r in near_dedup.near_dedup(docs, shingle=4).select("doc_id").collect())
+    assert kept == Counter(r.doc_id for r in docs.collect() if r.doc_id is None or (r.doc_id, len(shingles(r.text)), r.doc_id) in got)
 
 
 def test_near_classes_of_a_drifting_group(spark):
@@ -252,13 +270,49 @@ def test_mixture_shards(spark, docs):
     assert set(mixed.columns) == {"doc_id", "text", "lang", "source", "n_chars", "epoch", "shard", "place"}
 
 
-def test_tree_gives_exact_quotas():
-    import pandas as pd
-
-    quotas = pd.DataFrame({"rank": [0, 1, 2], "quota": [100, 1, 37]})
-    out = source_mixing._tree(7, 5)(quotas)
-    assert out.groupby("rank")["quota"].sum().to_dict() == {0: 100, 1: 1, 2: 37}
-    assert sorted(out.groupby("shard")["quota"].sum()) == [19, 19, 20, 20, 20, 20, 20]
+@pytest.mark.parametrize("shards", [1, 7, 64, 300])
+def test_tree_gives_exact_quotas(spark, shards):
+    """Also in more rounds than one (300 shards): each source its quota, each shard its capacity."""
+    quotas = {0: 1000, 1: 1, 2: 370}
+    df = spark.createDataFrame(list(quotas.items()), "rank int, quota long")
+    rows = source_mixing.split_quotas(df, shards).collect()
+    by_rank, by_shard = Counter(), Counter()
+    for r in rows:
+        by_rank[r.rank] += r.quota
+        by_shard[r.shard] += r.quota
+    base, more = divmod(1371, shards)
+    assert by_rank == quotas and by_shard == {k: base + (k < more) for k in range(shards)}
+    assert sorted(rows) == sorted(source_mixing.split_quotas(df.repartition(3), shards).collect())
+
+
+def test_tree_is_hypergeometric(spark):
+    """The first shard's share of a source, over seeds, has the mean of the distribution."""
+    df = spark.createDataFrame([(0, 60), (1, 30), (2, 10)], "rank int, quota long")
+    first = [{r.rank: r.quota for r in source_mixing.split_quotas(df, 4, seed).collect() if r.shard == 0} for seed in range(40)]
+    assert abs(np.mean([f.get(0, 0) for f in first]) - 15) < 2 and abs(np.mean([f.get(2, 0) for f in first]) - 2.5) < 1 and len({f.get(0) for f in first}) > 3
+
+
+def test_draws_of_blocks(spark, docs):
+    """Each draw of a block goes to one shard; a source's blocks are drawn once or twice, or once more or not at all."""
+    sized = source_mixing.sizes(docs)
+    sources, drawn, shards = source_mixing.draws(sized, 300, 2000)
+    of = {r["rank"]: r for r in sources.collect()}
+    per_shard, n = Counter(), 0
+    for r in drawn.collect():
+        epochs = [d.epoch for d in r.draws]
+        assert epochs == list(range(len(epochs))) and of[r["rank"]].passes <= len(epochs) <= of[r["rank"]].passes + 1
+        per_shard.update(d.shard for d in r.draws)
+        n += len(epochs)
+    base, more = divmod(n, 300)
+    assert shards == 300 and per_shard == {k: base + (k < more) for k in range(300) if base + (k < more)}
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(k % 3, rng.randrange(-(1 << 63), 1 << 63), rng.randrange(9)) for k in range(900)]
+    df = spark.createDataFrame(rows, "rank int, key long, v long").repartition(5)
+    got = {(r["rank"], r.key): r.before for r in source_mixing._running(df, ["rank"], source_mixing._bucket("key", 3000), ["key"], F.col("v")).collect()}
+    assert got == {(a, k): sum(x[2] for x in rows if x[0] == a and x[1] < k) for a, k, _ in rows}
 
 
 PAGES = [(k, f"http://x/{k}\nq", f"<p>é{k % 7}</p>" if k % 10 else None) for k in range(40)] + [(50, None, ""), (None, "u", "<p>é1</p>"), (3, "dup", "<p>é3</p>"), (60, "long", "x" * 400_000)]
@@ -484,15 +538,59 @@ def test_quality_classifier_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
     test = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
     out = quality_classifier.classify(docs, labels.where(~test)).join(labels.where(test), "doc_id").collect()
-    assert np.mean([(r.p_quality >= 0.5) == (r.quality == 1) for r in out]) > 0.9
+    assert np.mean([(r.p_quality >= 0.5) == (r.quality == 1) for r in out]) > 0.95
     assert np.mean([(r.p_toxic >= 0.5) == (r.toxic == 1) for r in out]) > 0.9
+    clean = [r for r in out if not r.toxic]
+    assert np.mean([r.p_toxic < 0.5 for r in clean]) > 0.98
+
+
+SCORED = "doc_id long, host string, path string, quality double, toxic double"
+
+
+def plain_posteriors(rows):
+    """The path's posterior of each row, by loops: one-way analysis of variance, the row left out of its sites."""
+    p = np.array([1 / (1 + np.exp(-r[3])) for r in rows])
+    mean, out = p.mean(), []
+    of = lambda key: [[i for i, r in enumerate(rows) if key(r) == k] for k in {key(r) for r in rows}]
+    levels = [of(lambda r: 0), of(lambda r: r[1]), of(lambda r: (r[1], r[2]))]
+    spread = lambda groups: sum(((p[g] - p[g].mean()) ** 2).sum() for g in groups)
+    strength = []
+    for above, below in zip(levels, levels[1:]):
+        within = spread(below) / (len(p) - len(below))
+        up = len(below) - len(above)
+        between = (spread(above) - spread(below)) / up - within if up else 0
+        size = len(p) - sum(sum(len(b) ** 2 for b in below if b[0] in a) / len(a) for a in above)
+        tau = between * up / size if size else 0
+        strength.append(min(1e6, max(1, within / tau)) if tau > 0 else 1e6)
+    for i, r in enumerate(rows):
+        host = [j for j in range(len(rows)) if rows[j][1] == r[1] and j != i]
+        path = [j for j in host if rows[j][2] == r[2]]
+        h = (p[host].sum() + strength[0] * mean) / (len(host) + strength[0])
+        out.append((p[path].sum() + strength[1] * h) / (len(path) + strength[1]))
+    return out
 
 
 def test_site_posteriors(spark):
-    rows = [(i, "big", "big/a", 4.0, -9.0) for i in range(200)] + [(500, "small", "small/a", -4.0, -9.0), (501, None, None, 0.0, None)]
-    got = {(r.host, r.path): r for r in quality_classifier.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, quality double, toxic double")).collect()}
-    one = got[("small", "small/a")]
-    assert 0.018 < one.path_p < one.global_p and abs(got[("big", "big/a")].path_p - 0.982) < 0.01 and (None, None) in got
+    rng = np.random.default_rng(4)
+    rows = []
+    for h, (n, level) in enumerate([(300, 3.0), (80, -2.0), (40, 0.5), (1, -4.0), (1, 4.0), (2, 0.0)]):
+        rows += [(len(rows) + i, f"h{h}" if h else None, f"h{h}/{i % 3}", level + (i % 3) + float(rng.normal()), None) for i in range(n)]
+    out = {r.doc_id: r for r in quality_classifier._with_sites(spark.createDataFrame(rows, SCORED).repartition(3), "quality").collect()}
+    want = plain_posteriors(rows)
+    assert len(out) == len(rows) and all(abs(out[r[0]].path_quality - w) < 1e-9 for r, w in zip(rows, want))
+    evidence = [out[r[0]].quality for r in rows]
+    mean = np.mean([1 / (1 + np.exp(-x)) for x in evidence])
+    logit = lambda q: np.log(q / (1 - q))
+    assert all(abs(out[r[0]].post_quality - 1 / (1 + np.exp(-(r[3] - logit(mean) + logit(w))))) < 1e-9 for r, w in zip(rows, want))
+    alone = [r for r in rows if sum(x[1] == r[1] for x in rows) == 1]
+    assert len(alone) == 2 and all(abs(out[r[0]].path_quality - mean) < 1e-9 for r in alone)  # no evidence for itself
+
+
+def test_sites_of_equal_share_keep_it(spark):
+    """One-document sites don't spread, whatever their own evidence is."""
+    rows = [(i, f"host{i}", f"host{i}/x", float(i % 7 - 3), None) for i in range(40)]
+    out = quality_classifier._with_sites(spark.createDataFrame(rows, SCORED), "quality").collect()
+    assert len({round(r.path_quality, 9) for r in out}) == 1
 
 
 def test_empty_tables(spark):

@@ -24,7 +24,7 @@ With 32 bands of 5 a pair at similarity 0.8 exactly meets in no bucket with prob
 Components are found by alternating large and small stars on the edge table, written to the shared folder each
 round; no link list, set or component goes to the driver, and no group is gathered in one task.
 
-Null ids form a document of their own that is never linked by id; null and empty texts are kept, each its own
+Rows with a null id are linked with nothing and have a null component; null and empty texts are kept, each its own
 component. Rows that share an id are one document, linked by any of its texts. Other columns pass through
 `near_dedup`. An empty table gives an empty result.
 """
@@ -245,7 +245,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         found = keep(components(links.union(more).union(several)), "components")
     ids = classes.join(found, F.col("lead") == F.col("node"), "left").select(F.col("lo").alias("l"), F.col("hi").alias("h"), F.coalesce("component", "lead").alias("component"))
     ids = keep(ids, "ids")  # a written side has no aggregate in the join's stage, so Spark can split a class of many copies
-    out = sketches.select("doc_id", "n_shingles", "lo", "hi").join(ids, (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h")), "left")
+    mine = F.col("doc_id").isNotNull() & (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h"))
+    out = sketches.select("doc_id", "n_shingles", "lo", "hi").join(ids, mine, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
