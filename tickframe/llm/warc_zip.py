@@ -5,6 +5,11 @@ where each record lies. `locate` reads a package's end record, its ZIP64 locator
 central directory, and the index members, and gives spans of neighbouring records. `read_records` fetches each span
 with one range read and decodes its records.
 
+Packages by other writers are read as well: any number of stored `archive/*.warc` and `*.warc.gz` members, indexes in
+any order (`.cdxj` and `.cdx` lines with JSON, plain or gzipped) that name their archive by `filename`, and records of
+any type. An archive that no index names is read from its start to its end. An archive that is not stored can't be
+read by ranges and is an error, as is an index line for an archive that isn't there.
+
 Equal payloads are written once: the smallest page id of a payload (of `least_bytes` or more) is the response, other
 pages are revisits that carry the digest, the length and the response's id. Only digests and ids are grouped for
 this, so a payload that a third of all pages share is one row, and the pages meet it in a join that AQE can split.
@@ -14,7 +19,8 @@ only files in the manifest, which is written once, are read. pyarrow opens file:
 
 Null html is an empty payload; a null url an empty one; line breaks in urls are percent-encoded. Pages with a null id
 are always responses, and so are repeated rows of the smallest id. Other columns are not read. An empty table gives
-no files and an empty result.
+no files and an empty result. Records by other writers have a null page_id; a digest that they don't give is made, and
+one by another algorithm is given as it is.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ import json
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import keep, new_path
 
 MANIFEST = "path string, records long, bytes long"
-SPANS = "path string, start long, lengths array<long>"
+SPANS = "path string, start long, bytes long, offsets array<long>, lengths array<long>"
 RECORDS = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, digest_ok boolean, refers_to string"
 # Signatures of the ZIP format and the profile of a revisit.
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -81,14 +88,20 @@ def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str
 def parse_record(raw: bytes) -> tuple:
     """(page_id, url, type, payload_bytes, digest, whether the payload has that digest, refers_to)."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    response = fields["WARC-Type"] == "response"
-    own, other = fields.get("X-Page"), fields.get("X-Refers-To-Page")
-    return (own, fields["WARC-Target-URI"], fields["WARC-Type"], len(payload) if response else size, said, digest(payload) == said if response else None, other)
+    lines = (line.partition(":") for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.removeprefix(" ") for name, _, value in lines}
+    kind, block = fields["warc-type"], rest[: int(fields["content-length"])]
+    payload, size = block, None
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    size = size if kind == "revisit" else len(payload)
+    said = fields.get("warc-payload-digest")
+    plain = said is None or said.lower().startswith("sha1:")
+    bare = said[5:] if said and plain else said
+    own = digest(payload)
+    same = None if kind == "revisit" or not plain or said is None else bare.upper() == own or bare.lower() == hashlib.sha1(payload).hexdigest()
+    return (fields.get("x-page"), fields.get("warc-target-uri"), kind, size, own if said is None else bare, same, fields.get("x-refers-to-page"))
 
 
 def _packer(folder: str, max_bytes: int):
@@ -118,7 +131,7 @@ def _packer(folder: str, max_bytes: int):
                 open_ = open_ or begin()
                 packed = gzip.compress(record(page, url, (html or "").encode("utf-8", "surrogatepass"), refers), 4, mtime=0)
                 open_["data"].write(packed)
-                open_["index"].append(f"{page} {json.dumps({'offset': open_['size'], 'length': len(packed)})}\n".encode())
+                open_["index"].append(f"{page} {json.dumps({'offset': open_['size'], 'length': len(packed), 'filename': 'data.warc.gz'})}\n".encode())
                 open_["size"] += len(packed)
                 if open_["size"] >= max_bytes:
                     end(open_)
@@ -193,41 +206,119 @@ def directory(f, size: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def entries(index: bytes) -> Iterator[tuple[str | None, int, int]]:
+    """(archive's name, offset, length) of an index's lines; other lines (of headers) have no offset."""
+    for line in (gzip.decompress(index) if index[:2] == b"\x1f\x8b" else index).splitlines():
+        at = line.find(b"{")
+        place = json.loads(line[at:]) if at >= 0 else {}
+        if "offset" in place:
+            yield place.get("filename"), int(place["offset"]), int(place["length"])
+
+
+def spans_of(f, size: int, span_bytes: int, gap: int = 64_000, most: int = 1000) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """(start, bytes, offsets from the start, lengths) of neighbouring records; without offsets, a whole archive."""
+    archives, indexes = {}, []
+    for name, method, start, stored in directory(f, size):
+        if name.startswith("archive/") and name.endswith((".warc", ".warc.gz")):
+            if method != zipfile.ZIP_STORED:
+                raise ValueError(f"{name} is compressed as a member")
+            archives[name] = (start, stored, [])
+        elif name.startswith("indexes/") and name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+            if method != zipfile.ZIP_STORED:
+                raise ValueError(f"{name} is compressed as a member")
+            indexes.append((start, stored))
+    for start, stored in indexes:
+        for name, offset, length in entries(f.read_at(stored, start)):
+            named = [a for a in archives if name is None or a == name or a == f"archive/{name}"]
+            if len(named) != 1:
+                raise ValueError(f"an index names the archive {name}")
+            archives[named[0]][2].append((offset, length))
+    for base, stored, places in archives.values():
+        if not places:
+            yield base, stored, [], []
+        first, offsets, lengths = None, [], []
+        for offset, length in sorted(set(places)):
+            if first is not None and (offset + length - first > span_bytes or offset - first - offsets[-1] - lengths[-1] > gap or len(offsets) >= most):
+                yield base + first, offsets[-1] + lengths[-1], offsets, lengths
+                first, offsets, lengths = None, [], []
+            first = offset if first is None else first
+            offsets.append(offset - first)
+            lengths.append(length)
+        if offsets:
+            yield base + first, offsets[-1] + lengths[-1], offsets, lengths
+
+
 def _locator(span_bytes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
                 fs, at = _filesystem(path)
                 with fs.open_input_file(at) as f:
-                    members = {name: (start, size) for name, method, start, size in directory(f, f.size()) if method == zipfile.ZIP_STORED}
-                    base, (index_at, index_size) = members["archive/data.warc.gz"][0], members["indexes/index.cdxj"]
-                    rows, start, lengths = [], None, []
-                    for line in f.read_at(index_size, index_at).splitlines():
-                        place = json.loads(line.split(b" ", 1)[1])
-                        if start is None:
-                            start = base + place["offset"]
-                        lengths.append(place["length"])
-                        if sum(lengths) >= span_bytes or len(lengths) >= 1000:
-                            rows.append((path, start, lengths))
-                            start, lengths = None, []
-                    if lengths:
-                        rows.append((path, start, lengths))
-                yield pd.DataFrame(rows, columns=["path", "start", "lengths"])
+                    rows = [(path, *span) for span in spans_of(f, f.size(), span_bytes)]
+                yield pd.DataFrame(rows, columns=["path", "start", "bytes", "offsets", "lengths"])
 
     return run
 
 
+def _sequence(f, start: int, size: int, step: int = 4_000_000) -> Iterator[bytes]:
+    """The records of an archive without an index, read piece by piece."""
+    held, at, end = b"", start, start + size
+
+    def more() -> bytes:
+        nonlocal at
+        piece = f.read_at(min(step, end - at), at)
+        at += len(piece)
+        return piece
+
+    while held or at < end:
+        held = held or more()
+        if held[:1] == b"\x1f":
+            plain, parts = zlib.decompressobj(31), []
+            while not plain.eof:
+                parts.append(plain.decompress(held))
+                held = plain.unused_data if plain.eof else more()
+                if not plain.eof and not held:
+                    raise ValueError("an archive ends inside a record")
+            yield b"".join(parts)
+            continue
+        while (cut := held.find(b"\r\n\r\n")) < 0 and at < end:
+            held += more()
+        if cut < 0:
+            if held.strip():
+                raise ValueError("an archive ends inside a record")
+            return
+        fields = (x.partition(b":") for x in held[:cut].split(b"\r\n"))
+        whole = cut + 8 + next(int(v) for k, _, v in fields if k.lower() == b"content-length")
+        while len(held) < whole and at < end:
+            held += more()
+        yield held[:whole]
+        held = held[whole:]
+
+
 def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"digest_ok": "boolean", "payload_bytes": "Int64"})
+
     for batch in batches:
-        for path, start, lengths in zip(batch["path"], batch["start"], batch["lengths"]):
+        for path, start, size, offsets, lengths in zip(*(batch[c] for c in ("path", "start", "bytes", "offsets", "lengths"))):
             fs, at = _filesystem(path)
+            rows, held = [], 0
             with fs.open_input_file(at) as f:
-                data, rows, k = f.read_at(int(sum(lengths)), start), [], 0
-            for n in lengths:
-                rows.append(parse_record(gzip.decompress(data[k : k + n])))
-                k += n
-            out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "digest_ok", "refers_to"])
-            yield out.astype({"digest_ok": "boolean"})
+                if len(offsets):
+                    data = f.read_at(size, start)
+                    raws = (data[o : o + n] for o, n in zip(offsets, lengths))
+                    raws = (gzip.decompress(r) if r[:2] == b"\x1f\x8b" else r for r in raws)
+                else:
+                    raws = _sequence(f, start, size)
+                for raw in raws:
+                    rows.append(parse_record(raw))
+                    held += 1
+                    if held >= 10_000:
+                        yield table(rows)
+                        rows, held = [], 0
+            yield table(rows)
 
 
 def locate(archives: DataFrame, span_bytes: int = 4_000_000) -> DataFrame:
@@ -235,7 +326,11 @@ def locate(archives: DataFrame, span_bytes: int = 4_000_000) -> DataFrame:
     return archives.select("path").mapInPandas(_locator(span_bytes), SPANS)
 
 
-def read_records(archives: DataFrame, span_bytes: int = 4_000_000) -> DataFrame:
-    """Every record of the packages. Spans are dealt out anew, so a large package is read by many tasks."""
-    out = locate(archives, span_bytes).repartition("path", "start").mapInPandas(_fetch, RECORDS)
+def read_records(archives: DataFrame, span_bytes: int = 4_000_000, task_bytes: int = 16_000_000) -> DataFrame:
+    """Every record of the packages. The spans are written and dealt out evenly, to a task for each task_bytes and to
+    all cores at least, so that a large package is read by many."""
+    spans = keep(locate(archives, span_bytes), "spans")
+    n, size = spans.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    tasks = max(1, min(n, max(archives.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // task_bytes))))
+    out = spans.repartition(tasks).mapInPandas(_fetch, RECORDS)
     return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
