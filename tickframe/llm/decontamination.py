@@ -7,11 +7,14 @@ word: an automaton over all pieces finds the exact hits in one run over the text
 which the item is verified with Myers' bit-parallel distance. Nothing within the budget is lost.
 
 The items are a query set run against all documents, in blocks of bounded size: a block of at most `block_chars`
-characters is sent to the tasks and each block is one pass, whose matches are written before the next block is fetched. The documents are never shuffled.
+characters is sent to the tasks and each block is one pass, whose matches are written before the next block is
+fetched. `contamination` doesn't shuffle the documents.
 
 Items with fewer than `least_words` words are matched exactly (budget 0), word for word; a run of an unspaced script is
-one word. Items without words match nothing. Null and empty texts match nothing; null ids are carried along. Repeated rows and repeated items each give their own rows. Other
-columns are not read. Empty tables give an empty result.
+one word. Items without words match nothing. Null and empty texts match nothing. Null ids, of documents and of items,
+are carried along; a document with a null id, or one of several rows with an id, is told by its text as well when found
+documents are taken out. Repeated rows and repeated items each give their own rows. Other columns are not read by
+`contamination` and pass through `decontaminate`. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import keep
 
 _WORDS = re.compile(r"[^\W_]+")
-MATCHES = "doc_id string, item_id long, distance int, budget int, first_word int, n_words int"
+MATCHES = "doc_id string, row long, item_id string, distance int, budget int, first_word int, n_words int"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -72,8 +75,9 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
     return best, end
 
 
-def _matcher(items: list[tuple[int, list[str]]], rate: float, least_words: int):
-    """items: (id, words). Rows of MATCHES for batches of doc_id, text."""
+def _matcher(items: list[tuple[str | None, list[str]]], rate: float, least_words: int):
+    """items: (id, words). Rows of MATCHES for batches of doc_id, row, text."""
+    names = [x.split()[0] for x in MATCHES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
@@ -88,7 +92,7 @@ def _matcher(items: list[tuple[int, list[str]]], rate: float, least_words: int):
             machine.make_automaton()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]) if at else ():
+            for doc, row, text in zip(batch["doc_id"], batch["row"], batch["text"]) if at else ():
                 ws = words_of(text)
                 line = " " + " ".join(ws) + " "
                 hits: dict[int, set[int]] = {}
@@ -112,8 +116,8 @@ def _matcher(items: list[tuple[int, list[str]]], rate: float, least_words: int):
                         if d <= e and (best is None or d < best[0]):
                             best = (d, max(0, lo + stop - len(pattern)))
                     if best:
-                        rows.append((doc, item, best[0], e, best[1], len(pattern)))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "first_word", "n_words"])
+                        rows.append((doc, row, item, best[0], e, best[1], len(pattern)))
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -129,30 +133,36 @@ def _joined(diagonals: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield lo, hi
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_chars: int = 8_000_000) -> Iterator[list[tuple[int, list[str]]]]:
+def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_chars: int = 8_000_000) -> Iterator[list[tuple[str | None, list[str]]]]:
     """The query set, block by block. Items are dealt by hash to as many blocks as their characters need; an item is
     never cut, so a block exceeds the bound only by what the hash deals unevenly."""
-    named = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    named = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     total = named.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     for k in range(n):
-        block = named.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else named
+        block = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else named
         rows = ((r.item_id, words_of(r.text)) for r in block.toLocalIterator())
         if own := [(i, ws) for i, ws in rows if ws]:
             yield own
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = 0.15, least_words: int = 8, block_chars: int = 8_000_000) -> DataFrame:
-    """A row for each document and item found in it: its smallest distance, the budget, and where it begins (about:
-    the match's end less the item's length)."""
-    read = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
+def _matches(docs: DataFrame, items: DataFrame, doc_id: str, text: str = "text", rate: float = 0.15, least_words: int = 8, block_chars: int = 8_000_000) -> DataFrame:
+    """MATCHES of all blocks; row is a hash of the text."""
+    read = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     parts = [keep(read.mapInPandas(_matcher(block, rate, least_words), MATCHES), "matches") for block in item_blocks(items, block_chars=block_chars)]
-    found = reduce(DataFrame.union, parts) if parts else read.sparkSession.createDataFrame([], MATCHES)
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))  # a long with nulls is a float in pandas
+    return reduce(DataFrame.union, parts) if parts else read.sparkSession.createDataFrame([], MATCHES)
+
+
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """A row for each document and item found in it: its smallest distance, the budget, and where it begins (about:
+    the match's end less the item's length). how: rate (of edits), least_words, block_chars."""
+    found = _matches(docs, items, doc_id, text, **how)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")}).drop("row")  # a long with nulls is a float in pandas
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents in which no item is found, with their own columns. The found ids are written first, so Spark
     knows their size when it picks the join."""
-    found = keep(contamination(docs, items, doc_id, **how).select(F.col("doc_id").alias("__found")).distinct(), "contaminated")
-    return docs.join(found, F.col(doc_id) == F.col("__found"), "left_anti")
+    found = _matches(docs, items, doc_id, text, **how).select(F.col("doc_id").cast("long").alias("__found"), F.col("row").alias("__row")).distinct()
+    found = keep(found, "contaminated")
+    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("__found")) & (F.xxhash64(text) == F.col("__row")), "left_anti")
