@@ -592,6 +592,61 @@ def test_planted_forms_of_secrets(spark):
     assert all(rows[r.doc_id][1][r.start : r.start + r.length] for r in out)
 
 
+def test_secret_features(spark):
+    """Dictionary coverage and character transitions against loops over all documents."""
+    texts = ["alpha beta gamma alpha", "Alpha beta9 x", "gamma alpha-beta", "gamma", None, "", 'token = "alphagammaX9alp" and region=eu-west-gamma-77ff'] + ["beta"] * 2
+    docs = spark.createDataFrame([(k, t, "en", "a/b", 0) for k, t in enumerate(texts)] + [(0, texts[0], "en", "a/b", 0)], DOCS)
+    counts = Counter(w for t in [*texts, texts[0]] if t for w in set(re.findall(r"(?<![^\W_])[^\W\d_]{4,12}(?![^\W_])", t.lower())))
+    known = {w for w, n in counts.items() if n >= 3}
+    assert {r.word for r in secret_scan.dictionary(docs).collect()} == known == {"alpha", "beta", "gamma"}
+    pairs = Counter()
+    for t in [*texts, texts[0]]:
+        c = [int(x) for x in secret_scan._coded(t or "")]
+        pairs.update(zip(c, c[1:]))
+    for r in secret_scan.candidates(docs).collect():
+        run = texts[r.doc_id][r.start : r.start + r.length]
+        under = {p for p in range(len(run)) for w in known for q in range(len(run)) if run.lower().startswith(w, q) and q <= p < q + len(w)}
+        c = [int(x) for x in secret_scan._coded(run)]
+        log = [np.log2((pairs[a, b] + 1) / (38 + sum(n for (x, _), n in pairs.items() if x == a))) for a, b in zip(c, c[1:])]
+        assert r.f_covered == pytest.approx(len(under) / len(run)) and r.f_transitions == pytest.approx(np.mean(log))
+        assert r.f_covered == pytest.approx({"alphagammaX9alp": 10 / 15, "eu-west-gamma-77ff": 5 / 18}[run])
+
+
+def planted_findings(n=900, seed=6):
+    """Texts with one candidate each that hold a secret or not; forms that no rule over the context tells apart."""
+    rng = random.Random(seed)
+    pick = lambda k, chars: "".join(rng.choice(chars) for _ in range(k))
+    hexa, base = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    forms = [
+        (1, lambda: f"token = \"{pick(40, hexa)}\""),
+        (0, lambda: f"commit {pick(40, hexa)}"),
+        (1, lambda: f"API_KEY={pick(32, base)}7"),
+        (0, lambda: f"password = \"{rng.choice(VOCAB)}-{rng.choice(VOCAB)}-{rng.choice(VOCAB)}-{rng.randrange(10)}\""),
+        (1, lambda: f"deploy with {pick(36, base)}4 now"),
+        (0, lambda: f"see build {pick(8, hexa)}-{pick(12, hexa)}-{pick(12, hexa)} there"),
+        (0, lambda: f"secret: {rng.choice(VOCAB)}_{rng.choice(VOCAB)}_{rng.choice(VOCAB)}_{rng.choice(VOCAB)}1"),
+    ]
+    rows = []
+    for k in range(n):
+        truth, make = forms[k % len(forms)]
+        rows.append((k, prose(rng, 12) + " " + " ".join(rng.choice(VOCAB) for _ in range(12)) + "\n" + make() + "\n" + prose(rng, 6), "en", "a/b.py", truth))
+    return rows
+
+
+def test_secret_forest_on_labelled_findings(spark):
+    """Trained on half of the findings with labels that come from the planting and not from any feature."""
+    rows = planted_findings()
+    docs = spark.createDataFrame(rows, DOCS)
+    found = secret_scan.candidates(docs).groupBy("doc_id").agg(F.max_by("start", "length").alias("start"))
+    labels = found.join(docs.select("doc_id", F.col("n_chars").alias("label")), "doc_id").where("doc_id % 2 = 0")
+    out = [r for r in secret_scan.scan(docs, labels=labels).collect() if r.doc_id % 2]
+    hits = [(r.is_secret, bool(rows[r.doc_id][4])) for r in out]
+    precision = np.mean([t for s, t in hits if s])
+    recall = len({r.doc_id for r in out if r.is_secret and rows[r.doc_id][4]}) / sum(r[4] for r in rows if r[0] % 2)
+    assert precision > 0.93 and recall > 0.93, (precision, recall)
+    assert secret_scan.scan(docs, labels=labels.where("label = 1")).where("is_secret").count() == labels.where("label = 1").count()  # one label alone: it stands
+
+
 def test_secret_forest_on_held_out_findings(spark):
     found = secret_scan.seed_labels(secret_scan.candidates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).where("label is not null")
     half = F.pmod(F.xxhash64("value_sha256"), F.lit(2))

@@ -2,19 +2,29 @@
 
 Candidates are runs of 16 or more characters of `[A-Za-z0-9+/=_.@-]` that hold a digit, and whatever is assigned to a
 credential word, of any length and with or without digits: a quoted value whole, another up to white space or the next
-name. Where a run is a name, an assignment sign and a value, only the value is the candidate. Features of each: length,
-share of digits and capitals, entropy, how often the character class changes, how much of it is covered by words of its
-own text (three letters and more), the path (depth, and words such as test or example in it), and the words before it
-(credential words, an assignment, an opening quote, the form of an environment setting).
-
-The forest is Spark ML's, trained on labelled findings. `seed_labels` gives labels where none are at hand: an
-assignment of a credential word to a quoted value is a finding, and so is an unquoted value with a digit or in the form
-of an environment setting; an address, a web place, code, a lone unquoted word or a value made of the text's own words
-is not; the rest stays unlabelled. The fit uses at most `sample` labelled findings, the first by hash.
+name. Where a run is a name, an assignment sign and a value, only the value is the candidate. Features of each:
+
+* length; share of digits and capitals; entropy;
+* character transitions: how often the character class changes, and the mean log2 probability of each character after
+  the one before it, under a table of all characters of all documents (ASCII letters, digits, white space, the rest);
+* dictionary coverage: the share of characters under words of 4 to 12 letters, found anywhere in the letter runs; a
+  word is in the dictionary if `least_docs` documents of the corpus have it;
+* path: depth, and words such as test or example in it;
+* neighbouring words: credential words, an assignment, an opening quote, the form of an environment setting, and words
+  that name a reference (commit, checksum, version) before the candidate.
+
+The forest is Spark ML's, trained on labelled findings (`labels`: doc_id, start, label). `seed_labels` gives labels
+where none are at hand, by rule: an assignment of a credential word to a quoted value is a finding, and so is an
+unquoted value with a digit or in the form of an environment setting; an address, a web place, code, a lone unquoted
+word or a value made of dictionary words is not; the rest stays unlabelled. A forest trained on those can only spread
+that rule. The fit uses at most `sample` labelled findings, the first by hash.
+
+The transition table has a fixed number of rows, so it is sent to the tasks; the dictionary grows with the corpus and
+meets the candidates in a join.
 
 Null and empty texts have no candidates; a null path is an empty one. Repeated rows give their rows again. Ids are
 carried along, null or not. Other columns are not read. Without findings of both labels no forest can be trained, and
-the seed labels stand (unlabelled ones are no secrets). An empty table gives an empty result.
+the labels stand (unlabelled ones are no secrets). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +34,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -34,11 +45,18 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-FEATURES = ("length", "digits", "capitals", "entropy", "changes", "covered", "path_depth", "path_sample", "credential", "assigned", "quoted", "setting")
-FINDINGS = "doc_id string, start int, length int, value_sha256 string, kind string, " + ", ".join(f"f_{f} double" for f in FEATURES)
+FEATURES = ("length", "digits", "capitals", "entropy", "changes", "transitions", "covered", "path_depth", "path_sample", "credential", "assigned", "quoted", "setting", "reference")
+_FOUND = tuple(f for f in FEATURES if f != "covered")  # known without the dictionary
+FINDINGS = "doc_id string, start int, length int, value_sha256 string, kind string, runs array<string>, " + ", ".join(f"f_{f} double" for f in _FOUND)
 _RUN = re.compile(r"[A-Za-z0-9+/=_.@-]{16,}")
 _NAMED = re.compile(r"(?:-*[A-Za-z_][\w.-]*)?={1,3}(?=[^=])")  # of a run, what stands before its value
-_ALPHA = re.compile(r"[^\W\d_]{3,}")
+_ALPHA = re.compile(r"[^\W\d_]{4,}")
+_WORD_LETTERS = (4, 12)
+# 38 classes of a byte: letters without case, digits, white space, anything else (also in bytes of other scripts).
+_CODES = np.full(256, 37, dtype=np.int64)
+for _k, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
+    _CODES[[ord(_c), ord(_c.upper())]] = _k
+_CODES[[9, 10, 11, 12, 13, 32]] = 36
 # Credential words, and words of paths that hold samples.
 _CREDENTIAL = re.compile(r"(?i)(token|secret|passw|pwd|api_?key|auth|bearer|credential|private)\w*\W*$")
 _WORDS = _CREDENTIAL.pattern[4 : _CREDENTIAL.pattern.index(")\\w") + 1]
@@ -50,6 +68,7 @@ _ASSIGNED = re.compile(
 _NEXT = re.compile(r"[,;&][\w.-]+=")
 _CODE = re.compile(r"(?i)[(\[{<$%]|^[a-z_]\w*(?:\.[a-z_]\w*)+$|^(?:true|false|none|null|nil|undefined|bearer|basic)$")
 _SETTING = re.compile(r"^\s*(?:export |set |env |-e |- )?[\w.-]*$")
+_REFERENCE = re.compile(r"(?i)(?:commit|revision|rev|sha\d*|md5|hash|checksum|digest|etag|uuid|guid|version|build|integrity)\W*$")
 _SAMPLE = re.compile(r"(?i)test|example|sample|mock|fixture|demo")
 
 
@@ -78,31 +97,53 @@ def _class(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def _covered(run: str, words: set[str]) -> float:
-    """The share of characters in letter runs that are, or are made of two, words of the text."""
-    low, n = run.lower(), 0
-    for m in _ALPHA.finditer(low):
-        w = m.group()
-        if w in words or any(w[:k] in words and w[k:] in words for k in range(3, len(w) - 2)):
-            n += len(w)
-    return n / len(run)
+def _coded(text: str) -> np.ndarray:
+    return _CODES[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+
+
+def _count_transitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(38 * 38, dtype=np.int64)
+    for batch in batches:
+        for text in batch["text"]:
+            if text:
+                c = _coded(text)
+                counts += np.bincount(c[:-1] * 38 + c[1:], minlength=38 * 38)
+    yield pd.DataFrame({"pair": np.flatnonzero(counts), "n": counts[counts > 0]})
+
 
+def transitions(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """log2 P(class | class before), of all documents, each pair counted once more. 38 rows and columns."""
+    counted = docs.select(F.col(text).alias("text")).mapInPandas(_count_transitions, "pair long, n long")
+    table = np.ones(38 * 38)
+    for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 1,444 rows at most
+        table[r.pair] += r.n
+    table = table.reshape(38, 38)
+    return np.log2(table / table.sum(axis=1, keepdims=True))
 
-def features(text: str, path: str, start: int, run: str, words: set[str], assigned: bool = False, quoted: bool = False, setting: bool = False) -> tuple[float, ...]:
-    n, before = len(run), text[max(0, start - 40) : start]
+
+def dictionary(docs: DataFrame, text: str = "text", least_docs: int = 3) -> DataFrame:
+    """word: words of 4 to 12 letters, lower-cased, that stand alone in least_docs documents or more."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}])\p{L}{%d,%d}(?![\p{L}\p{N}])" % _WORD_LETTERS), F.lit(0)))
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("word")
+
+
+def features(text: str, path: str, start: int, run: str, table: np.ndarray, assigned: bool = False, quoted: bool = False, setting: bool = False) -> tuple[float, ...]:
+    """The features of _FOUND."""
+    n, before, coded = len(run), text[max(0, start - 40) : start], _coded(run)
     return (
         float(n),
         sum(c.isdigit() for c in run) / n,
         sum(c.isupper() for c in run) / n,
         _entropy(run),
         sum(_class(a) != _class(b) for a, b in zip(run, run[1:])) / max(n - 1, 1),
-        _covered(run, words),
+        float(table[coded[:-1], coded[1:]].mean()) if len(coded) > 1 else 0.0,
         float(path.count("/")),
         float(bool(_SAMPLE.search(path))),
         float(assigned or bool(_CREDENTIAL.search(before))),
         float(assigned or bool(re.search(r"[=:]\s*[\"']?$", before))),
         float(quoted or (before[-1:] in ("\"", "'") and text[start + n : start + n + 1] == before[-1:])),
         float(setting),
+        float(bool(_REFERENCE.search(before))),
     )
 
 
@@ -127,31 +168,48 @@ def _spans(text: str) -> dict[tuple[int, int], tuple[bool, bool, bool]]:
     return out
 
 
-def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _finder(table: np.ndarray):
     names = [x.split()[0] for x in FINDINGS.split(", ")]
-    for batch in batches:
-        rows = []
-        for doc, text, path in zip(batch["doc_id"], batch["text"], batch["path"]):
-            spans = _spans(text or "")
-            if not spans:
-                continue
-            # the words of the text without its candidates
-            rest, at = [], 0
-            for a, b in sorted(x for x, how in spans.items() if how[0]):
-                rest.append(text[at:a])
-                at = max(at, b)
-            words = {w.lower() for w in _ALPHA.findall(_RUN.sub(" ", " ".join([*rest, text[at:]])))}
-            for (a, b), how in sorted(spans.items()):
-                run = text[a:b]
-                sha = hashlib.sha256(run.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((doc, a, b - a, sha, _kind(run, *how), *features(text, path or "", a, run, words, *how)))
-        yield pd.DataFrame(rows, columns=names)
-
-
-def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text, path in zip(batch["doc_id"], batch["text"], batch["path"]):
+                for (a, b), how in sorted(_spans(text or "").items()):
+                    run = text[a:b]
+                    sha = hashlib.sha256(run.encode("utf-8", "surrogatepass")).hexdigest()
+                    rows.append((doc, a, b - a, sha, _kind(run, *how), _ALPHA.findall(run.lower()), *features(text, path or "", a, run, table, *how)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return find
+
+
+def _coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """found (with place, a key of its own) with f_covered in place of runs: words are looked for at every place of
+    every letter run, and the characters under any of them are counted once."""
+    least, most = _WORD_LETTERS
+    runs = found.select("place", F.posexplode("runs").alias("k", "run"))
+    at = runs.select("place", "k", "run", F.explode(F.sequence(F.lit(1), F.length("run") - least + 1)).alias("p"))
+    some = at.select("place", "k", "p", F.explode(F.transform(F.sequence(F.lit(least), F.least(F.lit(most), F.length("run") - F.col("p") + 1)), lambda n: F.substr("run", "p", n))).alias("word"))
+    hits = some.join(words, "word").groupBy("place", "k", "p").agg(F.max(F.length("word")).alias("n"))
+    none = F.struct(F.lit(0).alias("to"), F.lit(0).alias("sum"))
+
+    def step(done, x):
+        end = x["p"] + x["n"]
+        return F.struct(F.greatest(done["to"], end).alias("to"), (done["sum"] + F.greatest(F.lit(0), end - F.greatest(done["to"], x["p"]))).alias("sum"))
+
+    spans = hits.groupBy("place", "k").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("s"))
+    letters = spans.select("place", F.aggregate("s", none, step, lambda d: d["sum"]).alias("sum")).groupBy("place").agg(F.sum("sum").alias("letters"))
+    covered = F.coalesce(F.col("letters") / F.col("length"), F.lit(0.0))
+    return found.join(letters, "place", "left").withColumn("f_covered", covered).drop("place", "runs", "letters")
+
+
+def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", least_docs: int = 3) -> DataFrame:
     """A row for each candidate: doc_id, start, length, value_sha256 (the value itself isn't copied), kind, features."""
     read = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.col(path).alias("path"))
-    return read.mapInPandas(_find, FINDINGS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = read.mapInPandas(_finder(transitions(docs, text)), FINDINGS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = keep(found.withColumn("place", F.monotonically_increasing_id()), "candidates")
+    return _coverage(found, dictionary(docs, text, least_docs))
 
 
 def seed_labels(found: DataFrame) -> DataFrame:
@@ -184,7 +242,14 @@ def score(found: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     return out.withColumn("is_secret", F.col("score") >= threshold).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", **fit) -> DataFrame:
-    """Candidates of all documents with seed labels, scores of a forest trained on them, and verdicts."""
-    found = keep(seed_labels(candidates(docs, doc_id, text, path)), "findings")
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", labels: DataFrame | None = None, least_docs: int = 3, **fit) -> DataFrame:
+    """Candidates of all documents with labels (given ones, or else seed labels), scores of a forest trained on them,
+    and verdicts. labels: doc_id, start and label (1 a secret, 0 not) of some candidates, one row each."""
+    found = candidates(docs, doc_id, text, path, least_docs)
+    if labels is None:
+        found = seed_labels(found)
+    else:
+        known = labels.select(F.col("doc_id").alias("__id"), F.col("start").alias("__start"), F.col("label").cast("double").alias("label"))
+        found = found.join(known, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("start") == F.col("__start")), "left").drop("__id", "__start")
+    found = keep(found, "findings")
     return score(found, train(found, **fit))
