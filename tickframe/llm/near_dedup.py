@@ -68,16 +68,20 @@ def shingle_hashes(text: str | None, n: int = 4) -> np.ndarray:
 @cache
 def _multipliers(size: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    return rng.integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, size, dtype=np.uint64)
+    return rng.integers(0, 1 << 31, size, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, size, dtype=np.uint32)
 
 
-def signature(shingles: np.ndarray, size: int) -> np.ndarray:
+def signature(shingles: np.ndarray, size: int, step: int = 1024) -> np.ndarray:
+    """Minima of `size` linear hashes. The shingles are mixed already, so 32 bits of each and 32-bit products do, and
+    numpy works on them in vectors; a step's table stays in the processor's cache."""
     a, b = _multipliers(size)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(size, np.iinfo(np.uint32).max, dtype=np.uint32)
-    step = max(1, 400_000 // size)
-    for at in range(0, len(shingles), step):
-        h = shingles[at : at + step, None] * a + b
-        np.minimum(least, (h >> np.uint64(32)).astype(np.uint32).min(axis=0), out=least)
+    table = np.empty((min(step, len(x)), size), dtype=np.uint32)
+    for at in range(0, len(x), step):
+        some = x[at : at + step, None]
+        h = np.multiply(some, a, out=table[: len(some)])
+        np.minimum(least, np.add(h, b, out=h).min(axis=0), out=least)
     return least
 
 
