@@ -27,6 +27,19 @@ _TABLES = {
     "defusals": "id:l plant_id:l start_tick:l end_tick:l defuser:l succesful:b",
     "explosions": "id:l plant_id:l tick_id:l",
     "say": "id:l game_id:l tick_id:l message:t",
+    "player_at_tick": "id:l player_id:l tick_id:l pos_x:d pos_y:d pos_z:d eye_pos_z:d vel_x:d vel_y:d vel_z:d view_x:d view_y:d aim_punch_x:d aim_punch_y:d view_punch_x:d view_punch_y:d team:s health:d armor:d"
+    " has_helmet:b is_alive:b is_crouching:b is_walking:b is_scoped:b is_airborne:b remaining_flash_time:d active_weapon:s primary_weapon:s primary_bullets_clip:s primary_bullets_reserve:s secondary_weapon:s"
+    " secondary_bullets_clip:s secondary_bullets_reserve:s num_he:s num_flash:s num_smoke:s num_molotov:s num_incendiary:s num_decoy:s num_zeus:s has_defuser:b has_bomb:b money:i ping:i",
+    "visibilities": "spotter:t spotted:t start_game_tick:l end_game_tick:l spotter_id:l spotted_id:l demo:t hacking:i start_frame_num:l end_frame_num:l color:t",
+    "visibilities_unadjusted": "spotter:t spotted:t start_game_tick:l end_game_tick:l spotter_id:l spotted_id:l demo:t hacking:i start_frame_num:l end_frame_num:l color:t",
+    "hand_visibility": "index:l spotter:t spotted:t start_game_tick:l end_game_tick:l spotter_id:l spotted_id:l demo:t hacking:b",
+    "lookers": "index:l tick_id:l looker_pat_id:l looker_player_id:l looked_at_pat_id:l looked_at_player_id:l",
+    "actions": "action_name:t action_number:l game_tick_number:l demo:t player:t",
+    "cover_origins": "index:l x:d y:d z:d",
+    "cover_edges": "index:l origin_id:l cluster_id:l minX:d minY:d minZ:d maxX:d maxY:d maxZ:d",
+    "nearest_origin": "index:l tick_id:l pat_id:l player_id:l origin_id:l",
+    "player_in_cover_edge": "index:l tick_id:l looker_pat_id:l looker_player_id:l looked_at_pat_id:l looked_at_player_id:l nearest_origin_id:l cover_edge_id:l",
+    "team_looking_at_cover_edge_cluster": "index:l tick_id:l origin_pat_id:l origin_player_id:l looking_pat_id:l looking_player_id:l nearest_origin_id:l cover_edge_cluster_id:l",
 }
 _TYPES = {"l": T.LongType(), "s": T.ShortType(), "i": T.IntegerType(), "d": T.DoubleType(), "b": T.BooleanType(), "t": T.StringType()}
 
