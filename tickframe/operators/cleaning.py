@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import stab_join
-from .windows import islands, over, so_far, whole
+from .windows import islands, over, running_sum, so_far, whole
 
 
 def fix_rounds(rounds: DataFrame, start: str = "start", end: str = "end", official: str = "official_end") -> DataFrame:
@@ -196,10 +196,10 @@ def slot_reuse(df: DataFrame, slots: int = 5, keys: Sequence[str] = ("round_id",
 
 
 def assign_ids(df: DataFrame, group: str, order: Sequence[str], offset: int = 0) -> DataFrame:
-    """+ id, dense from offset: groups in order, rows of a group by `order`. Groups are counted first and only their
-    counts are summed in one place, so the rows stay dealt out."""
+    """+ id, dense from offset: groups in order, rows of a group by `order`. Groups are counted first and their counts
+    summed along ranges of groups, so the rows stay dealt out."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
+    before = running_sum(counts, [group], F.col("_n"), "_before")
     ranked = df.withColumn("_r", F.row_number().over(over([group], order)) - 1)
     return ranked.join(before.drop("_n"), group).withColumn("id", F.col("_before") + F.col("_r") + offset).drop("_before", "_r")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import over, so_far, whole
+from .windows import over, running_sum, so_far, whole
 
 
 def hist1d(df: DataFrame, value: str, width: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -192,10 +192,10 @@ def survey_parse(answers: DataFrame, text: str = "answer") -> DataFrame:
 
 def rank_tests(df: DataFrame, value: str, group: str) -> DataFrame:
     """Per group: n, mean, mean rank (ties share the mean of their ranks) and the Kruskal-Wallis H of all groups with
-    the correction for ties. Ranks come from counts of distinct values, not of rows."""
+    the correction for ties. Ranks come from counts of distinct values, summed along ranges of values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
-    ranks = counts.select(value, (before + (F.col("_c") + 1) / 2).alias("_rank"), (F.col("_c") * F.col("_c") * F.col("_c") - F.col("_c")).alias("_tie"), "_c")
+    placed = running_sum(counts, [value], F.col("_c"), "_before")
+    ranks = placed.select(value, (F.col("_before") + (F.col("_c") + 1) / 2).alias("_rank"), (F.col("_c") * F.col("_c") * F.col("_c") - F.col("_c")).alias("_tie"), "_c")
     total, ties = ranks.agg(F.sum("_c"), F.sum("_tie")).first()
     n = float(total or 0)
     fix = 1 - float(ties or 0) / (n**3 - n) if n > 1 else 1.0

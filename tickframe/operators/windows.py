@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def over(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -27,6 +29,17 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], is_new: Co
     return df.withColumn("_new", F.when(first | is_new, 1).otherwise(0)).withColumn(name, F.sum("_new").over(so_far(keys, order))).drop("_new")
 
 
+def running_sum(df: DataFrame, order: Sequence[str | Column], value: Column, name: str = "before") -> DataFrame:
+    """+ name: the sum of value over all rows earlier in an order without ties. Rows are dealt by ranges of the order and
+    summed within each range; only the ranges' totals, a row a partition, are summed in one place."""
+    earlier = Window.unboundedPreceding, -1
+    dealt = cut(df.repartitionByRange(*order).withColumn("_piece", F.spark_partition_id()))  # written, so that pieces stay as they are
+    starts = dealt.groupBy("_piece").agg(F.sum(value).alias("_sum"))
+    starts = starts.select(F.col("_piece").alias("_p"), F.coalesce(F.sum("_sum").over(Window.orderBy("_piece").rowsBetween(*earlier)), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_piece").orderBy(*order).rowsBetween(*earlier)), F.lit(0))
+    return dealt.withColumn("_in", inside).join(starts, F.col("_piece") == F.col("_p")).withColumn(name, F.col("_start") + F.col("_in")).drop("_piece", "_p", "_start", "_in")
+
+
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Runs of equal values: keys, value, first and last order value, and length."""
     w = over(keys, order)
@@ -172,7 +185,7 @@ def event_contiguous(df: DataFrame, flag: Column, k: int, keys: Sequence[str], o
 
 
 def cum_sample_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 0) -> DataFrame:
-    """(key, is_train): keys in hash order train until their rows reach the share of all rows. One row a key is sorted."""
+    """(key, is_train): keys in hash order train until their rows reach the share of all rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.xxhash64(F.lit(seed), key), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(key, (F.sum("n").over(order) - F.col("n") < share * F.sum("n").over(Window.partitionBy())).alias("is_train"))
+    earlier = running_sum(counts.withColumn("_h", F.xxhash64(F.lit(seed), key)), ["_h", key], F.col("n"))
+    return earlier.select(key, (F.col("before") < share * df.count()).alias("is_train"))

@@ -98,7 +98,8 @@ def _(t):
 @query("box_overlap", "SELECT a.area, b.area AS other FROM areas a JOIN areas b ON a.area < b.area AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1")
 def _(t):
     b = t.areas.select(F.col("area").alias("other"), *[F.col(c).alias(f"b_{c}") for c in _LO + _HI])
-    return t.areas.join(b, (F.col("area") < F.col("other")) & s.boxes_overlap(_LO, _HI, [f"b_{c}" for c in _LO], [f"b_{c}" for c in _HI])).select("area", "other")
+    near = j.overlap_join(t.areas, b, width=100, names=("x0", "x1", "b_x0", "b_x1"))
+    return near.where((F.col("area") < F.col("other")) & s.boxes_overlap(_LO, _HI, [f"b_{c}" for c in _LO], [f"b_{c}" for c in _HI])).select("area", "other")
 
 
 @query("box_dist", "SELECT tick_id, area, round(sqrt(power(greatest(x0 - x, 0, x - x1), 2) + power(greatest(y0 - y, 0, y - y1), 2)), 6) AS d FROM pat JOIN areas ON areas.area = pat.k % 25")
