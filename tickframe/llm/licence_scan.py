@@ -8,8 +8,9 @@ longest one counts. Each known sentence has an identifier, or several. A documen
 sequence; the ordered rules are matched against it one after the other, each taking its stretch of identifiers out,
 so the longer text of a licence wins over a sentence that it shares with another.
 
-The known sentences are a fixed table of this module, held by every task as a tree of words. Only texts with a cue word
-are cut. The texts are not shuffled: only known sentences are grouped by document.
+The known sentences are a fixed table of this module, held by every task as a tree of words. Lines that are no known
+sentence (names and years of copyright, titles, conditions) stand between identifiers without parting them. Only texts
+with a cue word are cut, unless a caller's own sentences have one without a cue. The texts are not shuffled: only known sentences are grouped by document.
 
 Null and empty texts hold no sentence. Rows that share an id are one document, their sentences in order of place.
 Null ids are a document too. A document without known sentences gives no row. Other columns are not read. An empty
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words of which every known sentence has one.
+# Words of which every known sentence here has one.
 CUES = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain", "spdx", "endorse", "liab", "all rights")
 
 # Known licence sentences, normalised, and their identifiers.
@@ -69,10 +70,49 @@ SENTENCES: dict[str, str] = {
     "spdx license identifier gpl 3.0 or later": "Gpl3Later",
     "spdx license identifier bsd 3 clause": "Bsd3Ref",
     "spdx license identifier mpl 2.0": "MplRef",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdAsIs",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BsdLiability",
+    "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BsdLiability",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "IscAsIs",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "IscLiability",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "licensed under the bsd 2 clause license": "Bsd2Ref",
+    "licensed under the isc license": "IscRef",
+    "licensed under the mozilla public license version 2.0": "MplRef",
+    "distributed under the boost software license version 1.0": "BoostRef",
+    "licensed under the gnu lesser general public license version 3": "Lgpl3Ref",
+    "licensed under the gnu lesser general public license version 2.1": "Lgpl21Ref",
+    "licensed under the gnu affero general public license version 3": "Agpl3Ref",
+    "you should have received a copy of the gnu lesser general public license along with this library": "LgplCopy",
+    "you should have received a copy of the gnu affero general public license along with this program": "AgplCopy",
+    "licensed under the eclipse public license 2.0": "EplRef",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "Cc0Waiver",
+    "released under cc0 1.0 universal public domain dedication": "Cc0Waiver",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplNoWarranty",
+    "see the gnu general public license for more details": "GplMore",
+    "spdx license identifier gpl 2.0 only": "Gpl2Ref",
+    "spdx license identifier gpl 2.0 or later": "Gpl2Later",
+    "spdx license identifier lgpl 2.1 only": "Lgpl21Ref",
+    "spdx license identifier lgpl 2.1 or later": "Lgpl21Later",
+    "spdx license identifier lgpl 3.0 only": "Lgpl3Ref",
+    "spdx license identifier lgpl 3.0 or later": "Lgpl3Later",
+    "spdx license identifier agpl 3.0 only": "Agpl3Ref",
+    "spdx license identifier agpl 3.0 or later": "Agpl3Later",
+    "spdx license identifier bsd 2 clause": "Bsd2Ref",
+    "spdx license identifier isc": "IscRef",
+    "spdx license identifier zlib": "ZlibGrant",
+    "spdx license identifier bsl 1.0": "BoostRef",
+    "spdx license identifier epl 2.0": "EplRef",
+    "spdx license identifier cc0 1.0": "Cc0Waiver",
+    "spdx license identifier unlicense": "Unlicense",
 }
 
 _GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
 _FSF = f"{_GPL} as published by the free software foundation"
+_LIBRARY = "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"
+_AFFERO = "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"
 
 # Known sentences besides, as the licences print them, and the identifiers that each stands for.
 NOTICES: dict[str, tuple[str, ...]] = {
@@ -84,29 +124,58 @@ NOTICES: dict[str, tuple[str, ...]] = {
     f"{_FSF} version 2 of the license": ("Gpl2Ref",),
     f"{_GPL} version 2 as published by the free software foundation": ("Gpl2Ref",),
     "this work is licensed under a creative commons attribution sharealike 4.0 international license": ("CcBySaRef",),
+    f"{_LIBRARY} either version 2.1 of the license or at your option any later version": ("Lgpl21Later",),
+    f"{_LIBRARY} either version 3 of the license or at your option any later version": ("Lgpl3Later",),
+    f"{_AFFERO} either version 3 of the license or at your option any later version": ("Agpl3Later",),
+    f"{_AFFERO} version 3 of the license": ("Agpl3Ref",),
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0": ("EplRef",),
 }
 
 # Licence rules in order; a rule matches a stretch of identifiers.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("ApacheHead", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs", "MitLiability")),
+    ("ISC", ("IscGrant", "IscAsIs", "IscLiability")),
     ("ISC", ("IscGrant", "MitAsIs")),
+    ("BSD-3-Clause", ("Reserved", "BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs", "BsdLiability")),
+    ("BSD-2-Clause", ("Reserved", "BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs", "BsdLiability")),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs", "BsdLiability")),
+    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs", "BsdLiability")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
+    ("Zlib", ("ZlibAsIs", "ZlibLiability", "ZlibGrant")),
+    ("GPL-3.0-or-later", ("GplTerms", "Gpl3Plus", "GplNoWarranty", "GplMore", "GplCopy")),
+    ("GPL-2.0-or-later", ("GplTerms", "Gpl2Plus", "GplNoWarranty", "GplMore", "GplCopy")),
     ("GPL-3.0-or-later", ("GplTerms", "Gpl3Plus", "GplCopy")),
     ("GPL-2.0-or-later", ("GplTerms", "Gpl2Plus", "GplCopy")),
     ("GPL-3.0-or-later", ("GplTerms", "Gpl3Plus")),
     ("GPL-2.0-or-later", ("GplTerms", "Gpl2Plus")),
+    ("LGPL-2.1-or-later", ("Lgpl21Later", "LgplCopy")),
+    ("LGPL-3.0-or-later", ("Lgpl3Later", "LgplCopy")),
+    ("AGPL-3.0-or-later", ("Agpl3Later", "GplNoWarranty", "AgplCopy")),
     ("GPL-3.0-or-later", ("Gpl3Later",)),
+    ("GPL-2.0-or-later", ("Gpl2Later",)),
+    ("LGPL-3.0-or-later", ("Lgpl3Later",)),
+    ("LGPL-2.1-or-later", ("Lgpl21Later",)),
+    ("AGPL-3.0-or-later", ("Agpl3Later",)),
     ("GPL-3.0-only", ("Gpl3Ref",)),
     ("GPL-2.0-only", ("Gpl2Ref",)),
+    ("LGPL-3.0-only", ("Lgpl3Ref",)),
+    ("LGPL-2.1-only", ("Lgpl21Ref",)),
+    ("AGPL-3.0-only", ("Agpl3Ref",)),
     ("Apache-2.0", ("ApacheHead",)),
     ("Apache-2.0", ("ApacheRef",)),
     ("MIT", ("MitGrant",)),
     ("MIT", ("MitRef",)),
     ("ISC", ("IscGrant",)),
+    ("ISC", ("IscRef",)),
     ("BSD-3-Clause", ("Bsd3Ref",)),
+    ("BSD-2-Clause", ("Bsd2Ref",)),
+    ("Zlib", ("ZlibGrant",)),
+    ("BSL-1.0", ("BoostRef",)),
+    ("EPL-2.0", ("EplRef",)),
     ("MPL-2.0", ("MplRef",)),
+    ("CC0-1.0", ("Cc0Waiver",)),
     ("CC-BY-NC-4.0", ("CcByNcRef",)),
     ("CC-BY-SA-4.0", ("CcBySaRef",)),
     ("CC-BY-4.0", ("CcByRef",)),
@@ -179,7 +248,9 @@ def known_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([find(t, tree) for t in texts], dtype=object)
 
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(_CUE))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    if all(re.search(_CUE, known) for known in (*sentences, *notices)):
+        texts = texts.where(F.col("text").rlike(_CUE))  # a sentence without a cue must be looked for in every text
     return texts.select("doc_id", F.explode(found("text")).alias("s")).select("doc_id", "s.*")
 
 
