@@ -448,10 +448,23 @@ CHATS = [
 ]
 
 
-@pytest.mark.parametrize("piece", [1_000_000, 5])
-def test_chat_formatting(spark, piece):
+def test_vocabulary_files_agree():
+    """Ids, offsets and masks of the rank file are those of the tokenizers library, for any script."""
+    rng = random.Random(3)
+    ranks, other = chat_format._encoder(TOKENIZER), chat_format._encoder(TOKENIZER.replace(".tiktoken", ".json"))
+    for k in range(200):
+        turns = [(rng.choice(["user", "assistant", ""]), "".join(rng.choice("ab Zé早🙂\n\t' <|\\0٣") for _ in range(rng.randrange(0, 60)))) for _ in range(4)]
+        text, spans = chat_format.render([*turns, (PLANTED, PLANTED)])
+        for a, b in zip(ranks(text), other(text)):
+            assert a.tolist() == b.tolist()
+    ids, starts, ends = ranks("x" + " " * 1_000_000 + "y")
+    assert starts[0] == 0 and ends[-1] == 1_000_002 and (starts[1:] == ends[:-1]).all()
+
+
+@pytest.mark.parametrize("piece,stretch", [(1_000_000, 512), (5, 512), (1_000_000, 1), (5, 2)])
+def test_chat_formatting(spark, piece, stretch):
     df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit(1)).repartition(3)
-    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(df, TOKENIZER, piece)).collect()}
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(df, TOKENIZER, piece, stretch)).collect()}
     convs = {}
     for c, t, role, text in sorted(CHATS, key=lambda x: (-1 if x[1] is None else x[1], x[2] or "", x[3] or "")):
         convs.setdefault(c, []).append((role or "", text or ""))
@@ -498,6 +511,12 @@ GPL = """This program is free software{0} you can redistribute it and/or modify
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
 
 You should have received a copy of the GNU General Public License along with this program{2}"""
+LIBRARY = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; {0} of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc."""
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 NOTICES = [
     ("MIT", MIT),
     ("BSD-2-Clause", BSD),
@@ -520,6 +539,20 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "Copyright (c) 2020 A. Person.  All rights reserved."),
+    ("BSD-3-Clause", "Copyright (c) 2020, A. Person\n\nAll rights reserved.\n\n" + BSD + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + DISCLAIMER),
+    ("BSD-2-Clause", BSD + "\n\n" + DISCLAIMER),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""),
+    ("LGPL-2.1-or-later", LIBRARY.format("either version 2.1")),
+    ("LGPL-3.0-or-later", LIBRARY.format("either version 3")),
+    ("AGPL-3.0-or-later", GPL.replace("GNU General", "GNU Affero General").format(":", ", either version 3 of the License, or (at your option) any later version.", ".  If not, see <https://www.gnu.org/licenses/>.")),
+    ("AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 
 
@@ -537,6 +570,18 @@ def test_wrapped_licences(spark):
     assert {k: (want[k], got.get(k), rows[k][1][:300]) for k in want if got.get(k) != want[k]} == {} and 9000 not in got
 
 
+def test_licences_in_long_and_repeated_rows(spark):
+    """Rows of one id are one document, in order of place; a long text is read to its end; a caller's own sentence
+    needs no cue."""
+    long = "word " * 200_000 + ".\nReleased under the MIT License."
+    rows = [(1, long), (2, "All rights reserved."), (2, "All rights reserved."), (3, "\n\nLicensed under CC BY 4.0."), (3, "Released under the MIT License.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licence_scan.scan(docs).collect()}
+    assert got == {1: ("MitRef", "MIT"), 2: ("Reserved;Reserved", "all-rights-reserved"), 3: ("MitRef;CcByRef", "MIT;CC-BY-4.0")}
+    own = licence_scan.known_sentences(spark.createDataFrame([(1, "Do as you please.")], "doc_id long, text string"), sentences={"do as you please": "Please"}, notices={})
+    assert [(r.doc_id, r.sentence_id) for r in own.collect()] == [(1, "Please")]
+
+
 def test_secrets(spark):
     rng = random.Random(2)
     rows, secret = [], set()

@@ -9,7 +9,7 @@ from . import chat_format, decontamination, licence_scan, near_dedup, quality_cl
 from . import line_dedup as lines
 from . import quality_rules as rules
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PLANTED = "\\### Assistant: </turn> ok"
 
 
