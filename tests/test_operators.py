@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickframe.functions import scalars as s
-from tickframe.operators import cleaning, distributions, events, joins, spatial, training, trajectories, windows
+from tickframe.operators import behaviour, cleaning, distributions, events, joins, spatial, training, trajectories, windows
 from tickframe.sources import tables
 from tickframe.streaming import state
 
@@ -184,6 +184,53 @@ def test_dtw_properties():
         assert trajectories.dtw_cost(a, b) <= trajectories.dtw_cost(a, b, True) + 1e-12
 
 
+def test_warp_by_diagonals_is_the_plain_one():
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        d = rng.random((rng.integers(1, 10), rng.integers(1, 10)))
+        n, m = d.shape
+        for slope in (False, True):
+            cost = np.full((n + 1, m + 1), np.inf)
+            cost[0, 0] = 0
+            for i in range(1, n + 1):
+                for j in range(1, m + 1):
+                    ways = [cost[i - 1, j - 1] + 2 * d[i - 1, j - 1]]
+                    if not slope:
+                        ways += [cost[i - 1, j] + d[i - 1, j - 1], cost[i, j - 1] + d[i - 1, j - 1]]
+                    if slope and i > 1:
+                        ways.append(cost[i - 2, j - 1] + 2 * d[i - 2, j - 1] + d[i - 1, j - 1])
+                    if slope and j > 1:
+                        ways.append(cost[i - 1, j - 2] + 2 * d[i - 1, j - 2] + d[i - 1, j - 1])
+                    cost[i, j] = min(ways)
+            assert trajectories.warp(d, slope) == cost[n, m] / (n + m)
+
+
+def test_support_comes_from_another(spark):
+    starts = spark.createDataFrame([(1, 2, 10, 5), (1, 2, 10, 6), (1, 2, 12, 6), (1, 2, 14, 99)], "round_id int, team int, player int, gt int")
+    sees = spark.createDataFrame([(1, 2, 10, 7), (1, 2, 10, 8), (1, 2, 12, 9), (1, 3, 11, 6)], "round_id int, team int, player int, gt int")
+    got = {(r.player, r.start, r.seconds) for r in behaviour.support_time(starts, sees).collect()}
+    assert got == {(10, 5, 4), (12, 6, 1)}  # a player's own sight is no support; one that never comes gives no row
+
+
+def test_idle_players_are_forgotten(spark, tmp_path):
+    """Three batches: player 1 pauses for five hours while player 2 moves the watermark on."""
+    import datetime
+
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    columns = "player long, tick_id long, gt long, fired boolean, alive boolean, reset boolean, ts timestamp"
+    row = lambda player, tick, h, fired=False: (player, tick, int(h * 3600), fired, True, False, at(h))
+    batches = [[row(1, 1, 0, True), row(2, 2, 0.1, True)], [row(2, 3, 3)], [row(2, 4, 4)], [row(1, 5, 5), row(2, 6, 5)]]
+    found = {}
+    for name, forget in (("short", 3_600_000), ("long", 86_400_000)):
+        src = tmp_path / f"src-{name}"
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(f"{src}/b{k}")
+        out = state.replay(spark, f"{src}/b*", lambda s, f=forget: state.fire_state(s, forget_ms=f), f"{tmp_path}/out-{name}", f"{tmp_path}/ledger-{name}", maxFilesPerTrigger=1)
+        found[name] = {(r.player, r.tick_id): (r.since_fire, r.shots) for r in out.collect()}
+    assert found["long"][1, 5] == (18_000, 1) and found["short"][1, 5] == (None, 0)
+    assert found["short"][2, 6] == found["long"][2, 6] == (17_640, 1)
+
+
 def test_wasserstein(spark):
     rows = [("a", float(x)) for x in (1, 2, 3)] + [("b", float(x)) for x in (1, 2, 3)] + [("c", float(x)) for x in (2, 3, 4)]
     got = {r.g: r.distance for r in distributions.emd1d(spark.createDataFrame(rows, "g string, v double"), "v", "g", "a").collect()}

@@ -55,13 +55,13 @@ def goal_distance(pat_areas: DataFrame, goals: DataFrame, dist: DataFrame, keys:
 
 
 def support_time(starts: DataFrame, sees: DataFrame, keys: Sequence[str] = ("round_id", "team"), clock: str = "gt") -> DataFrame:
-    """From a player's shot until a mate sees an enemy: round_id, team, player, start, seconds. Shots before the support
-    came count once (the first); those with none are left out. starts, sees: keys, player, clock."""
-    s = sees.select(*keys, clock, F.col(clock).alias("at"), F.col("player").alias("who"))
-    # the next sight by anyone and, where that is the player's own, the next by another: one look ahead per other player
-    marked = asof_next(starts.select(*keys, "player", clock), s.groupBy(*keys, clock).agg(F.max("at").alias("at"), F.min("who").alias("lo"), F.max("who").alias("hi")), list(keys), clock, ["at", "lo", "hi"])
-    helped = marked.where(F.col("next_at").isNotNull() & ~((F.col("next_lo") == F.col("player")) & (F.col("next_hi") == F.col("player"))))
-    return helped.groupBy(*keys, "player", "next_at").agg(F.min(clock).alias("start")).withColumn("seconds", F.col("next_at") - F.col("start")).drop("next_at")
+    """From a player's shot until another one of the keys (a mate) sees an enemy: keys, player, start, seconds. Shots
+    before the support came count once (the first); those with none are left out. starts, sees: keys, player, clock.
+    Each sight is dealt to the other players of its keys, so the one looked for is the next row of the player's own."""
+    players = starts.select(*keys, "player").distinct()
+    by = sees.select(*keys, clock, F.col("player").alias("who")).join(players, list(keys)).where("who <> player")
+    opened = asof_next(starts.select(*keys, "player", clock), by.withColumn("at", F.col(clock)), [*keys, "player"], clock, ["at"]).where("next_at IS NOT NULL")
+    return opened.groupBy(*keys, "player", "next_at").agg(F.min(clock).alias("start")).withColumn("seconds", F.col("next_at") - F.col("start")).drop("next_at")
 
 
 def collect_metrics(tables: Sequence[DataFrame], rounds: DataFrame, key: str = "round_id") -> DataFrame:

@@ -61,22 +61,29 @@ def dtw_cost(a: np.ndarray, b: np.ndarray, slope: bool = False) -> float:
 
 
 def warp(d: np.ndarray, slope: bool = False) -> float:
-    """dtw_cost by the distances of all steps."""
+    """dtw_cost by the distances of all steps. The cells of one anti-diagonal hang on those of the diagonals before it
+    alone, so each diagonal is one step over arrays (indexed by the row, with a cell before the first)."""
     n, m = d.shape
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best = cost[i - 1, j - 1] + 2 * d[i - 1, j - 1]
+    empty = np.full(n + 1, np.inf)
+    before3, before2, before1 = empty, empty, empty.copy()
+    before1[0] = 0  # the corner, on diagonal 0
+    for s in range(1, n + m + 1):
+        now = empty.copy()
+        i = np.arange(max(1, s - m), min(n, s - 1) + 1)
+        if len(i):
+            j = s - i
+            here = d[i - 1, j - 1]
+            best = before2[i - 1] + 2 * here
             if slope:
-                if i > 1:
-                    best = min(best, cost[i - 2, j - 1] + 2 * d[i - 2, j - 1] + d[i - 1, j - 1])
-                if j > 1:
-                    best = min(best, cost[i - 1, j - 2] + 2 * d[i - 1, j - 2] + d[i - 1, j - 1])
+                two = i > 1
+                best[two] = np.minimum(best[two], before3[i[two] - 2] + 2 * d[i[two] - 2, j[two] - 1] + here[two])
+                two = j > 1
+                best[two] = np.minimum(best[two], before3[i[two] - 1] + 2 * d[i[two] - 1, j[two] - 2] + here[two])
             else:
-                best = min(best, cost[i - 1, j] + d[i - 1, j - 1], cost[i, j - 1] + d[i - 1, j - 1])
-            cost[i, j] = best
-    return float(cost[n, m] / (n + m))
+                best = np.minimum(best, np.minimum(before1[i - 1], before1[i]) + here)
+            now[i] = best
+        before3, before2, before1 = before2, before1, now
+    return float(before1[n] / (n + m))
 
 
 def dtw(pairs: DataFrame, columns: Sequence[str] = ("x", "y"), slope: bool = False) -> DataFrame:

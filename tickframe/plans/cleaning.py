@@ -83,7 +83,11 @@ def _(t):
     return c.valid_tick_mask(t.pat.select("tick_id", "alive", (F.col("y") > 10).alias("a"), (F.col("kind") == "signup").alias("b")), ["alive", "a"], ["b"]).select("tick_id", "valid")
 
 
-@query("sync_ticks")
+@query(
+    "sync_ticks",
+    "SELECT min(tick_id) AS tick_id FROM taken JOIN pat USING (round_id, gt) GROUP BY round_id, gt",
+    "taken AS (SELECT round_id, min(gt) AS gt FROM pat GROUP BY round_id UNION ALL SELECT s.round_id, min(p.gt) AS gt FROM taken s JOIN pat p ON p.round_id = s.round_id AND p.gt >= s.gt + 1800 GROUP BY s.round_id, s.gt)",
+)
 def _(t):
     return c.sync_ticks(t.pat, 1800).select("tick_id")
 

@@ -38,7 +38,11 @@ def _(t):
     return e.non_engagement(t.pat, _eng(t), 4800)
 
 
-@query("trajectory_segments")
+@query(
+    "trajectory_segments",
+    'SELECT b.round_id, b.player, b.segment, min(p.gt) AS start, max(p.gt) AS "end", count(*) AS n FROM (SELECT *, lead(gt) OVER (PARTITION BY round_id, player ORDER BY gt) AS later FROM begun) b JOIN pat p ON p.round_id = b.round_id AND p.player = b.player AND p.gt >= b.gt AND (p.gt < b.later OR b.later IS NULL) GROUP BY b.round_id, b.player, b.segment',
+    "begun AS (SELECT round_id, player, 0::BIGINT AS segment, min(gt) AS gt FROM pat GROUP BY round_id, player UNION ALL SELECT s.round_id, s.player, s.segment + 1, min(p.gt) FROM begun s JOIN pat p ON p.round_id = s.round_id AND p.player = s.player AND p.gt > s.gt + 3600 GROUP BY s.round_id, s.player, s.segment, s.gt)",
+)
 def _(t):
     return e.trajectory_segments(t.pat, 3600, RP)
 

@@ -46,11 +46,18 @@ def _(t):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("st_fire")
+@query(
+    "st_fire",
+    "SELECT player, tick_id, gt, now AS since_fire, now IS NOT NULL AND coalesce(now <= lag(now) OVER o, true) AS holding, shots FROM (SELECT *, gt - max(CASE WHEN kind = 'click' THEN gt END) OVER o AS now, count(*) FILTER (kind = 'click') OVER o AS shots FROM (SELECT *, count(*) FILTER (NOT alive) OVER (PARTITION BY player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING) AS life FROM pat) WINDOW o AS (PARTITION BY player, life ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING)) WINDOW o AS (PARTITION BY player, life ORDER BY gt, tick_id)",
+)
 def _(t):
     return _replay(t, st.fire_state)
 
 
-@query("st_events")
+@query(
+    "st_events",
+    "SELECT test, min(ts) AS start, max(ts) AS \"end\", count(*) AS n, max((kind = 'purchase')::INT) AS ok FROM (SELECT *, count(*) FILTER (late) OVER (PARTITION BY test ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT ts, user_id % 10 AS test, event_type AS kind, ts >= lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts) + INTERVAL 1 HOUR AS late FROM events)) GROUP BY test, i HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT late FROM wm)",
+    _WM,
+)
 def _(t):
     return _replay(t, lambda s: st.test_events(s.select("ts", F.col("player").alias("test"), F.when(F.col("kind") == "purchase", "success").otherwise("step").alias("name")))).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})

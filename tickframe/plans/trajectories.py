@@ -186,7 +186,10 @@ def _(t):
     return semi(t.pat, t.rounds.select("round_id", (F.col("round_id") % 10).alias("player")), RP).select("tick_id")
 
 
-@query("hm_support")
+@query(
+    "hm_support",
+    "SELECT round_id, team, player, min(gt) AS start, at - min(gt) AS seconds FROM (SELECT f.round_id, 2 + f.player % 2 AS team, f.player, f.gt, min(s.gt) AS at FROM fire f JOIN spotted s ON s.seen AND s.round_id = f.round_id AND s.spotter % 2 = f.player % 2 AND s.spotter <> f.player AND s.gt >= f.gt GROUP BY ALL) GROUP BY round_id, team, player, at",
+)
 def _(t):
     starts = t.fire.withColumn("team", (2 + F.col("player") % 2).cast("int"))
     sees = t.spotted.where("seen").select("round_id", (2 + F.col("spotter") % 2).cast("int").alias("team"), F.col("spotter").alias("player"), "gt")
@@ -213,7 +216,11 @@ def _(t):
     return g.aim_links(_eng(t), g.aim_rows(_eng(t), t.pat, 4800, 1, 1, ["x"]))
 
 
-@query("ds_nav")
+@query(
+    "ds_nav",
+    "SELECT s.round_id, s.player, s.start, (p.gt - s.start) // 1800 AS bucket, arg_min(p.tick_id, p.gt * 1000000 + p.tick_id) AS tick_id FROM (SELECT round_id, player, min(gt) AS start, max(gt) AS stop FROM (SELECT *, count(*) FILTER (NOT free) OVER (PARTITION BY round_id, player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT p.*, p.alive AND e.round_id IS NULL AS free FROM pat p LEFT JOIN (SELECT DISTINCT q.tick_id, e.round_id FROM eng e JOIN pat q ON q.round_id = e.round_id AND q.player IN (e.attacker, e.victim) AND q.gt BETWEEN e.start AND e.stop) e USING (tick_id))) WHERE free GROUP BY round_id, player, i) s JOIN pat p ON p.round_id = s.round_id AND p.player = s.player AND p.gt BETWEEN s.start AND s.stop GROUP BY s.round_id, s.player, s.start, bucket",
+    _ENG,
+)
 def _(t):
     spans = ev.non_engagement(t.pat, _eng(t), 4800)
     return g.nav_rows(spans, t.pat, 1800, 4800)

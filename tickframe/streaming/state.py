@@ -54,7 +54,8 @@ def _fire(cap: int, forget_ms: int):
             out.append((key[0], r.tick_id, r.gt, None if now < 0 else now, now >= 0 and (since < 0 or now <= since), shots))
             since = now
         state.update((fire, since, shots))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + forget_ms)
+        # before the first batch's end there is no watermark, so the player's own clock counts as well
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ms"].max())) + forget_ms)
         yield pd.DataFrame(out, columns=["player", "tick_id", "gt", "since_fire", "holding", "shots"]).astype({"since_fire": "Int64"})
 
     return step
@@ -64,7 +65,7 @@ def fire_state(stream: DataFrame, cap: int = 1 << 40, late: str = "10 minutes",
     """Per tick and player: time since the last shot (at most cap, null before one), whether the attack is held (it did
     not grow since the tick before), and shots so far. Death or a reset flag begins anew. Columns in: player, tick_id,
     gt, fired, alive, reset and the event time. A batch's rows of a player must fit in memory, as one player's do."""
-    rows = stream.withWatermark(ts, late).select("player", "tick_id", "gt", "fired", "alive", "reset", ts)
+    rows = stream.withWatermark(ts, late).select("player", "tick_id", "gt", "fired", "alive", "reset", ts, F.unix_millis(F.col(ts)).alias("ms"))
     return rows.groupBy("player").applyInPandasWithState(_fire(cap, forget_ms), FIRE, _FIRE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
