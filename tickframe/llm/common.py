@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 # The white space [\x20\x09-\x0D] that parts words and is stripped from lines.
 WS = "\t\n\x0b\x0c\r "
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -26,20 +27,8 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = f"file://{at}"
-    return at.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -48,11 +37,3 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns; a missing one is an error that says so."""
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing column(s): {', '.join(missing)}; there are {', '.join(df.columns)}")
-    return df.select(*names)
