@@ -16,14 +16,21 @@ def hist1d(df: DataFrame, value: str, width: float, keys: Sequence[str] = ()) ->
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
-def pct_trim(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows between two percentiles (interpolated) of their key."""
-    w = Window.partitionBy(*keys)
-    bounds = df.withColumns({"_lo": F.percentile(value, low).over(w), "_hi": F.percentile(value, high).over(w)}) if keys else None
-    if bounds is None:
-        lo, hi = df.agg(F.percentile(value, low), F.percentile(value, high)).first()
+def _percentile(value: str, p: float | list[float], accuracy: int | None) -> Column:
+    """Interpolated and exact, which holds all distinct values of a group at once; or, for columns with many, an
+    approximation by ranks within 1 / accuracy."""
+    return F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy)
+
+
+def pct_trim(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, keys: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """Rows between two percentiles of their key. The percentiles of each key are found first, in partial aggregates."""
+    bounds = [_percentile(value, low, accuracy).alias("_lo"), _percentile(value, high, accuracy).alias("_hi")]
+    if not keys:
+        lo, hi = df.agg(*bounds).first()
         return df.where(F.col(value).between(lo, hi))
-    return bounds.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    found = df.groupBy(*keys).agg(*bounds).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(found, same).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", *[f"_{k}" for k in keys])
 
 
 def emd1d(df: DataFrame, value: str, group: str, base: object) -> DataFrame:
@@ -137,8 +144,8 @@ def trial_summary(df: DataFrame, group: str, value: str, base: object) -> DataFr
     return out.withColumns({"delta": F.col("median") - first, "relative": F.try_divide(F.col("median") - first, first)})
 
 
-def infer_time(df: DataFrame, value: str) -> DataFrame:
-    p = F.percentile(value, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99])
+def infer_time(df: DataFrame, value: str, accuracy: int | None = None) -> DataFrame:
+    p = _percentile(value, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99], accuracy)
     return df.agg(p.alias("p")).select(*[F.get("p", i).alias(n) for i, n in enumerate(("p1", "p10", "p25", "median", "p75", "p90", "p99"))])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -96,15 +97,16 @@ def result_by_key(df: DataFrame, key: str, value: object) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; in local mode a temporary one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a temporary one where none is
+    set."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         named = context.getCheckpointDir()
-    return named
+    return re.sub(r"^file:/(?!/)", "file:///", named).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
