@@ -29,7 +29,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols"),
     "v2": ("few_words", "repeated_words", "symbols", "word_length"),
-    "v3": ("few_words", "repeated_words", "symbols", "word_length", "dup_lines"),
+    "v3": ("few_words", "repeated_words", "symbols", "word_length", "dup_lines", "long_text"),
 }
 _PLACE_BITS = 20
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")

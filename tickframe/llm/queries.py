@@ -33,9 +33,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """only_failure: the one rule of the policy that a document fails, if it is one: what an ablation of it would keep."""
     out = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    only = F.coalesce(*[F.when(F.col("failed") == rules.mask((r,)), F.lit(r)) for r in rules.POLICIES["v2"]])
     base = F.col("fail_bits").bitwiseAND(F.lit(rules.mask("base")).cast("long")) != 0
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits", only.alias("only_failure"))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -146,5 +148,6 @@ ORACLES = {
           SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
                     + 8 * (word_chars < 3 * n_words OR word_chars > 15 * n_words)::BIGINT + 16 * (100 * n_dup_lines > 30 * n_lines)::BIGINT
                     + 32 * (n_words > 1000000)::BIGINT AS fail_bits FROM m)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits FROM b""",
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits,
+               CASE fail_bits & 15 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'word_length' END AS only_failure FROM b""",
 }
