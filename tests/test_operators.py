@@ -231,6 +231,33 @@ def test_idle_players_are_forgotten(spark, tmp_path):
     assert found["short"][2, 6] == found["long"][2, 6] == (17_640, 1)
 
 
+def test_ngrams_within_and_across_players(spark):
+    rows = [(p, 10 * p + k, c) for p, cs in ((1, [3, 1, 3, 1]), (2, [1, 1])) for k, c in enumerate(cs)]
+    df = spark.createDataFrame(rows, "player int, at int, c int")
+    count = lambda keys: {(r.bag, r.prior): r.n for r in distributions.ngram_bags(df, "c", 2, keys, ["at"]).collect()}
+    assert count(["player"]) == {("1,3", None): 1, ("1,3", "1,3"): 2, ("1,1", None): 1}
+    assert count([]) == {("1,3", None): 1, ("1,3", "1,3"): 2, ("1,1", "1,3"): 1, ("1,1", "1,1"): 1}
+
+
+def test_parity_of_place_distances_and_grids(spark):
+    dist = spark.createDataFrame([(0, d, float(x)) for d, x in enumerate([5, 3, 4, 2, 9, 1])], "src int, dst int, dist double")
+    areas = spark.createDataFrame([(d, 7) for d in range(6)], "area int, place int")
+    [plain], [parity] = spatial.place_dist(dist, areas).collect(), spatial.place_dist(dist, areas, parity=True).collect()
+    assert (plain.closest, plain.dist, plain.median) == (5, 1.0, 3.0) and (parity.closest, parity.dist, parity.median) == (5, 1.0, 9.0)
+    grid = lambda *n: spark.createDataFrame([(k, 0, x) for k, x in enumerate(n) if x], "gx int, gy int, n long")
+    p, q = np.array([0.25, 0.75, 0.0]), np.array([0.5, 0.25, 0.25])
+    [plain], [parity] = distributions.grid_diff(grid(1, 3), grid(2, 1, 1)).collect(), distributions.grid_diff(grid(1, 3), grid(2, 1, 1), parity=True).collect()
+    assert plain.tv == parity.tv == 0.5 and parity.kl == pytest.approx(-(q * (np.log(q) - p)).sum()) and plain.kl == pytest.approx((p[:2] * np.log(p[:2] / q[:2])).sum(), abs=1e-6)
+
+
+def test_key_events_of_a_player(spark):
+    rows = [(1, k, f, a, x) for k, (f, a, x) in enumerate([(9.0, True, 0), (0.0, True, 5), (0.05, True, 5), (0.05, False, 5), (3.0, False, 0), (2.0, False, 0)])]
+    df = spark.createDataFrame(rows, "player int, at int, since double, alive boolean, x int")
+    out = sorted(events.event_detect(df, "since", ["player"], ["at"], small=0.1, inside=F.col("x") == 5).collect(), key=lambda r: r["at"])
+    assert [r.new_fire for r in out] == [False, True, False, True, False, False] and [r.dies for r in out] == [False, False, True, False, False, False]
+    assert [r.in_area for r in out] == [False, True, True, True, False, False]
+
+
 def test_wasserstein(spark):
     rows = [("a", float(x)) for x in (1, 2, 3)] + [("b", float(x)) for x in (1, 2, 3)] + [("c", float(x)) for x in (2, 3, 4)]
     got = {r.g: r.distance for r in distributions.emd1d(spark.createDataFrame(rows, "g string, v double"), "v", "g", "a").collect()}

@@ -33,15 +33,18 @@ def pct_trim(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, k
     return df.join(found, same).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", *[f"_{k}" for k in keys])
 
 
-def emd1d(df: DataFrame, value: str, group: str, base: object) -> DataFrame:
+def emd1d(df: DataFrame, value: str, group: str, base: object, most_groups: int = 10_000) -> DataFrame:
     """1-D Wasserstein distance of each group to the base group: the area between their distribution functions.
-    Values are counted first, so what is sorted is one row per distinct value."""
+    Values are counted first, so what is sorted is one row per distinct value. Each group needs the base group's values
+    beside its own; more than most_groups groups are refused."""
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
     sizes = counts.groupBy(group).agg(F.sum("_n").alias("_all"))
     shares = counts.join(sizes, group).withColumn("_p", F.col("_n") / F.col("_all"))
     b = shares.where(F.col(group) == base).select(value, (-F.col("_p")).alias("_p"))
     per = shares.where(F.col(group) != base).select(group, value, "_p")
-    names = [r[0] for r in sizes.where(F.col(group) != base).select(group).collect()]  # the groups compared: a few titles
+    names = [r[0] for r in sizes.where(F.col(group) != base).select(group).limit(most_groups + 1).collect()]  # the groups compared: a few titles
+    if len(names) > most_groups:
+        raise ValueError(f"more than {most_groups} groups; raise most_groups if that is meant")
     mirrored = b.withColumn(group, F.explode(F.array(*map(F.lit, names)))).select(group, value, "_p") if names else per
     steps = per.union(mirrored).groupBy(group, value).agg(F.sum("_p").alias("_p"))
     w = over([group], [value])
@@ -49,12 +52,15 @@ def emd1d(df: DataFrame, value: str, group: str, base: object) -> DataFrame:
     return steps.withColumn("_a", area).groupBy(group).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("distance"))
 
 
-def grid_diff(a: DataFrame, b: DataFrame, cell: Sequence[str] = ("gx", "gy"), value: str = "n", smooth: float = 1e-9) -> DataFrame:
-    """One row: total variation, KL(a, b), symmetric KL (the mean of both ways) and the ratio of points."""
+def grid_diff(a: DataFrame, b: DataFrame, cell: Sequence[str] = ("gx", "gy"), value: str = "n", smooth: float = 1e-9, parity: bool = False) -> DataFrame:
+    """One row: total variation, KL(a, b), symmetric KL (the mean of both ways) and the ratio of points. parity: KL as
+    published, which takes shares for their logarithms: minus the sum of q * (log q - p)."""
     sa, sb = a.agg(F.sum(value)).first()[0] or 1, b.agg(F.sum(value)).first()[0] or 1
     both = a.select(*cell, F.col(value).alias("_a")).join(b.select(*cell, F.col(value).alias("_b")), list(cell), "full")
     p, q = F.coalesce("_a", F.lit(0)) / F.lit(float(sa)), F.coalesce("_b", F.lit(0)) / F.lit(float(sb))
     kl = lambda x, y: F.sum((x + smooth) * F.log((x + smooth) / (y + smooth)))
+    if parity:
+        kl = lambda x, y: -F.sum(F.when(y > 0, y * (F.log(y) - x)).otherwise(0.0))
     return both.agg((F.sum(F.abs(p - q)) / 2).alias("tv"), kl(p, q).alias("kl"), ((kl(p, q) + kl(q, p)) / 2).alias("skl"), F.lit(sa / sb).alias("ratio"))
 
 
@@ -150,11 +156,12 @@ def infer_time(df: DataFrame, value: str, accuracy: int | None = None) -> DataFr
 
 
 def ngram_bags(df: DataFrame, value: str, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Sorted n-grams of a sequence with the n-gram's predecessor: bag, prior, n. Grams don't cross keys."""
+    """Transitions between the sorted n-grams of a sequence: bag, prior (the bag one row before; null at first), n.
+    Grams and transitions don't cross keys; without keys they cross players, as published, in one sorted sequence."""
     w = over(keys, order)
     parts = [F.lag(value, k).over(w) for k in range(n)]
     bag = F.when(F.lag(F.lit(1), n - 1).over(w).isNotNull() if n > 1 else F.lit(True), F.array_join(F.transform(F.sort_array(F.array(*parts)), lambda x: x.cast("string")), ","))
-    rows = df.withColumn("bag", bag).withColumn("prior", F.lag(value, n).over(w))
+    rows = df.select(*keys, *order, bag.alias("bag")).withColumn("prior", F.lag("bag").over(w))
     return rows.where("bag IS NOT NULL").groupBy("bag", "prior").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -125,10 +125,13 @@ def argmax_runs(scores: DataFrame, classes: Sequence[str], keys: Sequence[str],
     return runs(named, keys, order, "best")
 
 
-def event_detect(df: DataFrame, since: str, keys: Sequence[str], order: Sequence[str], alive: str = "alive") -> DataFrame:
-    """+ new_fire: time since fire did not grow; dies: alive now and not in the next row."""
+def event_detect(df: DataFrame, since: str, keys: Sequence[str], order: Sequence[str], alive: str = "alive", small: float | None = None, inside: Column | None = None) -> DataFrame:
+    """+ new_fire: time since fire did not grow (and is under `small`, where given); dies: alive now and not in the next
+    row; in_area, with `inside` (a key area's condition, of any of several areas)."""
     w = over(keys, order)
-    return df.withColumns({"new_fire": F.coalesce(F.col(since) <= F.lag(since).over(w), F.lit(False)), "dies": F.col(alive) & ~F.coalesce(F.lead(alive).over(w), F.lit(True))})
+    fresh = F.coalesce(F.col(since) <= F.lag(since).over(w), F.lit(False))
+    flags = {"new_fire": fresh if small is None else fresh & (F.col(since) < small), "dies": F.col(alive) & ~F.coalesce(F.lead(alive).over(w), F.lit(True))}
+    return df.withColumns(flags if inside is None else flags | {"in_area": F.coalesce(inside, F.lit(False))})
 
 
 def split_discontinuity(df: DataFrame, flag: Column, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

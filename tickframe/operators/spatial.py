@@ -43,11 +43,14 @@ def above_below(points: DataFrame, areas: DataFrame, width: int, key: str = "tic
     return column.groupBy(key).agg(F.min(above)["area"].alias("above"), F.min(below)["area"].alias("below"))
 
 
-def reach_matrix(edges: DataFrame, max_rounds: int = 64, src: str = "src", dst: str = "dst", cost: str = "cost", every: int = 4) -> DataFrame:
+def reach_matrix(edges: DataFrame, max_rounds: int = 64, src: str = "src", dst: str = "dst", cost: str = "cost", most_nodes: int = 20_000) -> DataFrame:
     """Shortest distances between all pairs that are connected: src, dst, dist. Each round joins the distances so far
-    with themselves, so paths double in length; lineage is cut by checkpoints."""
+    with themselves, so paths double in length; lineage is cut by checkpoints. The result has a row a pair and a round
+    looks at a row a triple, so it is for graphs of a map; one of more than most_nodes nodes is refused."""
     from ..sources.tables import cut
 
+    if edges.select(F.explode(F.array(src, dst)).alias("n")).distinct().count() > most_nodes:
+        raise ValueError(f"all pairs of more than {most_nodes} nodes; raise most_nodes if that is meant")
     zero = edges.select(F.explode(F.array(src, dst)).alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"))
     best = lambda df: df.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
     now = cut(best(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(cost).cast("double").alias("dist")).union(zero)))
@@ -69,11 +72,17 @@ def closeness(dist: DataFrame) -> DataFrame:
     return dist.select("src", "dst", F.round(255 * (1 - (F.col("dist") - (low or 0.0)) / span)).cast("int").alias("closeness"))
 
 
-def place_dist(dist: DataFrame, areas: DataFrame) -> DataFrame:
-    """From each area to each place: closest area and its distance, and the median (lower) distance."""
+def place_dist(dist: DataFrame, areas: DataFrame, parity: bool = False) -> DataFrame:
+    """From each area to each place: closest area and its distance, and the median (lower) distance. parity: in place of
+    the median what the published reader keeps, the last distance, by area, that is no new closest one."""
     to = dist.join(areas.select(F.col("area").alias("dst"), "place"), "dst")
-    sorted_ = F.sort_array(F.collect_list("dist"))
-    out = to.groupBy("src", "place").agg(F.min(F.struct("dist", "dst")).alias("_m"), sorted_.alias("_all"))
+    closest = F.min(F.struct("dist", "dst")).alias("_m")
+    if parity:
+        before = F.min("dist").over(Window.partitionBy("src", "place").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1))
+        kept = to.withColumn("_last", F.when(before.isNull() | (F.col("dist") >= before), F.col("dst")))
+        out = kept.groupBy("src", "place").agg(closest, F.max(F.when(F.col("_last").isNotNull(), F.struct("_last", "dist")))["dist"].alias("median"))
+        return out.select("src", "place", F.col("_m.dst").alias("closest"), F.col("_m.dist").alias("dist"), "median")
+    out = to.groupBy("src", "place").agg(closest, F.sort_array(F.collect_list("dist")).alias("_all"))
     return out.select("src", "place", F.col("_m.dst").alias("closest"), F.col("_m.dist").alias("dist"), F.get("_all", F.greatest(F.lit(0), F.floor(F.size("_all") / 2).cast("int") - 1)).alias("median"))
 
 

@@ -136,7 +136,10 @@ def _(t):
     return d.infer_time(t.pat, "x")
 
 
-@query("ngram_bags", "SELECT least(weapon, b)::VARCHAR || ',' || greatest(weapon, b)::VARCHAR AS bag, prior, count(*) AS n FROM (SELECT weapon, lag(weapon) OVER o AS b, lag(weapon, 2) OVER o AS prior FROM pat WINDOW o AS (PARTITION BY player ORDER BY tick_id)) WHERE b IS NOT NULL GROUP BY ALL")
+@query(
+    "ngram_bags",
+    "SELECT bag, prior, count(*) AS n FROM (SELECT *, lag(bag) OVER (PARTITION BY player ORDER BY tick_id) AS prior FROM (SELECT player, tick_id, CASE WHEN b IS NOT NULL THEN least(weapon, b)::VARCHAR || ',' || greatest(weapon, b)::VARCHAR END AS bag FROM (SELECT *, lag(weapon) OVER (PARTITION BY player ORDER BY tick_id) AS b FROM pat))) WHERE bag IS NOT NULL GROUP BY ALL",
+)
 def _(t):
     return d.ngram_bags(t.pat, "weapon", 2, ["player"], ["tick_id"])
 
