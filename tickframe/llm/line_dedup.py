@@ -30,6 +30,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(F.char_length("key") >= min_chars)
         .select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
     )
+    lines = keep(lines, "lines")  # read twice: cutting and hashing the texts again costs more
     over = (
         lines.groupBy("h1", "h2")
         .agg(F.min("id").alias("keeper"), F.count_distinct("id").alias("n_docs"))
