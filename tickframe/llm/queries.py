@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, licence_scan, near_dedup, quality_classifier, secret_scan, source_mixing, warc_zip
+from . import chat_format, decontamination, lexical_search, licence_scan, near_dedup, quality_classifier, secret_scan, source_mixing, warc_zip
 from . import line_dedup as lines
 from . import quality_rules as rules
 
@@ -72,6 +72,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "kind", "value_sha256", "label", "score", "is_secret")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -83,11 +87,14 @@ QUERIES = {
     "op8_licence_scan": op8_licence_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 _ESC = "replace(replace({}, '\\', '\\\\'), '<|', '<\\|')"
 
 ORACLES = {
@@ -119,6 +126,17 @@ ORACLES = {
         SELECT r.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept
         FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
     "op8_licence_scan": licence_scan.oracle(),
+    "op13_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_TERM}') AS ts FROM documents),
+        g AS (SELECT count(*)::BIGINT AS docs, sum(len(ts))::BIGINT AS terms FROM d WHERE len(ts) > 0),
+        p AS (SELECT row, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d),
+        c AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM p GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, g GROUP BY term),
+        q AS (SELECT item_id, text, unnest(regexp_extract_all({_LOW.format("text")}, '{_TERM}')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        s AS (SELECT item_id, text, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+              FROM q JOIN c USING (term) JOIN w USING (term), g GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST, row)::INT AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
     "op2_line_dedup": f"""
         WITH l AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
