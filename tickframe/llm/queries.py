@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, lexical_search, licence_scan, near_dedup, quality_classifier, secret_scan, source_mixing, warc_zip
+from . import chat_format, conversation_repair, decontamination, lexical_search, licence_scan, near_dedup, quality_classifier, secret_scan, source_mixing, warc_zip
 from . import line_dedup as lines
 from . import quality_rules as rules
 
@@ -72,6 +72,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "kind", "value_sha256", "label", "score", "is_secret")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(rows), rows)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_licence_scan": op8_licence_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_lexical_search": op13_lexical_search,
 }
 
@@ -126,6 +132,54 @@ ORACLES = {
         SELECT r.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept
         FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
     "op8_licence_scan": licence_scan.oracle(),
+    "op12_conversation_repair": """
+        WITH RECURSIVE named AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+        coded AS (
+          SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(name) + 1), lambda i: ord(name[i]))),
+                   lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS h FROM named),
+        damaged AS (
+          SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                 CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+          FROM coded WHERE h <> 0),
+        placed AS (
+          SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w || left(role, 1) AS pair,
+                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS times
+          FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+        faulty AS (
+          SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN times > 1 THEN 'd'
+                         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM placed),
+        counted AS (
+          SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                 count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM faulty GROUP BY conv_id),
+        inserts(p, q, paid, letters, lines) AS (VALUES
+          (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']),
+          (3, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+        moves(p, letter, c, q) AS (VALUES
+          (0, 'D', '', 0), (1, 'D', '', 1), (2, 'D', '', 2), (3, 'D', '', 3), (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (2, 'K', 'a', 3),
+          (3, 'K', 'u', 2), (0, 'R', 'u', 2), (1, 'R', 'u', 2), (2, 'R', 'a', 3), (3, 'R', 'u', 2)),
+        path AS (
+          SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM counted
+          UNION ALL
+          SELECT conv_id, i, q, cost, audit, lines FROM (
+            SELECT p.conv_id, f.i, m.q, p.cost + n.paid + CASE WHEN letter = 'D' THEN 4 ELSE CASE letter WHEN 'R' THEN 3 ELSE 0 END + CASE fault WHEN 't' THEN 3 ELSE 0 END END AS cost,
+                   p.audit || n.letters || m.letter AS audit,
+                   list_concat(list_concat(p.lines, n.lines), CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text]
+                     ELSE [CASE m.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text] END) AS lines
+            FROM path p JOIN faulty f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1 JOIN inserts n ON n.p = p.q
+              JOIN moves m ON m.p = n.q AND (letter = 'D' OR fault NOT IN ('b', 'd')) AND (letter <> 'K' OR m.c = left(f.role, 1)))
+          QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+        closed AS (
+          SELECT c.conv_id, gaps, blank, duplicate, truncated, illegal, p.cost + n.paid AS cost, p.audit || n.letters AS audit,
+                 sha256(array_to_string(list_concat(p.lines, n.lines), chr(10))) AS repaired_sha256
+          FROM counted c JOIN path p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.n JOIN inserts n ON n.p = p.q AND n.q IN (0, 3)
+          QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY p.cost + n.paid, p.audit || n.letters) = 1)
+        SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+               coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN closed b ON a.conv_id IS NOT DISTINCT FROM b.conv_id""",
     "op13_lexical_search": f"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_TERM}') AS ts FROM documents),
         g AS (SELECT count(*)::BIGINT AS docs, sum(len(ts))::BIGINT AS terms FROM d WHERE len(ts) > 0),
