@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_repair, decontamination, lexical_search, licence_scan, near_dedup, quality_classifier, secret_scan, source_mixing, warc_zip
+from . import chat_format, conversation_repair, decontamination, language_id, lexical_search, licence_scan, near_dedup, quality_classifier, secret_scan, source_mixing, warc_zip
 from . import line_dedup as lines
 from . import quality_rules as rules
 
@@ -72,6 +72,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "kind", "value_sha256", "label", "score", "is_secret")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.evaluate(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversation_repair.repair(conversation_repair.damage(rows), rows)
@@ -92,6 +96,7 @@ QUERIES = {
     "op8_licence_scan": op8_licence_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_language_id": op11_language_id,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -149,7 +154,7 @@ ORACLES = {
           FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
         faulty AS (
           SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN times > 1 THEN 'd'
-                         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM placed),
+                         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 't' ELSE '' END AS fault FROM placed),
         counted AS (
           SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
                  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
