@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import box_distance, in_box
+from ..functions.scalars import in_box
 from .joins import stab_join
 from .windows import islands, over
 
@@ -24,18 +24,6 @@ def containing_areas(points: DataFrame, areas: DataFrame, width: int, axes: int
     return stab_join(points, areas, "x", "x0", "x1", width=width).where(in_box(["x", "y", "z"][:axes], LOW[:axes], HIGH[:axes]))
 
 
-def nearest_areas(points: DataFrame, areas: DataFrame, reach: float, k: int = 1, key: str = "tick_id") -> DataFrame:
-    """The k nearest areas within reach of each point: key, area, distance, rank. Areas go to the cells (reach wide)
-    that their box, grown by reach, touches; so every area within reach is met and each once. Points with no area
-    within reach have no row; choose reach as the largest distance that matters."""
-    cells = lambda a, b: F.sequence(F.floor((F.col(a) - reach) / reach), F.floor((F.col(b) + reach) / reach))
-    spread = areas.withColumn("_cx", F.explode(cells("x0", "x1"))).withColumn("_cy", F.explode(cells("y0", "y1")))
-    at = points.select(key, "x", "y", "z").withColumns({"_cx": F.floor(F.col("x") / reach), "_cy": F.floor(F.col("y") / reach)})
-    near = at.join(spread, ["_cx", "_cy"]).withColumn("distance", box_distance(["x", "y", "z"], LOW, HIGH)).where(F.col("distance") <= reach)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "area")))
-    return ranked.where(F.col("rank") <= k).select(key, "area", "distance", "rank")
-
-
 def above_below(points: DataFrame, areas: DataFrame, width: int, key: str = "tick_id") -> DataFrame:
     """Of the areas over or under a point in two axes: the lowest that begins above it, the highest that ends below."""
     column = containing_areas(points, areas, width, axes=2)

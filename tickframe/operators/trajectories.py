@@ -160,13 +160,6 @@ def loo_eval(predicted: DataFrame, truth: DataFrame, key: str = "pred", bins: in
     return both.groupBy(decile).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("guess") - F.col("label"))).alias("error"), F.count_if((F.col("guess") >= 0.5) == (F.col("label") >= 0.5)).alias("agree"))
 
 
-def knn_state(states: DataFrame, query: Sequence[float], columns: Sequence[str], n: int, group: str, key: str) -> DataFrame:
-    """The nearest state of each group to a query state, of these the n nearest: group, key, distance."""
-    d = F.sqrt(sum(((F.col(c) - float(v)) * (F.col(c) - float(v)) for c, v in zip(columns, query)), F.lit(0.0)))
-    best = states.select(group, key, d.alias("distance")).groupBy(group).agg(F.min(F.struct("distance", key)).alias("b"))
-    return best.select(group, F.col(f"b.{key}").alias(key), F.col("b.distance").alias("distance")).orderBy("distance", key).limit(n)
-
-
 def find_similar(rows: DataFrame, ref: dict[str, float], radii: dict[str, float], group: str, tick: str = "tick_id") -> DataFrame:
     """The first tick of each group within the radius of a reference in every column."""
     near = rows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import neighbours as near
 from ..operators import spatial as s
 from ..sources import tables as tab
 from .domain import query
@@ -44,14 +45,14 @@ def _(t):
     return s.containing_areas(t.pat, t.areas, 30, 2).select("tick_id", "area", F.col("z").between(F.col("z0"), F.col("z1")).alias("in3d"))
 
 
-@query("nearest_area", f"SELECT tick_id, area, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tick_id ORDER BY d, area) AS n FROM (SELECT tick_id, area, {_DIST} AS d FROM pat, areas)) WHERE n = 1 AND d <= 100")
+@query("nearest_area", f"SELECT tick_id, area, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tick_id ORDER BY d, area) AS n FROM (SELECT tick_id, area, {_DIST} AS d FROM pat, areas)) WHERE n = 1")
 def _(t):
-    return s.nearest_areas(t.pat, t.areas, 100.0).select("tick_id", "area", F.round("distance", 6).alias("distance"))
+    return near.nearest_areas(t.pat, t.areas, 10.0).select("tick_id", "area", F.round("distance", 6).alias("distance"))
 
 
-@query("nearest_cells", f'SELECT tick_id, area, n AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY tick_id ORDER BY d, area) AS n FROM (SELECT tick_id, area, {_DIST} AS d FROM pat, areas) WHERE d <= 60) WHERE n <= 3')
+@query("nearest_cells", f'SELECT tick_id, area, n AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY tick_id ORDER BY d, area) AS n FROM (SELECT tick_id, area, {_DIST} AS d FROM pat, areas)) WHERE n <= 3')
 def _(t):
-    return s.nearest_areas(t.pat, t.areas, 60.0, 3).select("tick_id", "area", "rank")
+    return near.nearest_areas(t.pat, t.areas, 40.0, 3).select("tick_id", "area", "rank")
 
 
 @query("above_below", f"SELECT tick_id, arg_min(area, z0 * 1000 + area) FILTER (z0 > z) AS above, arg_min(area, -z1 * 1000 + area) FILTER (z1 < z) AS below FROM pat JOIN areas ON {_IN} GROUP BY 1")

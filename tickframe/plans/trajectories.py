@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import behaviour as b
 from ..operators import events as ev
+from ..operators import neighbours as near
 from ..operators import trajectories as tr
 from ..operators import training as g
 from ..operators import windows as w
@@ -89,9 +90,55 @@ def _(t):
     return tr.select_rounds(t.pat, t.rounds.select((F.col("round_id") % 5).cast("int").alias("weapon"), "round_id"), ["weapon", "round_id"]).select("tick_id")
 
 
-@query("knn_state", "SELECT player, tick_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY d, tick_id) AS n FROM (SELECT *, sqrt(power(x - 20, 2) + power(y - 30, 2)) AS d FROM pat)) WHERE n = 1 ORDER BY d, tick_id LIMIT 5")
+#: Two of each team, and two against one. A state is a player's last row of each half hour.
+_ASKED = [
+    {"ct": [(20.0, 30.0, 10.0), (60.0, 70.0, 40.0)], "t": [(35.0, 80.0, 5.0), (50.0, 10.0, 60.0)], "target": 2},
+    {"ct": [(10.0, 90.0, 20.0), (45.0, 45.0, 45.0)], "t": [(70.0, 20.0, 30.0)], "target": 0},
+]
+
+
+def _knn_sql() -> str:
+    """Every mapping written out: of a pair its two orders, of one its only one."""
+
+    def gap(way: str, q: tuple, who: str) -> str:
+        parts = [f"{who}.{c} - {v}" for c, v in zip("xyz", q)]
+        return f"sqrt({' + '.join(f'power({p}, 2)' for p in parts)})" if way == "l2" else "(" + " + ".join(f"abs({p})" for p in parts) + ")"
+
+    def side(team: str, own: list, way: str) -> tuple[str, str]:
+        """(least sum, players in the query's order) of one team."""
+        if len(own) == 1:
+            return gap(way, own[0], f"{team}[1]"), f"[{team}[1].player]"
+        straight, crossed = (" + ".join(gap(way, q, f"{team}[{i}]") for q, i in zip(own, order)) for order in ((1, 2), (2, 1)))
+        return f"least({straight}, {crossed})", f"CASE WHEN {straight} <= {crossed} THEN [{team}[1].player, {team}[2].player] ELSE [{team}[2].player, {team}[1].player] END"
+
+    each = []
+    for q, asked in enumerate(_ASKED):
+        (d_ct, m_ct), (d_t, m_t) = (side(team, asked[team], "l2") for team in ("ct", "t"))
+        here = "t" if asked["target"] >= len(asked["ct"]) else "ct"
+        place = asked["target"] - (len(asked["ct"]) if here == "t" else 0)
+        target = f"(({side(here, asked[here], 'l1')[1]})[{place + 1}])"
+        each.append(
+            f"SELECT {q} AS query, round_id, at, {d_ct} + {d_t} AS d, list_concat({m_ct}, {m_t}) AS mapping, {target} AS target FROM made WHERE len(ct) = {len(asked['ct'])} AND len(t) = {len(asked['t'])} AND last - gt > 5"
+        )
+    return f"SELECT query, round_id, at, round(d, 6) AS distance, array_to_string(mapping, ',') AS mapping, target FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, round_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query, round_id ORDER BY d, at) AS n FROM ({' UNION ALL '.join(each)})) WHERE n = 1) WHERE r <= 5"
+
+
+_STATES = """ends AS (SELECT *, gt // 1800 AS half FROM pat QUALIFY row_number() OVER (PARTITION BY round_id, gt // 1800, player ORDER BY gt DESC, tick_id DESC) = 1),
+whole AS (SELECT round_id, half AS at, max(gt) AS gt, coalesce(list({'player': player, 'x': x, 'y': y, 'z': z} ORDER BY player) FILTER (alive AND team = 3), []) AS ct,
+  coalesce(list({'player': player, 'x': x, 'y': y, 'z': z} ORDER BY player) FILTER (alive AND team = 2), []) AS t FROM ends GROUP BY ALL),
+made AS (SELECT *, max(gt) OVER (PARTITION BY round_id, len(ct), len(t)) AS last FROM whole)"""
+
+
+def _states(t):
+    half = t.pat.withColumn("at", F.floor(F.col("gt") / 1800))
+    last = half.groupBy("round_id", "at", "player").agg(F.max(F.struct("gt", "tick_id", "team", "alive", "x", "y", "z")).alias("s")).select("round_id", "at", "player", "s.*")
+    return near.team_states(last, ("round_id", "at"))
+
+
+@query("knn_state", _knn_sql(), _STATES)
 def _(t):
-    return _r(tr.knn_state(t.pat, [20, 30], ["x", "y"], 5, "player", "tick_id"), "distance")
+    found = near.knn_state(_states(t), _ASKED, 5, key="at")
+    return _r(found, "distance").withColumn("mapping", F.array_join(F.transform("mapping", lambda p: p.cast("string")), ","))
 
 
 @query("find_similar", "SELECT round_id, min(tick_id) AS tick_id FROM pat WHERE abs(x - 40) <= 15 AND abs(y - 50) <= 20 GROUP BY 1")
