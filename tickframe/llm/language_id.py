@@ -177,9 +177,11 @@ def sampled(docs: DataFrame, lang: str, text: str, sample_rows: int, sample_byte
     """lang and text of the first different texts of each language by hash. A hash bound that lets about twice the sample
     through comes first, so what is sorted is bounded too."""
     read = docs.select(F.col(lang).alias("lang"), F.lower(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = read.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), 2.0 * sample_rows / F.col("n"))
-    near = read.withColumn("key", F.xxhash64("text")).join(counts, "lang").where(F.col("key") <= F.lit(float(-(2**63))) + share * F.lit(float(2**64)))
+    counts = read.groupBy("lang").count().collect()  # a row a language, each of which gets a tree
+    if not counts:
+        return read.limit(0)
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(2**63 - 1, int(-(2**63) + 2.0 * sample_rows / r["count"] * 2**64)))])
+    near = read.withColumn("key", F.xxhash64("text")).where(F.col("key") <= bounds[F.col("lang")])
     single = near.groupBy("lang", "key").agg(F.min("text").alias("text"))
     by = Window.partitionBy("lang").orderBy("key")
     placed = single.withColumns({"place": F.row_number().over(by), "so_far": F.sum(F.octet_length("text").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))})
