@@ -52,62 +52,6 @@ def test_engagement_gap_exactly_at_the_limit(spark):
     assert got == [(5, 24, 2, [0, 1]), (25, 36, 1, [2])]
 
 
-def _plain_sim(rounds, k=6):
-    """pred -> the costs of its k best, over all players' mappings and all rounds of equal team sizes."""
-    at = lambda p, i: p[min(i, len(p) - 1)]
-    best = {}
-    for i, (us, us_t) in rounds.items():
-        found = []
-        for j, (them, them_t) in rounds.items():
-            if i == j or len(us) != len(them) or len(us_t) != len(them_t):
-                continue
-            n, m = max(map(len, us + us_t)), max(map(len, them + them_t))
-            ways = [(us + us_t, list(a) + list(b)) for a in itertools.permutations(them) for b in itertools.permutations(them_t)]
-            ade = lambda w: sum(math.dist(at(p, (n - 1) * c // 10), at(q, (m - 1) * c // 10)) for p, q in zip(*w) for c in range(11))
-            w = min(ways, key=ade)
-            d = np.array([[sum(math.dist(at(p, x), at(q, y)) for p, q in zip(*w)) for y in range(m)] for x in range(n)])
-            cost = np.full((n + 1, m + 1), np.inf)
-            cost[0, 0] = 0
-            for x, y in itertools.product(range(n), range(m)):
-                cost[x + 1, y + 1] = min(cost[x, y] + 2 * d[x, y], cost[x, y + 1] + d[x, y], cost[x + 1, y] + d[x, y])
-            found.append(cost[n, m] / (n + m))
-        best[i] = sorted(found)[:k]
-    return {i: c for i, c in best.items() if c}
-
-
-def test_sim_join_against_all_pairs(spark):
-    # round 0's only match in DTW has other timing, and 40 rounds come before it by ADE
-    late = lambda n, e: [(0.0, e)] * n + [(10.0 * x, e) for x in range(11)]
-    paths = {0: late(0, 0.0), 41: late(60, 0.0)} | {r: [(10.0 * x, 15.0 + r / 10) for x in range(11)] for r in range(1, 41)}
-    rows = [(r, 2, 0, i, i, True, *p) for r, path in paths.items() for i, p in enumerate(path)]
-    rng = random.Random(5)
-    more = {r: ([[(rng.random(), rng.random()) for _ in range(rng.randrange(1, 6))] for _ in range(2 + r % 2)], [[(rng.random(), rng.random())] * 3 for _ in range(2)]) for r in range(100, 112)}
-    rows += [(r, team, k, i, i, True, *p) for r, sides in more.items() for team, side in zip((3, 2), sides) for k, path in enumerate(side) for i, p in enumerate(path)]
-    pat = spark.createDataFrame(rows, "round_id long, team int, player int, gt long, tick_id long, alive boolean, x double, y double")
-    rounds = trajectories.multi_trajectories(trajectories.make_trajectories(pat, ("round_id", "team", "player")))
-    got = {}
-    for r in sorted(trajectories.sim_join(rounds, rounds).collect(), key=lambda r: r["rank"]):
-        got.setdefault(r.pred, []).append(r)
-    assert got[0][0].truth == 41 and sum(trajectories.multi_cost(([], [np.array(paths[0])]), ([], [np.array(paths[r])]))[0] < got[0][0].ade for r in range(1, 41)) > 24
-    want = _plain_sim({r: ([], [p]) for r, p in paths.items()} | more)
-    assert set(got) == set(want) and all([r.dtw for r in got[i]] == pytest.approx(want[i]) for i in want)
-
-
-def test_sim_join_query_searches_every_round(spark):
-    from tickframe.plans import registry
-    from tickframe.plans.domain import Tables
-
-    at = "/root/testdata/sf0.001"
-    sides = {}
-    for r in trajectories.make_trajectories(Tables(spark, at).pat, ("round_id", "team", "player")).collect():
-        sides.setdefault(r.round_id, ([], []))[3 - r.team].append([(p.x, p.y) for p in r.path])
-    sizes = [tuple(map(len, s)) for s in sides.values()]
-    got = {}
-    for r in registry.QUERIES["sim_join"](spark, at).collect():
-        got.setdefault(r.pred, []).append(r.truth)
-    assert {i: len(v) for i, v in got.items()} == {i: min(6, sizes.count(tuple(map(len, s))) - 1) for i, s in sides.items() if sizes.count(tuple(map(len, s))) > 1}
-
-
 def test_rest_clusters_hold_all_resting_rows(spark):
     rng = random.Random(6)
     centres = {(team, site): [(300.0 * i, 100.0 * team, 50.0 * site) for i in range(3)] for team in (2, 3) for site in (0, 1)}
@@ -175,36 +119,6 @@ def test_simple_paths_of_any_length(spark):
     assert paths(avoid=[30]) == paths() and paths(other=30) == [list(range(13))]
 
 
-def test_dtw_properties():
-    rng = np.random.default_rng(0)
-    for _ in range(10):
-        a, b = rng.normal(size=(9, 2)), rng.normal(size=(7, 2))
-        assert trajectories.dtw_cost(a, a) == 0 and trajectories.dtw_cost(a, a, True) == 0
-        assert trajectories.dtw_cost(a, b) == pytest.approx(trajectories.dtw_cost(b, a))
-        assert trajectories.dtw_cost(a, b) <= trajectories.dtw_cost(a, b, True) + 1e-12
-
-
-def test_warp_by_diagonals_is_the_plain_one():
-    rng = np.random.default_rng(5)
-    for k in range(60):
-        d = rng.random((rng.integers(1, 10), rng.integers(1, 10)))
-        n, m = d.shape
-        for slope in (False, True):
-            cost = np.full((n + 1, m + 1), np.inf)
-            cost[0, 0] = 0
-            for i in range(1, n + 1):
-                for j in range(1, m + 1):
-                    ways = [cost[i - 1, j - 1] + 2 * d[i - 1, j - 1]]
-                    if not slope:
-                        ways += [cost[i - 1, j] + d[i - 1, j - 1], cost[i, j - 1] + d[i - 1, j - 1]]
-                    if slope and i > 1:
-                        ways.append(cost[i - 2, j - 1] + 2 * d[i - 2, j - 1] + d[i - 1, j - 1])
-                    if slope and j > 1:
-                        ways.append(cost[i - 1, j - 2] + 2 * d[i - 1, j - 2] + d[i - 1, j - 1])
-                    cost[i, j] = min(ways)
-            assert trajectories.warp(d, slope) == cost[n, m] / (n + m)
-
-
 def test_support_comes_from_another(spark):
     starts = spark.createDataFrame([(1, 2, 10, 5), (1, 2, 10, 6), (1, 2, 12, 6), (1, 2, 14, 99)], "round_id int, team int, player int, gt int")
     sees = spark.createDataFrame([(1, 2, 10, 7), (1, 2, 10, 8), (1, 2, 12, 9), (1, 3, 11, 6)], "round_id int, team int, player int, gt int")

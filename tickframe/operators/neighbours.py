@@ -67,7 +67,7 @@ def best_mapping(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sums, ways): of gaps[state, ours, theirs], for each state the least sum over all ways to map ours to theirs, and the
     first such way."""
     n = gaps.shape[1]
-    ways = np.array(list(permutations(range(n))), int).reshape(-1, n)
+    ways = np.array(list(permutations(range(n))), int)  # one way for nobody
     total = gaps[:, np.arange(n), ways].sum(axis=2)
     best = total.argmin(axis=1)
     return total[np.arange(len(total)), best], ways[best]

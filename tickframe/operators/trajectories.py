@@ -54,99 +54,6 @@ def mappings(n: int) -> list[tuple[int, list[int]]]:
     return [(k, list(p)) for k, p in enumerate(permutations(range(n)))]
 
 
-def dtw_cost(a: np.ndarray, b: np.ndarray, slope: bool = False) -> float:
-    """Dynamic time warping of two paths (points by coordinates), cost over n + m. slope: a step along one path alone
-    must be followed by a diagonal one."""
-    return warp(np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)), slope)
-
-
-def warp(d: np.ndarray, slope: bool = False) -> float:
-    """dtw_cost by the distances of all steps. The cells of one anti-diagonal hang on those of the diagonals before it
-    alone, so each diagonal is one step over arrays (indexed by the row, with a cell before the first)."""
-    n, m = d.shape
-    empty = np.full(n + 1, np.inf)
-    before3, before2, before1 = empty, empty, empty.copy()
-    before1[0] = 0  # the corner, on diagonal 0
-    for s in range(1, n + m + 1):
-        now = empty.copy()
-        i = np.arange(max(1, s - m), min(n, s - 1) + 1)
-        if len(i):
-            j = s - i
-            here = d[i - 1, j - 1]
-            best = before2[i - 1] + 2 * here
-            if slope:
-                two = i > 1
-                best[two] = np.minimum(best[two], before3[i[two] - 2] + 2 * d[i[two] - 2, j[two] - 1] + here[two])
-                two = j > 1
-                best[two] = np.minimum(best[two], before3[i[two] - 1] + 2 * d[i[two] - 1, j[two] - 2] + here[two])
-            else:
-                best = np.minimum(best, np.minimum(before1[i - 1], before1[i]) + here)
-            now[i] = best
-        before3, before2, before1 = before2, before1, now
-    return float(before1[n] / (n + m))
-
-
-def dtw(pairs: DataFrame, columns: Sequence[str] = ("x", "y"), slope: bool = False) -> DataFrame:
-    """+ dtw of path_a and path_b, in Arrow batches."""
-
-    @F.pandas_udf("double")
-    def cost(a: pd.Series, b: pd.Series) -> pd.Series:
-        points = lambda p: np.array([[q[c] for c in columns] for q in p], dtype=float).reshape(-1, len(columns))
-        return pd.Series([dtw_cost(points(x), points(y), slope) if len(x) and len(y) else None for x, y in zip(a, b)])
-
-    return pairs.withColumn("dtw", cost("path_a", "path_b"))
-
-
-def multi_trajectories(paths: DataFrame, key: str = "round_id", columns: Sequence[str] = ("x", "y"), clock: str = "gt") -> DataFrame:
-    """A row per key: id, ct and t (each team's paths as flat coordinates, by player), n_ct, n_t, time (the longest
-    path's), length (of all paths). paths: key, team (3 and 2), player, path."""
-    flat = F.flatten(F.transform("path", lambda p: F.array(*[p[c].cast("double") for c in columns])))
-    side = lambda team: F.transform(F.sort_array(F.collect_list(F.when(F.col("team") == team, F.struct("player", flat.alias("p"))))), lambda x: x["p"])
-    both = traj_length(paths, columns, clock).groupBy(F.col(key).alias("id")).agg(side(3).alias("ct"), side(2).alias("t"), F.max("seconds").alias("time"), F.sum("length").alias("length"))
-    return both.withColumns({"n_ct": F.size("ct"), "n_t": F.size("t")})
-
-
-def multi_cost(a: Sequence[Sequence[np.ndarray]], b: Sequence[Sequence[np.ndarray]], cuts: int = 10, slope: bool = False) -> tuple[float, float]:
-    """(ade, dtw) of two sides of paths (teams, of equal sizes, of points), under the mapping of players within their
-    team that has the least ADE. A path that has ended stays at its last point."""
-    n, m = (max(len(p) for team in side for p in team) for side in (a, b))
-    at_n, at_m = (np.arange(cuts + 1) * (x - 1) // cuts for x in (n, m))
-    ade, gaps = 0.0, np.zeros((n, m))
-    for us, them in zip(a, b):
-        if not len(us):
-            continue
-        us, them = (np.array([p[np.minimum(np.arange(x), len(p) - 1)] for p in team]) for team, x in ((us, n), (them, m)))
-        each = np.sqrt(((us[:, None, at_n] - them[None, :, at_m]) ** 2).sum(axis=3)).sum(axis=2)
-        # the ADE is a sum over the players, so each team's best mapping is found on its own
-        ways = np.array(list(permutations(range(len(us)))))
-        total = each[np.arange(len(us)), ways].sum(axis=1)
-        ade += total.min()
-        for p, q in zip(us, them[ways[total.argmin()]]):
-            gaps += np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2))
-    return float(ade / (2 * (cuts + 1))), warp(gaps, slope)
-
-
-def sim_join(pred: DataFrame, truth: DataFrame, k: int = 6, dims: int = 2, slope: bool = False) -> DataFrame:
-    """For each predicted multi-trajectory (see multi_trajectories) the k most alike by DTW of those with the same team
-    sizes: pred, truth, ade, dtw, rank, d_time, d_len. Every such pair is warped; only itself is no match. Pairs are
-    made of ids and sizes, then dealt by truth, so one team size doesn't land in one task."""
-
-    @F.pandas_udf("ade double, dtw double")
-    def cost(ct_a: pd.Series, t_a: pd.Series, ct_b: pd.Series, t_b: pd.Series) -> pd.DataFrame:
-        points = lambda team: [np.asarray(p, dtype=float).reshape(-1, dims) for p in team]
-        rows = [multi_cost((points(a), points(b)), (points(c), points(d)), slope=slope) for a, b, c, d in zip(ct_a, t_a, ct_b, t_b)]
-        return pd.DataFrame(rows, columns=["ade", "dtw"])
-
-    named = lambda df, name, end: df.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{end}") for c in ("ct", "t", "time", "length")])
-    sizes = ["n_ct", "n_t"]
-    ids = pred.select(*sizes, F.col("id").alias("pred")).join(truth.select(*sizes, F.col("id").alias("truth")), sizes).where("pred <> truth").drop(*sizes)
-    both = ids.join(named(pred, "pred", "a"), "pred").join(named(truth, "truth", "b"), "truth")
-    cols = ["pred", "truth", (F.col("time_a") - F.col("time_b")).alias("d_time"), (F.col("length_a") - F.col("length_b")).alias("d_len")]
-    costs = both.select(*cols, cost("ct_a", "t_a", "ct_b", "t_b").alias("c")).select("pred", "truth", "c.ade", "c.dtw", "d_time", "d_len")
-    ranked = costs.withColumn("rank", F.row_number().over(Window.partitionBy("pred").orderBy("dtw", "truth")))
-    return ranked.where(F.col("rank") <= k).select("pred", "truth", "ade", "dtw", "rank", "d_time", "d_len")
-
-
 def label_by_match(sim: DataFrame, labels: DataFrame, default: float = 0.5) -> DataFrame:
     """Each predicted one's label from its best match: pred, label. sim: pred, truth, rank; labels: truth, label."""
     best = sim.where("rank = 1").join(labels, "truth", "left")

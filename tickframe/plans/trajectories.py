@@ -9,6 +9,7 @@ from ..operators import events as ev
 from ..operators import neighbours as near
 from ..operators import trajectories as tr
 from ..operators import training as g
+from ..operators import warping as wp
 from ..operators import windows as w
 from .domain import query
 from .events import _ENG, _eng
@@ -53,15 +54,26 @@ def _(t):
     return _r(tr.ade_pct(_pairs(t)).select("round_id", "player", "ade"), "ade")
 
 
-@query("dtw")
+_WARP = """, rowed AS (
+  SELECT round_id, player, p, q, n, m, 0::BIGINT AS i, list_concat([{'c': 0.0::DOUBLE, 'w': ''}], list_transform(range(m), lambda x: {'c': 'inf'::DOUBLE, 'w': ''})) AS cells FROM twins
+  UNION ALL
+  SELECT round_id, player, p, q, n, m, i + 1, list_reduce(list_concat([[{'c': 'inf'::DOUBLE, 'w': ''}]], list_transform(range(1, m + 1), lambda j: [{'c': j::DOUBLE, 'w': ''}])), lambda done, x:
+      list_append(done, list_transform([{'l': done[len(done)], 'd': cells[len(done)], 'u': cells[len(done) + 1]}], lambda z:
+        {'c': sqrt(power(p[i + 1][1] - q[len(done)][1], 2) + power(p[i + 1][2] - q[len(done)][2], 2)) + least(z.l.c, z.d.c, z.u.c),
+         'w': (CASE WHEN z.l.c <= z.d.c AND z.l.c <= z.u.c THEN z.l.w WHEN z.d.c <= z.u.c THEN z.d.w ELSE z.u.w END) || i || '-' || (len(done) - 1) || ' '})[1]))
+  FROM rowed WHERE i < n)"""
+
+
+@query("dtw", "SELECT round_id, player, round(cells[m + 1].c / (n + m), 6) AS dtw, trim(cells[m + 1].w) AS matched FROM rowed WHERE i = n", _PAIRS + _WARP)
 def _(t):
-    return tr.dtw(_pairs(t)).select("round_id", "player", "dtw")
+    way = F.array_join(F.transform("matched", lambda x: F.concat_ws("-", x[0], x[1])), " ")
+    return _r(wp.dtw(_pairs(t)).select("round_id", "player", "dtw", way.alias("matched")), "dtw")
 
 
 @query("sim_join")
 def _(t):
-    rounds = tr.multi_trajectories(tr.make_trajectories(t.pat, ("round_id", "team", "player")))
-    return tr.sim_join(rounds, rounds)
+    rounds = wp.multi_trajectories(tr.make_trajectories(t.pat, ("round_id", "team", "player")))
+    return wp.sim_join(rounds, rounds)
 
 
 @query("interpolate", "SELECT tick_id, round(first_value(x) OVER o * (1 - s) + last_value(x) OVER o * s, 6) AS line_x FROM (SELECT *, coalesce((gt - min(gt) OVER b) / nullif(max(gt) OVER b - min(gt) OVER b, 0), 0.0) AS s FROM (SELECT *, (gt - min(gt) OVER (PARTITION BY round_id, player)) // 7200 AS bl FROM pat) WINDOW b AS (PARTITION BY round_id, player, bl)) WINDOW o AS (PARTITION BY round_id, player, bl ORDER BY gt, tick_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
