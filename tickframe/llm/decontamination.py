@@ -10,8 +10,8 @@ The items are a query set run against all documents, in blocks of bounded size:
 characters is sent to the tasks and each block is one pass, whose matches are written before the next block is
 fetched. `contamination` doesn't shuffle the documents.
 
-Items with fewer than `least_words` words are matched exactly (budget 0), word for word; a run of an unspaced script is
-one word. Items without words match nothing. Null and empty texts match nothing. Null ids, of documents and of items,
+Items with fewer than `least_words` words are matched exactly (budget 0), word for word; in scripts that put no spaces
+between words (Han, kana, Thai and others) each character is a word. Ids may be of any type. Items without words match nothing. Null and empty texts match nothing. Null ids, of documents and of items,
 are carried along; a document with a null id, or one of several rows with an id, is told by its text as well when found
 documents are taken out. Repeated rows and repeated items each give their own rows. Other columns are not read by
 `contamination` and pass through `decontaminate`. Empty tables give an empty result.
@@ -27,9 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fresh, keep
 
-_WORDS = re.compile(r"[^\W_]+")
+# Characters of scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han), each a word of its own.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 MATCHES = "doc_id string, row long, item_id string, distance int, budget int, first_word int, n_words int"
 
 
@@ -157,12 +159,14 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """A row for each document and item found in it: its smallest distance, the budget, and where it begins (about:
     the match's end less the item's length). how: rate (of edits), least_words, block_chars."""
     found = _matches(docs, items, doc_id, text, **how)
-    return found.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")}).drop("row")  # a long with nulls is a float in pandas
+    types = {"doc_id": docs.schema[doc_id].dataType, "item_id": items.schema["item_id"].dataType}  # strings on the way: a long with nulls is a float in pandas
+    return found.withColumns({c: F.col(c).cast(t) for c, t in types.items()}).drop("row")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents in which no item is found, with their own columns. The found ids are written first, so Spark
     knows their size when it picks the join."""
-    found = _matches(docs, items, doc_id, text, **how).select(F.col("doc_id").cast("long").alias("__found"), F.col("row").alias("__row")).distinct()
+    found_id, found_row = fresh(docs, "found", "row")
+    found = _matches(docs, items, doc_id, text, **how).select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias(found_id), F.col("row").alias(found_row)).distinct()
     found = keep(found, "contaminated")
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("__found")) & (F.xxhash64(text) == F.col("__row")), "left_anti")
+    return docs.join(found, F.col(doc_id).eqNullSafe(F.col(found_id)) & (F.xxhash64(text) == F.col(found_row)), "left_anti")

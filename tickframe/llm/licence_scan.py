@@ -12,7 +12,8 @@ The known sentences are a fixed table of this module, held by every task as a tr
 sentence (names and years of copyright, titles, conditions) stand between identifiers without parting them. Only texts
 with a cue word are cut, unless a caller's own sentences have one without a cue. The texts are not shuffled: only known sentences are grouped by document.
 
-Null and empty texts hold no sentence. Rows that share an id are one document, their sentences in order of place.
+Null and empty texts hold no sentence. Rows that share an id are one document, their sentences in order of place; rules
+are matched in each different text by itself, so a repeated row changes no licence.
 Null ids are a document too. A document without known sentences gives no row. Other columns are not read. An empty
 table gives an empty result.
 """
@@ -241,32 +242,38 @@ def find(text: str, tree: dict) -> list[dict]:
 
 
 def known_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, notices: dict[str, tuple[str, ...]] = NOTICES) -> DataFrame:
-    """doc_id, place (of the sentence in its text), part, sentence_id."""
+    """doc_id, row (of the text), place (of the sentence in its text), part, sentence_id."""
     tree = _tree({s: (i,) for s, i in sentences.items()} | notices)
 
     @F.pandas_udf("array<struct<place: int, part: int, sentence_id: string>>")
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([find(t, tree) for t in texts], dtype=object)
 
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).where("text IS NOT NULL")
     if all(re.search(_CUE, known) for known in (*sentences, *notices)):
         texts = texts.where(F.col("text").rlike(_CUE))  # a sentence without a cue must be looked for in every text
-    return texts.select("doc_id", F.explode(found("text")).alias("s")).select("doc_id", "s.*")
+    return texts.select("doc_id", "row", F.explode(found("text")).alias("s")).select("doc_id", "row", "s.*")
 
 
 def licences(found: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
-    """Per document: sentence_ids (in order), licences (in rule order, once each) and unmatched identifiers, each
-    joined by `;`."""
-    ordered = found.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "part", "sentence_id"))), lambda x: x["sentence_id"]).alias("ids"))
-    rest, names = F.concat(F.lit(";"), F.array_join(F.transform("ids", lambda x: F.concat(x, F.lit(";"))), ";"), F.lit(";")), []
-    out = ordered.withColumn("sentence_ids", F.array_join("ids", ";")).withColumn("rest", rest)
+    """Per document: sentence_ids (of all its rows, by place), licences (in rule order, once each) and unmatched
+    identifiers, each joined by `;`. Rules are matched in each different text by itself."""
+    place = F.struct("place", "part", "sentence_id")
+    ordered = found.groupBy("doc_id", "row").agg(F.collect_list(place).alias("all"))
+    ids = F.transform(F.array_sort(F.array_distinct("all")), lambda x: x["sentence_id"])
+    rest, names = F.concat(F.lit(";"), F.array_join(F.transform(ids, lambda x: F.concat(x, F.lit(";"))), ";"), F.lit(";")), []
+    out = ordered.withColumn("rest", rest)
     # the sequence is ;A;;B;;C; so that a stretch is one substring and neighbours don't share a delimiter
-    for k, (_, ids) in enumerate(rules):
-        stretch = "".join(f";{i};" for i in ids)
+    for k, (_, sentences) in enumerate(rules):
+        stretch = "".join(f";{i};" for i in sentences)
         out = out.withColumn(f"r{k}", F.contains("rest", F.lit(stretch))).withColumn("rest", F.replace("rest", F.lit(stretch), F.lit(";-;")))
-        names.append(F.when(F.col(f"r{k}"), F.lit(rules[k][0])))
+        names.append(F.when(F.col(f"r{k}"), F.struct(F.lit(k).alias("k"), F.lit(rules[k][0]).alias("name"))))
     left = F.filter(F.split("rest", ";"), lambda x: (x != "") & (x != "-"))
-    return out.select("doc_id", "sentence_ids", F.array_join(F.array_distinct(F.array_compact(F.array(*names))), ";").alias("licences"), F.array_join(left, ";").alias("unmatched"))
+    texts = out.select("doc_id", F.struct("row", "all", F.array_compact(F.array(*names)).alias("names"), left.alias("left")).alias("t"))
+    both = texts.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    joined = lambda c: F.flatten(F.transform("t", lambda x: x[c]))
+    one = lambda c, field: F.transform(F.array_sort(joined(c)), lambda x: x[field])
+    return both.select("doc_id", F.array_join(one("all", "sentence_id"), ";").alias("sentence_ids"), F.array_join(F.array_distinct(one("names", "name")), ";").alias("licences"), F.array_join(joined("left"), ";").alias("unmatched"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, keep, let
+from .common import WS, ascii_lower, fresh, keep, let
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -43,25 +43,26 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """docs with the repeated lines gone from the text, plus n_lines (before) and n_dropped."""
     lines, over = repeated_lines(docs, doc_id, text, min_chars, min_docs)
+    drop_id, drop_row, drop, own = fresh(docs, "id", "row", "drop", "own")
     drops = (
         lines.join(over, ["h1", "h2"])
         .where(F.col("id") != F.col("keeper"))
-        .groupBy(F.col("id").alias("__id"), F.col("row").alias("__row"))
-        .agg(F.collect_set("pos").alias("__drop"))
+        .groupBy(F.col("id").alias(drop_id), F.col("row").alias(drop_row))
+        .agg(F.collect_set("pos").alias(drop))
     )
     t = F.coalesce(F.col(text), F.lit(""))
-    n_dropped = F.coalesce(F.size("__drop"), F.lit(0))
+    n_dropped = F.coalesce(F.size(drop), F.lit(0))
 
     def left(ls):
-        places = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__drop"))
+        places = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(drop))
         return F.array_join(F.transform(places, lambda i: F.get(ls, i)), "\n")
 
-    rest = F.when(F.col("__drop").isNull(), t).otherwise(let(F.split(t, "\n", -1), left))
+    rest = F.when(F.col(drop).isNull(), t).otherwise(let(F.split(t, "\n", -1), left))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*names).withColumn("__own", F.xxhash64(t)).join(drops, (F.col(doc_id) == F.col("__id")) & (F.col("__own") == F.col("__row")), "left")
+    joined = docs.select(*names).withColumn(own, F.xxhash64(t)).join(drops, (F.col(doc_id) == F.col(drop_id)) & (F.col(own) == F.col(drop_row)), "left")
     n_lines = F.char_length(t) - F.char_length(F.translate(t, "\n", "")) + 1
     return joined.select(
         *[rest.alias(c) if c == text else F.col(c) for c in names],
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"),
+        F.when(F.col(drop).isNull(), F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"),
     )

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fresh, keep
 
 BANDS, ROWS, BATCH = 32, 5, 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -212,10 +212,11 @@ def _across(sets: DataFrame, open_ids: DataFrame, percent: int) -> DataFrame:
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, miss: float = 1e-6, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    key = docs.schema[doc_id].dataType
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id string, n_shingles long, lo long, hi long, sig binary, bands array<long>"
     named_text = texts.withColumn("doc_id", F.col("doc_id").cast("string"))  # a long with nulls is a float in pandas
-    sketches = keep(named_text.mapInPandas(_sketch(bands, rows, shingle), schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
+    sketches = keep(named_text.mapInPandas(_sketch(bands, rows, shingle), schema).withColumn("doc_id", F.col("doc_id").cast(key)), "sketches")
     named = sketches.where("lo IS NOT NULL AND doc_id IS NOT NULL")
     classes = keep(named.groupBy("lo", "hi").agg(F.min("doc_id").alias("lead")), "classes")
     leads = classes.select(F.col("lead").alias("doc_id")).distinct()
@@ -229,7 +230,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     met = keep(met.join(able.select(F.col("doc_id").alias("id")), "id"), "met")
     fame = met.groupBy("id").agg(F.sum("n").alias("fame"))
     famous = met.select("bucket", "id").join(fame, "id")
-    pivots = famous.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("less"))).alias("best")).select("bucket", (-F.col("best.less")).alias("pivot"))
+    pivots = famous.groupBy("bucket").agg(F.min(F.struct((-F.col("fame")).alias("less"), "id")).alias("best")).select("bucket", F.col("best.id").alias("pivot"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = keep(met.join(pivots, "bucket").where("id <> pivot").select(*pair("id", "pivot")).distinct(), "stars")
     check = lambda pairs: keep(_verified(pairs, heads, sets, bands * rows, percent, miss), "links")
@@ -257,5 +258,6 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """The documents of which one stays for each class, the one with the smallest id. Of rows that share the id, all stay."""
     classes = near_classes(docs, doc_id, **how)
-    gone = keep(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = keep(classes.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")

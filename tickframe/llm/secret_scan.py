@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, a random forest to remove false positives.
 
-Candidates are runs of 16 or more characters of `[A-Za-z0-9+/=_.@-]` that hold a digit, and whatever is assigned to a
-credential word, of any length and with or without digits: a quoted value whole, another up to white space or the next
-name. Where a run is a name, an assignment sign and a value, only the value is the candidate. Features of each:
+Candidates are runs of 16 or more characters of `[A-Za-z0-9+/=_.@-]` that hold a digit or whose characters follow each
+other more rarely than letters do in the corpus, by 2 bits a character; tokens of known issuers; private key blocks; the
+password of a web address; and whatever is assigned to a credential word, of any length and with or without digits: a
+quoted value whole, another up to white space or the next name. Texts are read in time that grows with their length. Where a run is a name, an assignment sign and a value, only the value is the candidate. Features of each:
 
 * length; share of digits and capitals; entropy;
 * character transitions: how often the character class changes, and the mean log2 probability of each character after
@@ -58,13 +59,18 @@ for _k, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
     _CODES[[ord(_c), ord(_c.upper())]] = _k
 _CODES[[9, 10, 11, 12, 13, 32]] = 36
 # Credential words, and words of paths that hold samples.
-_CREDENTIAL = re.compile(r"(?i)(token|secret|passw|pwd|api_?key|auth|bearer|credential|private)\w*\W*$")
-_WORDS = _CREDENTIAL.pattern[4 : _CREDENTIAL.pattern.index(")\\w") + 1]
-# a credential word, its closing quote, a type, the sign, a scheme, and the value: quoted, or up to white space or a quote
+_WORDS = "token|secret|passw|pwd|api_?key|auth|bearer|credential|private"
+_CREDENTIAL = re.compile(rf"(?i)({_WORDS})\w*\W*$")
+# a name with a credential word, its closing quote, a type, the sign, a scheme, and the value: quoted, or up to white space
+# or a quote. A name is tried once, at its begin and with its first credential word, so a long one costs its length.
 _ASSIGNED = re.compile(
-    rf"""(?i){_WORDS}\w*[\\"'`\])]{{0,4}}[ \t]*(?P<sign>:[ \t]*[\w.\[\]|]{{1,40}}[ \t]*=(?!=)|:=|=>|={{1,3}}|:)[ \t]*"""
+    rf"""(?i)(?<!\w)(?>\w*?(?P<word>{_WORDS}))\w*+[\\"'`\])]{{0,4}}[ \t]*(?P<sign>:[ \t]*[\w.\[\]|]{{1,40}}[ \t]*=(?!=)|:=|=>|={{1,3}}|:)[ \t]*"""
     r"""(?:(?:bearer|basic)[ \t]+)?(?:"(?P<double>(?:[^"\\\n]|\\.)+)"|'(?P<single>(?:[^'\\\n]|\\.)+)'|[\\"'`]*(?P<bare>[^\s"'`]+))"""
 )
+# Beginnings of tokens of known issuers, with what follows them.
+_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[\w-]{35})(?![A-Za-z0-9])")
+_PEM = re.compile(r"-----(?P<side>BEGIN|END) (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----")
+_URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]{0,200}:(?P<password>[^\s/@]{1,400})@")
 _NEXT = re.compile(r"[,;&][\w.-]+=")
 _CODE = re.compile(r"(?i)[(\[{<$%]|^[a-z_]\w*(?:\.[a-z_]\w*)+$|^(?:true|false|none|null|nil|undefined|bearer|basic)$")
 _SETTING = re.compile(r"^\s*(?:export |set |env |-e |- )?[\w.-]*$")
@@ -74,6 +80,10 @@ _SAMPLE = re.compile(r"(?i)test|example|sample|mock|fixture|demo")
 
 def _kind(run: str, assigned: bool = False, quoted: bool = False, setting: bool = False) -> str:
     """assigned: to a credential word; of such, code and lone words are told apart."""
+    if _ISSUED.fullmatch(run):
+        return "issued"
+    if run.startswith("-----BEGIN "):
+        return "key"
     if re.search(r"@[\w-]+\.", run):
         return "address"
     if re.fullmatch(r"(?:[0-9a-f]+|[0-9A-F]+)", run):
@@ -147,9 +157,37 @@ def features(text: str, path: str, start: int, run: str, table: np.ndarray, assi
     )
 
 
-def _spans(text: str) -> dict[tuple[int, int], tuple[bool, bool, bool]]:
+def _rare(table: np.ndarray, by: float = 2.0) -> float:
+    """`by` bits a character under what letters after letters have on average, each as frequent as the table makes it."""
+    each, often = np.exp2(table), np.full(len(table), 1 / len(table))
+    for _ in range(200):
+        often = often @ each
+    pairs = often[:26, None] * each[:26, :26]
+    return float((pairs * table[:26, :26]).sum() / pairs.sum()) - by
+
+
+def _unlikely(run: str, table: np.ndarray, bar: float) -> bool:
+    """Whether the run's characters follow each other more rarely than the bar says."""
+    c = _coded(run)
+    return len(c) > 1 and float(table[c[:-1], c[1:]].mean()) < bar
+
+
+def _spans(text: str, table: np.ndarray | None = None, bar: float = -np.inf) -> dict[tuple[int, int], tuple[bool, bool, bool]]:
     """(start, end) of the candidates, each with: assigned to a credential word, quoted, in the form of a setting."""
     out = {}
+    begun = None
+    for m in _PEM.finditer(text):
+        if m["side"] == "BEGIN":
+            begun = m
+            out[m.span()] = (True, False, False)
+        elif begun:  # the block whole
+            del out[begun.span()]
+            out[begun.start(), m.end()] = (True, False, False)
+            begun = None
+    for m in _URL.finditer(text):
+        out[m.span("password")] = (True, False, False)
+    for m in _ISSUED.finditer(text):
+        out[m.span()] = (False, False, False)
     for m in _ASSIGNED.finditer(text):
         name = m.lastgroup
         start, value = m.start(name), m[name]
@@ -158,24 +196,25 @@ def _spans(text: str) -> dict[tuple[int, int], tuple[bool, bool, bool]]:
         if value.strip():
             # NAME=value in capitals, or alone at the start of a line
             stuck = m["sign"] == "=" and name == "bare" and m.end("sign") == start and not text[m.start("sign") - 1].isspace()
-            line = text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 80) : m.start("sign")]
+            at = max(0, m.start("word") - 80)
+            line = text[max(text.rfind("\n", at, m.start("word")) + 1, at) : m.start("sign")]
             setting = stuck and (bool(_SETTING.search(line)) or bool(re.search(r"(?<![\w.])[A-Z][A-Z0-9_]*$", line)))
             out[start, start + len(value)] = (True, name != "bare", setting)
     for m in _RUN.finditer(text):
-        if any(c.isdigit() for c in m.group()):
+        if any(c.isdigit() for c in m.group()) or (table is not None and _unlikely(m.group(), table, bar)):
             named = _NAMED.match(m.group())
             out.setdefault((m.start() + (named.end() if named else 0), m.end()), (False, False, False))
     return out
 
 
 def _finder(table: np.ndarray):
-    names = [x.split()[0] for x in FINDINGS.split(", ")]
+    names, bar = [x.split()[0] for x in FINDINGS.split(", ")], _rare(table)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text, path in zip(batch["doc_id"], batch["text"], batch["path"]):
-                for (a, b), how in sorted(_spans(text or "").items()):
+                for (a, b), how in sorted(_spans(text or "", table, bar).items()):
                     run = text[a:b]
                     sha = hashlib.sha256(run.encode("utf-8", "surrogatepass")).hexdigest()
                     rows.append((doc, a, b - a, sha, _kind(run, *how), _ALPHA.findall(run.lower()), *features(text, path or "", a, run, table, *how)))
@@ -207,7 +246,7 @@ def _coverage(found: DataFrame, words: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", least_docs: int = 3) -> DataFrame:
     """A row for each candidate: doc_id, start, length, value_sha256 (the value itself isn't copied), kind, features."""
     read = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.col(path).alias("path"))
-    found = read.mapInPandas(_finder(transitions(docs, text)), FINDINGS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = read.mapInPandas(_finder(transitions(docs, text)), FINDINGS).withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
     found = keep(found.withColumn("place", F.monotonically_increasing_id()), "candidates")
     return _coverage(found, dictionary(docs, text, least_docs))
 
@@ -215,7 +254,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 def seed_labels(found: DataFrame) -> DataFrame:
     """found with `label`: 1 for a finding, 0 for a false positive, null where neither is plain."""
     typed = (F.col("f_quoted") == 1) | (F.col("f_setting") == 1) | (F.col("f_digits") > 0)
-    yes = (F.col("f_credential") == 1) & (F.col("f_assigned") == 1) & typed
+    yes = ((F.col("f_credential") == 1) & (F.col("f_assigned") == 1) & typed) | F.col("kind").isin("issued", "key")
     no = F.col("kind").isin("address", "place", "code", "word") | (F.col("f_covered") >= 0.5)
     return found.withColumn("label", F.when(yes & ~no, F.lit(1.0)).when(no, F.lit(0.0)))
 
@@ -244,12 +283,13 @@ def score(found: DataFrame, model, threshold: float = 0.5) -> DataFrame:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", labels: DataFrame | None = None, least_docs: int = 3, **fit) -> DataFrame:
     """Candidates of all documents with labels (given ones, or else seed labels), scores of a forest trained on them,
-    and verdicts. labels: doc_id, start and label (1 a secret, 0 not) of some candidates, one row each."""
+    and verdicts. labels: doc_id, start and label (1 a secret, 0 not) of some candidates; of several rows for one, the
+    largest label holds."""
     found = candidates(docs, doc_id, text, path, least_docs)
     if labels is None:
         found = seed_labels(found)
     else:
-        known = labels.select(F.col("doc_id").alias("__id"), F.col("start").alias("__start"), F.col("label").cast("double").alias("label"))
+        known = labels.groupBy(F.col("doc_id").alias("__id"), F.col("start").alias("__start")).agg(F.max(F.col("label").cast("double")).alias("label"))
         found = found.join(known, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("start") == F.col("__start")), "left").drop("__id", "__start")
     found = keep(found, "findings")
     return score(found, train(found, **fit))
