@@ -25,12 +25,47 @@ def filter_rounds(rounds: DataFrame, game: str = "game_id", number: str = "numbe
     return kept.withColumn(number, F.row_number().over(Window.partitionBy(game).orderBy(start)))
 
 
-def period_detect(rounds: DataFrame, game: str = "game_id", number: str = "number", regulation: int = 30, half: int = 15, overtime: int = 6, half_overtime: int = 3) -> DataFrame:
-    """+ period (0 regulation, 1.. overtimes) and half (0, 1) of a round by its number from 1."""
-    n = F.col(number) - 1
-    late = n - regulation
-    period = F.when(n < regulation, 0).otherwise(1 + F.floor(late / overtime))
-    return rounds.withColumns({"period": period.cast("int"), "half": F.when(n < regulation, F.floor(n / half)).otherwise(F.floor(F.pmod(late, F.lit(overtime)) / half_overtime)).cast("int")})
+def period_detect(rounds: DataFrame, game: str = "game_id", order: str = "start", ct: str = "ct_wins", t: str = "t_wins", half: int = 15, half_overtime: int = 3) -> DataFrame:
+    """The rounds of valid periods, + period (0 regulation, 1.. overtimes) and half (0, 1), by the wins before each round.
+
+    Of each pattern the last match counts, so what a restart plays again goes. With wins counted from the period's begin, a
+    first half ends at the last round, after the period before, that makes the half's wins full, and begins at the last
+    round before it without wins, or else the first after the period before. A second half ends at the last round with a
+    team one win short while the other has fewer, and begins at the last round before it with the half's wins. A game without
+    a valid regulation has no row; an overtime without all four is left out, and without the end of its second half it is
+    the game's last. A game's rounds are searched as one array, as there are few."""
+    most = rounds.agg(F.max(F.greatest(ct, t))).first()[0]
+    periods = 1 + max(0, ((most or 0) - half) // half_overtime)  # an overtime ends with half_overtime wins over the begin
+    games = rounds.groupBy(game).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(ct).alias("_c"), F.col(t).alias("_w"), F.struct(*rounds.columns).alias("_row")))).alias("_r"))
+    games = games.withColumn("_r", F.transform("_r", lambda x, i: x.withField("_i", i + 1))).withColumns({"_last": F.lit(0), "_on": F.lit(True), "_spans": F.array().cast("array<struct<period:int,half:int,a:int,b:int>>")})
+    at = lambda rows, test: F.transform(F.filter(rows, test), lambda x: x["_i"])
+    for p in range(periods):
+        begin, h = (0, half) if p == 0 else (half + (p - 1) * half_overtime, half_overtime)
+        c, w = lambda x, n=begin: x["_c"] - n, lambda x, n=begin: x["_w"] - n
+        rows, later = F.col("_r"), F.filter("_r", lambda x: x["_i"] > F.col("_last"))
+        games = games.withColumns(
+            {
+                "_fe": F.array_max(at(later, lambda x: c(x) + w(x) + 1 == h)),
+                "_se": F.array_max(at(rows, lambda x: ((c(x) == h) | (w(x) == h)) & ((c(x) < h) | (w(x) < h)))),
+            }
+        ).withColumns(
+            {
+                "_fs": F.when(F.col("_fe").isNotNull(), F.coalesce(F.array_max(at(later, lambda x: (x["_i"] <= F.col("_fe")) & (c(x) == 0) & (w(x) == 0))), F.array_min(at(later, lambda x: F.lit(True))))),
+                "_ss": F.array_max(at(rows, lambda x: (x["_i"] <= F.col("_se")) & (c(x) + w(x) == h))),
+            }
+        )
+        whole = F.col("_on") & F.col("_fs").isNotNull() & F.col("_ss").isNotNull()
+        span = lambda k, a, b: F.struct(F.lit(p).alias("period"), F.lit(k).alias("half"), F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b"))  # noqa: B023, E731
+        games = games.withColumns(
+            {
+                "_spans": F.when(whole, F.concat("_spans", F.array(span(0, "_fs", "_fe"), span(1, "_ss", "_se")))).otherwise(F.col("_spans")),
+                "_on": whole if p == 0 else F.col("_on") & F.col("_se").isNotNull(),
+                "_last": F.coalesce("_se", "_last"),
+            }
+        )
+    spans = games.select("_r", F.explode("_spans").alias("_s"))
+    found = spans.select("_s", F.explode(F.filter("_r", lambda x: x["_i"].between(F.col("_s.a"), F.col("_s.b")))).alias("_x"))
+    return found.select("_x._row.*", F.col("_s.period").alias("period"), F.col("_s.half").alias("half"))
 
 
 def tick_to_round(ticks: DataFrame, rounds: DataFrame, tick: str = "tick_id", width: int = 10_000) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import band_join, stab_join
-from .windows import asof_prev, islands, over, runs, so_far, whole
+from .windows import asof_prev, carry, islands, over, runs, so_far, whole
 
 
 def engagements(hurt: DataFrame, bounds: DataFrame, pre: int, post: int, clock: str = "gt", tick: str = "tick_id") -> DataFrame:
@@ -108,14 +108,25 @@ def flash_state(pat: DataFrame, flashed: DataFrame, full: float, scale: float, c
     return seen.withColumn("amount", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), left)), F.lit(0.0)) / F.lit(scale)).drop("prev_at")
 
 
-def fire_history(pat: DataFrame, fired: Column, hit: Column, keys: Sequence[str], order: Sequence[str], clock: str = "gt") -> DataFrame:
-    """+ since_fire (null before the first shot), holding and shots. holding: a player keeps the attack held from a shot
-    until since_fire grows past the gap of the shot before it; a shot within that gap carries on."""
-    w = over(keys, order)
-    since = F.col(clock) - F.last(F.when(fired, F.col(clock)), True).over(so_far(keys, order))
-    out = pat.withColumns({"since_fire": since, "shots": F.count(F.when(fired, 1)).over(so_far(keys, order)), "hit": hit})
-    before = F.lag("since_fire").over(w)
-    return out.withColumn("holding", F.col("since_fire").isNotNull() & (before.isNull() | (F.col("since_fire") <= before)))
+def fire_history(
+    pat: DataFrame, fired: Column, hits: DataFrame, keys: Sequence[str] = ("round_id", "player"), order: Sequence[str] = ("gt", "tick_id"), clock: str = "gt", tick: str = "tick_id", player: str = "player", floor: float = 0.5
+) -> DataFrame:
+    """+ since_fire and since_hold (null before the first), shots, holding, hit and victims.
+
+    pat has recoil and reloading. The attack is held where, not reloading and over the floor, recoil rises, or stays as it
+    is and was held the row before; a key's first row never is. hits (tick, attacker, victim): victims are those that the
+    player hits on the tick of the row, each once and sorted, an empty list for none."""
+    w, past = over(keys, order), so_far(keys, order)
+    since = lambda flag: F.col(clock) - F.last(F.when(flag, F.col(clock)), True).over(past)
+    before = F.lag("recoil").over(w)
+    able = ~F.coalesce("reloading", F.lit(False)) & (F.col("recoil") > floor)
+    out = pat.withColumns({"since_fire": since(fired), "shots": F.count(F.when(fired, 1)).over(past), "_rises": able & (F.col("recoil") > before), "_stays": able & (F.col("recoil") == before)})
+    out = carry(out, keys, order, F.col("_rises"), F.col("_stays"), "holding").drop("_rises", "_stays")
+    out = out.withColumn("since_hold", since(F.col("holding")))
+    struck = hits.where("attacker IS NOT NULL").groupBy(F.col("tick_id").alias("_t"), F.col("attacker").alias("_a")).agg(F.sort_array(F.collect_set("victim")).alias("victims"))
+    joined = out.join(struck, (F.col(tick) == F.col("_t")) & (F.col(player) == F.col("_a")), "left").drop("_t", "_a")
+    none = F.array().cast(struck.schema["victims"].dataType)
+    return joined.withColumns({"hit": F.col("victims").isNotNull(), "victims": F.coalesce("victims", none)})
 
 
 def argmax_runs(scores: DataFrame, classes: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -135,6 +135,33 @@ def grid_blur(grid: DataFrame, weights: dict[tuple[int, int], float], value: str
     return spread.groupBy("gx", "gy").agg(F.sum("v").alias("value"))
 
 
+def grid_spread(grid: DataFrame, bounds: DataFrame, barrier: DataFrame, decay: float = 0.993, floor: int = 30, reach: int = 2, steps: int | None = None, value: str = "n") -> DataFrame:
+    """Values from 0 to 255 that spread over a grid with decay: gx, gy, value of the cells over 0.
+
+    In a step each cell within bounds that no barrier stands on takes the largest of itself and of its neighbours up to
+    `reach` cells off, theirs to the power of decay; what is over 0 then decays once more, but not under the floor. Powers
+    are cut to whole numbers. `steps` of them, or as many as it takes until nothing changes. bounds and barrier: gx, gy of
+    cells. The grid is sparse: cells of 0 are no rows. Each step is cut from its lineage."""
+    from ..sources.tables import cut
+
+    power = lambda c: F.floor(F.pow(c, F.lit(decay))).cast("int")
+    around = F.explode(F.transform(F.sequence(F.lit(0), F.lit((2 * reach + 1) ** 2 - 1)), lambda k: F.struct((F.floor(k / (2 * reach + 1)) - reach).alias("dx"), (k % (2 * reach + 1) - reach).alias("dy"))))
+    inside = cut(bounds.select("gx", "gy").distinct().join(barrier.select("gx", "gy").distinct(), ["gx", "gy"], "left_anti"))
+    state = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("gx", "gy", "value"))).first()
+    now, done = grid.groupBy("gx", "gy").agg(F.max(value).cast("int").alias("value")).where("value > 0"), 0
+    before = None
+    while steps is None or done < steps:
+        spread = now.withColumn("o", around).select((F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"), F.when((F.col("o.dx") == 0) & (F.col("o.dy") == 0), F.col("value")).otherwise(power("value")).alias("v"))
+        most = spread.groupBy("gx", "gy").agg(F.max("v").alias("v")).where("v > 0").join(inside, ["gx", "gy"], "left_semi")
+        now = cut(most.select("gx", "gy", F.when(F.col("v") < floor, F.lit(floor)).otherwise(F.greatest(F.lit(floor), power("v"))).alias("value")).where("value > 0"))
+        done += 1
+        if steps is None:
+            if (after := state(now)) == before:
+                break
+            before = after
+    return now
+
+
 def nav_counts(pat_areas: DataFrame, keys: Sequence[str] = ("round_id", "area")) -> DataFrame:
     """Rows per key from each team's side: friends, enemies."""
     both = pat_areas.groupBy(*keys).agg(F.count_if(F.col("team") == 2).alias("n2"), F.count_if(F.col("team") == 3).alias("n3"))
@@ -142,19 +169,51 @@ def nav_counts(pat_areas: DataFrame, keys: Sequence[str] = ("round_id", "area"))
     return both.withColumn("s", side).select(*keys, F.col("s.team").alias("team"), F.col("s.f").alias("friends"), F.col("s.e").alias("enemies"))
 
 
-def group_move(pat: DataFrame, n: int, cell: float, every: int, least: int = 2) -> DataFrame:
-    """n or more players of a team in one cell for `least` clock buckets in a row: round_id, team, gx, gy, start, end."""
-    at = pat.groupBy("round_id", "team", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"), F.floor(F.col("gt") / every).alias("at")).agg(F.count_distinct("player").alias("players")).where(F.col("players") >= n)
-    keys = ["round_id", "team", "gx", "gy"]
-    marked = islands(at, keys, ["at"], F.col("at") - F.lag("at").over(over(keys, ["at"])) > 1)
-    return marked.groupBy(*keys, "island").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count(F.lit(1)).alias("length")).where(F.col("length") >= least).drop("island")
-
-
-def region_sequence(pat: DataFrame, first: Column, second: Column, keys: Sequence[str], clock: str = "gt") -> DataFrame:
-    """Keys that enter the second region after the first: keys, t1, t2 (first such)."""
-    w = Window.partitionBy(*keys)
-    seen = pat.withColumn("t1", F.min(F.when(first, F.col(clock))).over(w)).where(second & (F.col(clock) > F.col("t1")))
-    return seen.groupBy(*keys, "t1").agg(F.min(clock).alias("t2"))
+def moving_pairs(pat: DataFrame, box: float, every: int, keys: Sequence[str]) -> DataFrame:
+    """keys, at, p < q: players less than `box` apart on both axes at a time step. A player stands where its last row of
+    the step is. Players meet through cells as wide as the box: one side goes to the cells around its own."""
+    at = F.floor(F.col("gt") / every)
+    last = pat.groupBy(*keys, at.alias("at"), "player").agg(F.max(F.struct("gt", "tick_id", "x", "y")).alias("s")).select(*keys, "at", "player", "s.x", "s.y")
+    cell = lambda c: F.floor(F.col(c) / box)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    a = last.select(*keys, "at", F.col("player").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+    b = last.select(*keys, "at", F.col("player").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), around("x").alias("_cx")).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("qy") / box) - 1, F.floor(F.col("qy") / box) + 1)))
+    near = (F.col("p") < F.col("q")) & (F.abs(F.col("px") - F.col("qx")) < box) & (F.abs(F.col("py") - F.col("qy")) < box)
+    return a.join(b, [*keys, "at", "_cx", "_cy"]).where(near).select(*keys, "at", "p", "q")
+
+
+def group_move(pat: DataFrame, n: int = 3, box: float = 400.0, every: int = 1, steps: int = 64, keys: Sequence[str] = ("round_id",)) -> DataFrame:
+    """Groups that move together: keys, source, companions (sorted, larger numbers than the source), start, end (steps).
+
+    A source and its companions belong together at a step if each of these stays within `box` of the source, on both axes,
+    for `steps` steps from there, at least n players in all. Runs of such steps with the same companions are one row, which
+    ends with the last one's window. A player without a row in a step is with nobody."""
+    pairs = moving_pairs(pat, box, every, keys)
+    own = [*keys, "p", "q"]
+    marked = islands(pairs, own, ["at"], F.col("at") - F.lag("at").over(over(own, ["at"])) > 1)
+    spans = marked.groupBy(*own, "island").agg(F.min("at").alias("a"), F.max("at").alias("b")).where(F.col("b") - F.col("a") + 1 >= steps)
+    begun = spans.select(*keys, F.col("p").alias("source"), "q", F.explode(F.sequence("a", F.col("b") - steps + 1)).alias("at"))
+    groups = begun.groupBy(*keys, "source", "at").agg(F.sort_array(F.collect_set("q")).alias("companions")).where(F.size("companions") >= n - 1)
+    own = [*keys, "source", "companions"]
+    joined = islands(groups, own, ["at"], F.col("at") - F.lag("at").over(over(own, ["at"])) > 1)
+    return joined.groupBy(*own, "island").agg(F.min("at").alias("start"), (F.max("at") + steps - 1).alias("end")).drop("island")
+
+
+def region_sequence(pat: DataFrame, first: Column, second: Column, keys: Sequence[str], clock: str = "gt", groups: DataFrame | None = None, every: int = 1) -> DataFrame:
+    """Keys that enter the second region after the first: keys, t1, t2 (first such). With groups (of group_move, made with
+    `every`): of each group, t1 is the first step at which all of it are in the first region, t2 the first later step at
+    which all are in the second, by the players' last rows of each step while the group lasts."""
+    if groups is None:
+        w = Window.partitionBy(*keys)
+        seen = pat.withColumn("t1", F.min(F.when(first, F.col(clock))).over(w)).where(second & (F.col(clock) > F.col("t1")))
+        return seen.groupBy(*keys, "t1").agg(F.min(clock).alias("t2"))
+    own = [*keys, "source", "companions", "start", "end"]
+    named = groups.select(*own, F.explode(F.concat(F.array("source"), "companions")).alias("player"))
+    steps = named.withColumn("at", F.explode(F.sequence("start", "end")))
+    last = pat.withColumns({"_1": first, "_2": second}).groupBy(*keys, F.floor(F.col(clock) / every).alias("at"), "player").agg(F.max(F.struct(clock, "tick_id", "_1", "_2")).alias("s"))
+    there = steps.join(last, [*keys, "at", "player"]).groupBy(*own, "at").agg(F.every("s._1").alias("in1"), F.every("s._2").alias("in2"))
+    seen = there.withColumn("t1", F.min(F.when(F.col("in1"), F.col("at"))).over(Window.partitionBy(*own))).where(F.col("in2") & (F.col("at") > F.col("t1")))
+    return seen.groupBy(*own, "t1").agg(F.min("at").alias("t2"))
 
 
 def kmeans(points: DataFrame, columns: Sequence[str], k: int, seed: int = 3, coarse: Sequence[float] | None = None, distance: str | None = None) -> DataFrame:

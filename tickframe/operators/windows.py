@@ -40,6 +40,13 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value: Column, nam
     return dealt.withColumn("_in", inside).join(starts, F.col("_piece") == F.col("_p")).withColumn(name, F.col("_start") + F.col("_in")).drop("_piece", "_p", "_start", "_in")
 
 
+def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], on: Column, hold: Column, name: str) -> DataFrame:
+    """+ name: true where `on` holds, what it was the row before where only `hold` does, else false; false before a key's
+    first row. A recursion on the row before, taken apart: only rows that don't hold decide, and the last of them counts."""
+    decided = F.when(F.coalesce(on, F.lit(False)), True).when(~F.coalesce(hold, F.lit(False)), False)
+    return df.withColumn("_decided", decided).withColumn(name, F.coalesce(F.last("_decided", True).over(so_far(keys, order)), F.lit(False))).drop("_decided")
+
+
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Runs of equal values: keys, value, first and last order value, and length."""
     w = over(keys, order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as c
@@ -25,9 +26,27 @@ def _(t):
     return c.filter_rounds(_rounds(t)).select("round_id", "number")
 
 
-@query("period_detect", "SELECT round_id, CASE WHEN number - 1 < 6 THEN 0 ELSE 1 + (number - 7) // 4 END AS period, CASE WHEN number - 1 < 6 THEN (number - 1) // 3 ELSE ((number - 7) % 4) // 2 END AS half FROM rounds")
+_HALVES = """won AS (SELECT *, count(*) FILTER (winner = 2) OVER s AS t_wins, count(*) FILTER (winner = 3) OVER s AS ct_wins, row_number() OVER (PARTITION BY game_id ORDER BY start) AS i
+    FROM (SELECT *, round_id // 10 AS game_id, (round_id // 10 % 3 = 1 AND round_id % 10 >= 3)::INT AS stage FROM rounds)
+    WINDOW s AS (PARTITION BY game_id, stage ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+periods AS (
+  SELECT game_id, -1 AS p, 0 AS last, true AS going, NULL::BIGINT AS fs, NULL::BIGINT AS fe, NULL::BIGINT AS ss, NULL::BIGINT AS se FROM won GROUP BY 1
+  UNION ALL
+  SELECT game_id, p + 1, se, CASE WHEN p = -1 THEN fs IS NOT NULL AND ss IS NOT NULL ELSE true END, fs, fe, ss, se FROM (
+    SELECT q.game_id, q.p, q.se, q.fe, (SELECT max(i) FROM won w WHERE w.game_id = q.game_id AND i <= q.se AND ct_wins + t_wins - 2 * q.b = q.h) AS ss,
+           CASE WHEN q.fe IS NOT NULL THEN coalesce((SELECT max(i) FROM won w WHERE w.game_id = q.game_id AND i > q.last AND i <= q.fe AND ct_wins = q.b AND t_wins = q.b), q.last + 1) END AS fs
+    FROM (SELECT g.*, (SELECT max(i) FROM won w WHERE w.game_id = g.game_id AND i > g.last AND ct_wins + t_wins - 2 * g.b + 1 = g.h) AS fe,
+                 (SELECT max(i) FROM won w WHERE w.game_id = g.game_id AND greatest(ct_wins, t_wins) - g.b = g.h AND least(ct_wins, t_wins) - g.b < g.h) AS se
+          FROM (SELECT game_id, p, last, CASE WHEN p = -1 THEN 0 ELSE 2 + p END AS b, CASE WHEN p = -1 THEN 2 ELSE 1 END AS h FROM periods WHERE going AND p < 9) g) q)
+  WHERE se IS NOT NULL)"""
+
+
+@query("period_detect", "SELECT round_id, p AS period, h AS half FROM (SELECT game_id, p, unnest([0, 1]) AS h, unnest([fs, ss]) AS a, unnest([fe, se]) AS b FROM periods WHERE p >= 0 AND going AND fs IS NOT NULL AND ss IS NOT NULL) s JOIN won ON won.game_id = s.game_id AND i BETWEEN a AND b", _HALVES)
 def _(t):
-    return c.period_detect(_rounds(t), regulation=6, half=3, overtime=4, half_overtime=2).select("round_id", "period", "half")
+    stage = F.when((F.col("game_id") % 3 == 1) & (F.col("round_id") % 10 >= 3), 1).otherwise(0)
+    before = Window.partitionBy("game_id", "_s").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    won = _rounds(t).withColumn("_s", stage).withColumns({f"{side}_wins": F.count(F.when(F.col("winner") == code, 1)).over(before) for side, code in (("t", 2), ("ct", 3))})
+    return c.period_detect(won, half=2, half_overtime=1).select("round_id", "period", "half")
 
 
 @query("tick_to_round", 'SELECT p.tick_id, min(r.round_id) AS round_id FROM pat p JOIN (SELECT round_id, start, "end" + 7 AS e FROM rounds) r ON p.tick_id BETWEEN r.start AND r.e GROUP BY 1')

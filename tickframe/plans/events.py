@@ -84,12 +84,21 @@ def _(t):
     return e.flash_state(t.pat, t.hurt.withColumnRenamed("victim", "player"), 7200.0, 3.0).select("tick_id", "amount")
 
 
+_HELD = """ordered AS (SELECT *, k % 3 AS recoil, weapon = 4 AS reloading, row_number() OVER (PARTITION BY round_id, player ORDER BY gt, tick_id) AS n FROM pat),
+held AS (SELECT round_id, player, n, recoil, tick_id, gt, false AS holding FROM ordered WHERE n = 1 UNION ALL
+  SELECT o.round_id, o.player, o.n, o.recoil, o.tick_id, o.gt, NOT o.reloading AND o.recoil > 0.5 AND (o.recoil > h.recoil OR (o.recoil = h.recoil AND h.holding))
+  FROM held h JOIN ordered o ON o.round_id = h.round_id AND o.player = h.player AND o.n = h.n + 1)"""
+
+
 @query(
     "fire_history",
-    "SELECT tick_id, since_fire, shots, since_fire IS NOT NULL AND coalesce(since_fire <= lag(since_fire) OVER o, true) AS holding FROM (SELECT *, gt - max(CASE WHEN kind = 'click' THEN gt END) OVER (PARTITION BY player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING) AS since_fire, count(*) FILTER (kind = 'click') OVER (PARTITION BY player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING) AS shots FROM pat) WINDOW o AS (PARTITION BY player ORDER BY gt, tick_id)",
+    "SELECT h.tick_id, gt - max(CASE WHEN f.tick_id IS NOT NULL THEN gt END) OVER o AS since_fire, count(f.tick_id) OVER o AS shots, holding, gt - max(CASE WHEN holding THEN gt END) OVER o AS since_hold, v.victims IS NOT NULL AS hit, coalesce(v.victims, '') AS victims FROM held h LEFT JOIN (SELECT tick_id FROM fire) f USING (tick_id) LEFT JOIN (SELECT tick_id, killer AS player, string_agg(DISTINCT victim::VARCHAR, ',') AS victims FROM kills GROUP BY ALL) v ON v.tick_id = h.tick_id AND v.player = h.player WINDOW o AS (PARTITION BY h.round_id, h.player ORDER BY gt, h.tick_id ROWS UNBOUNDED PRECEDING)",
+    _HELD,
 )
 def _(t):
-    return e.fire_history(t.pat, F.col("kind") == "click", F.col("kind") == "purchase", ["player"], GP).select("tick_id", "since_fire", "shots", "holding")
+    pat = t.pat.withColumns({"recoil": F.col("k") % 3, "reloading": F.col("weapon") == 4})
+    out = e.fire_history(pat, F.col("kind") == "click", t.kills.select("tick_id", F.col("killer").alias("attacker"), "victim"))
+    return out.select("tick_id", "since_fire", "shots", "holding", "since_hold", "hit", F.array_join(F.transform("victims", lambda x: x.cast("string")), ",").alias("victims"))
 
 
 _RUNS = "SELECT player, {0} AS {1}, min(tick_id) AS start, max(tick_id) AS \"end\", count(*) AS length FROM (SELECT *, sum(n) OVER (PARTITION BY player ORDER BY tick_id ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY player ORDER BY tick_id) THEN 0 ELSE 1 END AS n FROM (SELECT *, {2} AS v FROM pat))) GROUP BY player, v, i"

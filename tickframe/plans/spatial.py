@@ -122,19 +122,54 @@ def _(t):
     return s.nav_counts(t.pat.withColumn("area", F.col("k") % 25))
 
 
-@query(
-    "group_move",
-    "SELECT round_id, team, gx, gy, min(at) AS start, max(at) AS \"end\", count(*) AS length FROM (SELECT *, at - row_number() OVER (PARTITION BY round_id, team, gx, gy ORDER BY at) AS i FROM (SELECT round_id, team, floor(x / 40)::BIGINT AS gx, floor(y / 50)::BIGINT * 0 + floor(y / 40)::BIGINT AS gy, gt // 7200 AS at FROM pat GROUP BY ALL HAVING count(DISTINCT player) >= 3)) GROUP BY round_id, team, gx, gy, i HAVING count(*) >= 2",
-)
+_GROUPS = """stood AS (SELECT round_id, gt // 7200 AS at, player, x, y FROM pat QUALIFY row_number() OVER (PARTITION BY round_id, gt // 7200, player ORDER BY gt DESC, tick_id DESC) = 1),
+beside AS (SELECT a.round_id, a.at, a.player AS source, b.player AS q FROM stood a JOIN stood b ON a.round_id = b.round_id AND a.at = b.at AND a.player < b.player AND abs(a.x - b.x) < 40 AND abs(a.y - b.y) < 40),
+begun AS (SELECT round_id, source, at, list(q ORDER BY q) AS companions FROM beside a WHERE EXISTS (SELECT 1 FROM beside b WHERE b.round_id = a.round_id AND b.source = a.source AND b.q = a.q AND b.at = a.at + 1) GROUP BY ALL HAVING count(*) >= 2),
+groups AS (SELECT round_id, source, companions, min(at) AS start, max(at) + 1 AS "end" FROM (SELECT *, at - row_number() OVER (PARTITION BY round_id, source, companions ORDER BY at) AS i FROM begun) GROUP BY round_id, source, companions, i)"""
+
+
+def _groups(t):
+    return s.group_move(t.pat, 3, 40.0, 7200, 2)
+
+
+def _named(df):
+    return df.withColumn("companions", F.array_join(F.transform("companions", lambda x: x.cast("string")), ","))
+
+
+@query("group_move", "SELECT round_id, source, array_to_string(companions, ',') AS companions, start, \"end\" FROM groups", _GROUPS)
+def _(t):
+    return _named(_groups(t))
+
+
+_INSIDE = """, members AS (SELECT *, unnest(list_concat([source], companions)) AS player FROM groups),
+inside AS (SELECT m.round_id, source, companions, start, "end", at, bool_and(x < 45) AS in1, bool_and(x > 15) AS in2 FROM members m JOIN stood USING (round_id, player) WHERE at BETWEEN start AND "end" GROUP BY ALL)"""
+
+
+@query("region_sequence", "SELECT round_id, source, array_to_string(companions, ',') AS companions, start, \"end\", t1, min(a.at) AS t2 FROM inside a JOIN (SELECT round_id, source, companions, start, min(at) AS t1 FROM inside WHERE in1 GROUP BY ALL) b USING (round_id, source, companions, start) WHERE in2 AND a.at > t1 GROUP BY ALL", _GROUPS + _INSIDE)
 def _(t):
-    return s.group_move(t.pat, 3, 40.0, 7200)
+    return _named(s.region_sequence(t.pat, F.col("x") < 45, F.col("x") > 15, ["round_id"], groups=_groups(t), every=7200))
 
 
-@query("region_sequence", "SELECT p.round_id, p.player, t1, min(gt) AS t2 FROM pat p JOIN (SELECT round_id, player, min(gt) AS t1 FROM pat WHERE x < 20 GROUP BY ALL) f ON f.round_id = p.round_id AND f.player = p.player AND p.gt > t1 AND p.x > 60 GROUP BY ALL")
+@query("region_sequence_player", "SELECT p.round_id, p.player, t1, min(gt) AS t2 FROM pat p JOIN (SELECT round_id, player, min(gt) AS t1 FROM pat WHERE x < 20 GROUP BY ALL) f ON f.round_id = p.round_id AND f.player = p.player AND p.gt > t1 AND p.x > 60 GROUP BY ALL")
 def _(t):
     return s.region_sequence(t.pat, F.col("x") < 20, F.col("x") > 60, ["round_id", "player"])
 
 
+_SPREAD = """cells AS (SELECT floor(x / 10)::BIGINT AS gx, floor(y / 10)::BIGINT AS gy, least(255, 20 * count(*)) AS n FROM pat GROUP BY ALL),
+ground AS (SELECT DISTINCT gx + dx AS gx, gy + dy AS gy FROM cells, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE NOT ((gx + dx) % 5 = 3 AND (gy + dy) % 2 = 0)),
+spread AS (SELECT 0 AS step, gx, gy, n::INT AS value FROM cells WHERE gx % 3 = 0 UNION ALL
+  SELECT step + 1, s.gx, s.gy, CASE WHEN v < 30 THEN 30 ELSE greatest(30, floor(power(v, 0.993)))::INT END FROM (
+    SELECT step, gx + dx AS gx, gy + dy AS gy, max(CASE WHEN dx = 0 AND dy = 0 THEN value ELSE floor(power(value, 0.993))::INT END) AS v FROM spread, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE step < 3 GROUP BY ALL) s
+  JOIN ground g ON g.gx = s.gx AND g.gy = s.gy WHERE v > 0)"""
+
+
+@query("grid_spread", "SELECT gx, gy, value FROM spread WHERE step = 3", _SPREAD)
+def _(t):
+    cells = s.grid_counts(t.pat, 10.0).withColumn("n", F.least(F.lit(255), 20 * F.col("n")))
+    beside = cells.select(F.explode(F.array(*[F.struct((F.col("gx") + x).alias("gx"), (F.col("gy") + y).alias("gy")) for x in (-1, 0, 1) for y in (-1, 0, 1)])).alias("c")).select("c.*")
+    return s.grid_spread(cells.where("gx % 3 = 0"), beside, beside.where("gx % 5 = 3 AND gy % 2 = 0"), steps=3)
+
+
 @query("rest_clusters")
 def _(t):
     return s.rest_clusters(t.pat.withColumn("site", F.col("k") % 2))
