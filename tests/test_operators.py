@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tickframe.functions import scalars as s
 from tickframe.operators import behaviour, cleaning, distributions, events, joins, spatial, training, trajectories, windows
 from tickframe.sources import tables
-from tickframe.streaming import state
 
 
 def test_merged_intervals_are_disjoint_and_cover(spark):
@@ -126,25 +125,6 @@ def test_support_comes_from_another(spark):
     assert got == {(10, 5, 4), (12, 6, 1)}  # a player's own sight is no support; one that never comes gives no row
 
 
-def test_idle_players_are_forgotten(spark, tmp_path):
-    """Three batches: player 1 pauses for five hours while player 2 moves the watermark on."""
-    import datetime
-
-    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
-    columns = "player long, tick_id long, gt long, fired boolean, alive boolean, reset boolean, ts timestamp"
-    row = lambda player, tick, h, fired=False: (player, tick, int(h * 3600), fired, True, False, at(h))
-    batches = [[row(1, 1, 0, True), row(2, 2, 0.1, True)], [row(2, 3, 3)], [row(2, 4, 4)], [row(1, 5, 5), row(2, 6, 5)]]
-    found = {}
-    for name, forget in (("short", 3_600_000), ("long", 86_400_000)):
-        src = tmp_path / f"src-{name}"
-        for k, rows in enumerate(batches):
-            spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(f"{src}/b{k}")
-        out = state.replay(spark, f"{src}/b*", lambda s, f=forget: state.fire_state(s, forget_ms=f), f"{tmp_path}/out-{name}", f"{tmp_path}/ledger-{name}", maxFilesPerTrigger=1)
-        found[name] = {(r.player, r.tick_id): (r.since_fire, r.shots) for r in out.collect()}
-    assert found["long"][1, 5] == (18_000, 1) and found["short"][1, 5] == (None, 0)
-    assert found["short"][2, 6] == found["long"][2, 6] == (17_640, 1)
-
-
 def test_ngrams_within_and_across_players(spark):
     rows = [(p, 10 * p + k, c) for p, cs in ((1, [3, 1, 3, 1]), (2, [1, 1])) for k, c in enumerate(cs)]
     df = spark.createDataFrame(rows, "player int, at int, c int")
@@ -257,19 +237,6 @@ def test_new_files_only(spark, tmp_path):
         assert spark.read.parquet(out).count() == k
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from tickframe.plans.domain import Tables
-
-    t = Tables(spark, "/root/testdata/sf0.001")
-    fired = F.col("kind") == "click"
-    keyed = t.pat.withColumn("life", F.sum(F.when(~F.col("alive"), 1).otherwise(0)).over(windows.so_far(["player"], ["gt", "tick_id"])))
-    batch = events.fire_history(keyed, fired, F.lit(False), ["player", "life"], ["gt", "tick_id"]).select("player", "tick_id", "since_fire", "shots")
-    from tickframe.plans import registry
-
-    stream = registry.QUERIES["st_fire"](spark, "/root/testdata/sf0.001").select("player", "tick_id", "since_fire", "shots")
-    assert state.differences(batch.withColumn("shots", F.col("shots").cast("long")), stream).count() == 0
-
-
 #: Queries that run models or streams when they are made; their joins are those of the others.
 RUN_AT_ONCE = {"rest_clusters", "peek_kmeans", "log_reg", "st_count", "st_count_sliding", "st_engage", "st_events", "st_evict", "st_fire", "st_aim", "st_replay", "st_reset"}
 #: One task sees a row a group (of a few named groups) or a row a range of values here, or only an aggregate's partial rows.

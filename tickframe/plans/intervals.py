@@ -13,7 +13,6 @@ from ..sources import tables as tab
 from ..streaming import state as st
 from .domain import query
 from .spatial import _REACH, _edges
-from .streams import _replay
 
 RP, GP = ["round_id", "player"], ["gt", "tick_id"]
 
@@ -166,30 +165,3 @@ def _(t):
     codes = t.raw("nation").where("n_nationkey > 0").select(F.col("n_nationkey").alias("code"), "n_name", "n_regionkey")
     out = v.code_lookup(t.pat.withColumn("code", F.col("k") % 30), "code", codes)
     return out.select("tick_id", F.when(F.col("code") == 0, "AFRICA").otherwise(F.col("n_name")).alias("name"), F.coalesce(F.col("n_regionkey") > 2, F.lit(False)).alias("is_gun"))
-
-
-_SINCE = "SELECT tick_id, CASE WHEN f THEN gt - g END AS since_fire FROM (SELECT tick_id, gt, max(CASE WHEN kind = 'click' THEN gt END) OVER o AS g, max(CASE WHEN kind = 'click' THEN gt END) OVER o IS NOT NULL AS f FROM (SELECT *, sum({}::INT) OVER (PARTITION BY player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING) AS life FROM pat) WINDOW o AS (PARTITION BY player, life ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING))"
-
-
-@query("st_replay", _SINCE.format("(NOT alive)"))
-def _(t):
-    return _replay(t, st.fire_state).select("tick_id", "since_fire")
-
-
-@query("st_reset", _SINCE.format("(NOT alive OR tick_id % 50 = 0)"))
-def _(t):
-    return _replay(t, lambda s: st.fire_state(s.withColumn("reset", F.col("tick_id") % 50 == 0))).select("tick_id", "since_fire")
-
-
-@query("st_evict")
-def _(t):
-    return _replay(t, lambda s: st.fire_state(s, forget_ms=3_600_000)).select("player", "tick_id", "since_fire")
-
-
-@query("st_aim", f"SELECT tick_id, round(((((x * 7 % 360 - y * 3) + 180) % 360) + 360) % 360 - 180, 6) AS turn, round(sqrt(x * x + y * y), 6) AS far FROM pat WHERE alive")
-def _(t):
-    def aim(s):
-        x, y = F.col("x"), F.col("y")
-        return s.where("alive").select("tick_id", F.round(sc.angle_delta(x * 7 % 360, y * 3), 6).alias("turn"), F.round(sc.magnitude(x, y), 6).alias("far"))
-
-    return _replay(t, aim)

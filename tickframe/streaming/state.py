@@ -1,17 +1,12 @@
-"""Operators on streams of ticks: event-time windows and sessions, and per-player state.
-
-Late rows beyond the watermark are dropped: a state can't take a row older than what it has seen. Players whose
-state is older than the watermark by the time-out are forgotten.
-"""
+"""Operators on streams of ticks: event-time windows and sessions, and the replay of stored files. State of games is in
+`games`. Late rows beyond the watermark are dropped: a state can't take a row older than what it has seen."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def count_windows(stream: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes", keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
@@ -33,44 +28,10 @@ def test_events(stream: DataFrame, late: str = "10 minutes", gap: str = "1 hour"
     return s.select("test", "start", "end", "n", "ok")
 
 
-FIRE = "player long, tick_id long, gt long, since_fire long, holding boolean, shots long"
-_FIRE_STATE = "last_fire long, last_since long, shots long"
-
-
-def _fire(cap: int, forget_ms: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        fire, since, shots = state.get if state.exists else (-1, -1, 0)
-        rows = pd.concat(list(batches)).sort_values(["gt", "tick_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.reset or not r.alive:
-                fire, since, shots = -1, -1, 0
-            if r.fired:
-                fire, shots = r.gt, shots + 1
-            now = -1 if fire < 0 else min(cap, r.gt - fire)
-            out.append((key[0], r.tick_id, r.gt, None if now < 0 else now, now >= 0 and (since < 0 or now <= since), shots))
-            since = now
-        state.update((fire, since, shots))
-        # before the first batch's end there is no watermark, so the player's own clock counts as well
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ms"].max())) + forget_ms)
-        yield pd.DataFrame(out, columns=["player", "tick_id", "gt", "since_fire", "holding", "shots"]).astype({"since_fire": "Int64"})
-
-    return step
-
-
-def fire_state(stream: DataFrame, cap: int = 1 << 40, late: str = "10 minutes", forget_ms: int = 86_400_000, ts: str = "ts") -> DataFrame:
-    """Per tick and player: time since the last shot (at most cap, null before one), whether the attack is held (it did
-    not grow since the tick before), and shots so far. Death or a reset flag begins anew. Columns in: player, tick_id,
-    gt, fired, alive, reset and the event time. A batch's rows of a player must fit in memory, as one player's do."""
-    rows = stream.withWatermark(ts, late).select("player", "tick_id", "gt", "fired", "alive", "reset", ts, F.unix_millis(F.col(ts)).alias("ms"))
-    return rows.groupBy("player").applyInPandasWithState(_fire(cap, forget_ms), FIRE, _FIRE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def replay(spark: SparkSession, source: str, op: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda s: s, **options: object) -> DataFrame:
-    """Run a stream operator over stored Parquet files until they are done; the table it wrote."""
+    """Run a stream operator over stored Parquet files until they are done; the table it wrote. State is kept in RocksDB,
+    which `transformWithState` asks for."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = spark.read.parquet(source).schema
     stream = prepare(spark.readStream.schema(schema).options(**options).parquet(source))
     result = op(stream)
