@@ -175,16 +175,22 @@ def round_lengths(df: DataFrame, pad: int = 1, round_id: str = "round_id", tick:
     return df.groupBy(round_id).agg(F.count(F.lit(1)).alias("n"), F.min(tick).alias("min"), F.max(tick).alias("max"), F.max_by(at, tick).alias("last_alive")).withColumn("padded", (F.ceil(F.col("n") / pad) * pad).cast("long"))
 
 
-def remix_setups(defence: DataFrame, offence: DataFrame, site: str, id_column: str, seed: int = 0) -> DataFrame:
-    """Each defence row with one offence row of its site, both in hash order and dealt round: site, def_id, off_id."""
-    def ranked(df, name):
-        order = Window.partitionBy(site).orderBy(F.xxhash64(F.lit(seed), F.lit(name), id_column), id_column)
-        return df.select(site, F.col(id_column).alias(name), (F.row_number().over(order) - 1).alias(f"{name}_at"), F.count(F.lit(1)).over(Window.partitionBy(site)).alias(f"{name}_n"))
-
-    d, o = ranked(defence, "def_id"), ranked(offence, "off_id").drop("off_id_n")
-    n = offence.groupBy(site).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = d.join(n, site).withColumn("off_id_at", F.pmod(F.col("def_id_at"), F.col("_n")).cast("int"))
-    return dealt.join(o, [site, "off_id_at"]).select(site, "def_id", "off_id")
+def remix_setups(defence: DataFrame, offence: DataFrame, site: str, id_column: str, columns: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """Each defence row with one offence row of its site, both in the order of a hash of their ids and dealt round: site,
+    def_id, off_id, and of the columns off_<name>, the offence's values that take the place of the defence's own.
+
+    Rows are numbered along ranges of that order, so a site isn't sorted in one task; a site without offence has no row."""
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        key = F.md5(F.concat_ws(":", F.lit(seed), F.lit(name), F.col(id_column).cast("string")).cast("binary"))
+        kept = [F.col(c).alias(f"off_{c}") for c in columns] if name == "off_id" else []
+        placed = running_sum(df.select(site, F.col(id_column).alias(name), *kept, key.alias("_key")), [site, "_key", name], F.lit(1), "_at")
+        starts = placed.groupBy(site).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+        return placed.join(starts, site).withColumn(f"{name}_at", F.col("_at") - F.col("_from")).drop("_key", "_at", "_from")
+
+    d, o = ranked(defence, "def_id").drop("_n"), ranked(offence, "off_id")
+    dealt = d.join(o.select(site, "_n").distinct(), site).withColumn("off_id_at", F.pmod("def_id_at", "_n"))
+    return dealt.join(o.drop("_n"), [site, "off_id_at"]).select(site, "def_id", "off_id", *[f"off_{c}" for c in columns])
 
 
 def slot_assign(df: DataFrame, slots: int = 5, keys: Sequence[str] = ("round_id", "team"), player: str = "player", tick: str = "tick_id") -> DataFrame:

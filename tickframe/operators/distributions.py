@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,21 +18,52 @@ def hist1d(df: DataFrame, value: str, width: float, keys: Sequence[str] = ()) ->
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
-def _percentile(value: str, p: float | list[float], accuracy: int | None) -> Column:
-    """Interpolated and exact, which holds all distinct values of a group at once; or, for columns with many, an
-    approximation by ranks within 1 / accuracy."""
-    return F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy)
+def percentiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str] = (), accuracy: int | None = None, ranks: int = 1000) -> DataFrame:
+    """keys and p, an array of the interpolated percentiles of a value; without keys it is one row, empty for no values. Nulls and NaN don't count.
+
+    In two passes: a sketch whose error in rank is at most 1 / ranks gives for each percentile two values that it lies
+    between; then the rows below are counted exactly and of the values between each with how often it occurs, so no group's
+    values are held at once. Groups of up to 4 * ranks rows are counted by value whole. accuracy: the sketch's own answer (rank within 1 / accuracy), not interpolated."""
+    key = [f"_k{i}" for i in range(len(keys))]
+    there = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    rows = df.where(there).select(*[F.col(c).alias(k) for c, k in zip(keys, key)], F.col(value).alias("_v"))
+    back = [F.col(k).alias(c) for k, c in zip(key, keys)]
+    if accuracy is not None:
+        return rows.groupBy(*key).agg(F.percentile_approx("_v", list(at), accuracy).alias("p")).select(*back, "p")
+    edges = [min(1.0, max(0.0, q + d)) for q in at for d in (-2 / ranks, 2 / ranks)]
+    sketch = rows.groupBy(*key).agg(F.percentile_approx("_v", edges, ranks).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    named = sketch.withColumnsRenamed({k: f"{k}s" for k in key})
+    if key:
+        both = rows.join(named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}s")) for k in key]))
+    else:  # one row
+        r = sketch.first()
+        both = rows.withColumns({"_e": F.array(*[F.lit(e) for e in r["_e"]]) if r["_e"] else F.lit(None).cast(sketch.schema["_e"].dataType), "_n": F.lit(r["_n"])})
+    e = lambda i: F.get("_e", i)
+    # of each percentile: 0 for a row below what it lies between, the value for one between; what is above doesn't count
+    many = F.col("_n") > 4 * ranks  # in a smaller group the step from one rank to the next is more than the sketch's slack
+    low = lambda i: F.lit(False) if at[i] <= 2 / ranks else many & (F.col("_v") < e(2 * i))
+    high = lambda i: F.lit(False) if at[i] >= 1 - 2 / ranks else many & (F.col("_v") > e(2 * i + 1))
+    marks = F.array_compact(F.array(*[F.when(~high(i), F.struct(F.lit(i).alias("i"), F.when(~low(i), F.col("_v")).alias("v"))) for i in range(len(at))]))
+    counts = both.select(*key, "_n", F.explode(marks).alias("m")).groupBy(*key, "_n", "m.i", "m.v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*key, "i").orderBy(F.asc_nulls_first("v"))
+    before = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.element_at(F.array(*[F.lit(float(q)) for q in at]), F.col("i") + 1) * (F.col("_n") - 1)
+    placed = counts.withColumns({"to": before, "rank": rank}).withColumn("from", F.col("to") - F.col("c"))
+    holds = lambda r: F.max(F.when((F.col("from") <= r) & (r < F.col("to")) & F.col("v").isNotNull(), F.col("v")))
+    ends = placed.groupBy(*key, "i").agg(holds(F.floor("rank")).alias("a"), holds(F.ceil("rank")).alias("b"), F.max(F.col("rank") - F.floor("rank")).alias("t"))
+    exact = ends.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("p")))).alias("_p"))
+    return exact.select(*back, F.transform("_p", lambda x: x["p"]).alias("p"))
 
 
 def pct_trim(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, keys: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
-    """Rows between two percentiles of their key. The percentiles of each key are found first, in partial aggregates."""
-    bounds = [_percentile(value, low, accuracy).alias("_lo"), _percentile(value, high, accuracy).alias("_hi")]
+    """Rows between two percentiles of their key. The percentiles of each key are found first (see percentiles)."""
+    found = percentiles(df, value, [low, high], keys, accuracy)
     if not keys:
-        lo, hi = df.agg(*bounds).first()
-        return df.where(F.col(value).between(lo, hi))
-    found = df.groupBy(*keys).agg(*bounds).withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return df.join(found, same).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", *[f"_{k}" for k in keys])
+        r = found.first()
+        return df.where(F.col(value).between(*(r["p"] if r and r["p"] else (None, None))))
+    found = found.withColumnsRenamed({k: f"_trim_{k}" for k in (*keys, "p")})
+    same = [F.col(k).eqNullSafe(F.col(f"_trim_{k}")) for k in keys]
+    return df.join(found, same).where(F.col(value).between(F.get("_trim_p", 0), F.get("_trim_p", 1))).select(*df.columns)
 
 
 def emd1d(df: DataFrame, value: str, group: str, base: object, most_groups: int = 10_000) -> DataFrame:
@@ -93,10 +126,16 @@ def shots_per_kill(pat: DataFrame, keys: Sequence[str] = ("round_id", "player"))
     return n.where("_k > 0").select(*keys, (F.col("_s") / F.col("_k")).alias("ratio"))
 
 
+def _middle(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """keys, median and iqr of a value."""
+    found = percentiles(df, value, [0.25, 0.5, 0.75], keys)
+    return found.select(*keys, F.get("p", 1).alias("median"), (F.get("p", 2) - F.get("p", 0)).alias("iqr"))
+
+
 def event_bins(df: DataFrame, x: str, y: str, value: str, dx: float, dy: float) -> DataFrame:
-    """Median and quartile range of a value per cell."""
-    q = lambda p: F.percentile(value, p)
-    return df.groupBy(F.floor(F.col(x) / dx).alias("bx"), F.floor(F.col(y) / dy).alias("by")).agg(q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"))
+    """Median and quartile range of a value per cell, of cells with a value."""
+    cells = df.select(F.floor(F.col(x) / dx).alias("bx"), F.floor(F.col(y) / dy).alias("by"), F.col(value).alias("value"))
+    return _middle(cells, "value", ["bx", "by"])
 
 
 def team_places(pat_places: DataFrame, keys: Sequence[str] = ("round_id", "team", "at")) -> DataFrame:
@@ -144,15 +183,15 @@ def plant_stats(pat: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def trial_summary(df: DataFrame, group: str, value: str, base: object) -> DataFrame:
     """Median and quartile range of trials, and the median's difference and relative difference to the base group's."""
-    q = lambda p: F.percentile(value, p)
-    out = df.groupBy(group).agg(q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"))
+    out = _middle(df, value, [group])
     first = F.max(F.when(F.col(group) == base, F.col("median"))).over(Window.partitionBy())
     return out.withColumns({"delta": F.col("median") - first, "relative": F.try_divide(F.col("median") - first, first)})
 
 
 def infer_time(df: DataFrame, value: str, accuracy: int | None = None) -> DataFrame:
-    p = _percentile(value, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99], accuracy)
-    return df.agg(p.alias("p")).select(*[F.get("p", i).alias(n) for i, n in enumerate(("p1", "p10", "p25", "median", "p75", "p90", "p99"))])
+    """One row: percentiles of times, exact (see percentiles) or, with accuracy, by a sketch; nulls without times."""
+    found = percentiles(df, value, [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99], (), accuracy)
+    return found.select(*[F.get("p", i).alias(n) for i, n in enumerate(("p1", "p10", "p25", "median", "p75", "p90", "p99"))])
 
 
 def ngram_bags(df: DataFrame, value: str, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

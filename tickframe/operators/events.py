@@ -194,11 +194,14 @@ def teleport_reset(pat: DataFrame, jump: float, still: Column, after: int, keys:
 
 def moment_summary(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Mean, standard deviation, median and quartile range; infinite values count as missing."""
-    aggs = []
+    from .distributions import percentiles
+
+    finite = df.select(*keys, *[F.when(F.abs(F.col(c)) != float("inf"), F.col(c)).alias(c) for c in columns])
+    out = finite.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
     for c in columns:
-        v = F.when(F.abs(F.col(c)) != float("inf"), F.col(c))
-        aggs += [F.avg(v).alias(f"{c}_mean"), F.stddev_samp(v).alias(f"{c}_std"), F.percentile(v, 0.5).alias(f"{c}_median"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias(f"{c}_iqr")]
-    return df.groupBy(*keys).agg(*aggs)
+        found = percentiles(finite, c, [0.25, 0.5, 0.75], keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.get("p", 1).alias(f"{c}_median"), (F.get("p", 2) - F.get("p", 0)).alias(f"{c}_iqr"))
+        out = out.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+    return out
 
 
 def raw_stats(pat: DataFrame) -> DataFrame:

@@ -89,6 +89,19 @@ def right_range_join(spans: DataFrame, points: DataFrame, lo: str, hi: str, poin
     return spans.join(first, [*keys, lo, hi], "left")
 
 
+def full_range_join(spans: DataFrame, points: DataFrame, lo: str, hi: str, point: str, span_id: str, point_id: str, keys: Sequence[str] = (), width: int = 1000) -> DataFrame:
+    """All spans and all points, side by side where the keys are equal and the point lies in [lo, hi], else alone with nulls.
+
+    Pairs of ids meet in buckets; both sides' rows are then joined to them by id, which leaves the unmatched ones. The ids
+    tell the rows of their table apart. A null key, bound or point matches nothing. Points' columns that spans also have,
+    keys among them, come as point_<name>."""
+    pairs = stab_join(points.select(*keys, point, point_id), spans.select(*keys, lo, hi, span_id), point, lo, hi, keys, width).select(span_id, F.col(point_id).alias("_p"))
+    named = {c: f"point_{c}" for c in points.columns if c in spans.columns}
+    right = points.withColumnsRenamed(named)
+    left = spans.join(pairs, span_id, "left")
+    return left.join(right, F.col("_p") == F.col(named.get(point_id, point_id)), "full").drop("_p")
+
+
 def semi(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(ids.select(*keys), list(keys), "left_semi")
 

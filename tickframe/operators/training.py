@@ -65,7 +65,7 @@ def team_features(pat: DataFrame, every: int, clock: str = "gt") -> DataFrame:
 
 def split_groups(df: DataFrame, key: str, share: float = 0.8, seed: int = 0) -> DataFrame:
     """+ split: train or test by a hash of the group, so it can be had again from the ids."""
-    at = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000))
+    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
     return df.withColumn("split", F.when(at < share * 10_000, "train").otherwise("test"))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import cut
 
@@ -139,13 +142,54 @@ def rolling_mode(df: DataFrame, value: str, classes: Sequence, span: int, keys:
     return df.withColumn(name, F.when(ranked["n"] > 0, F.element_at(F.array(*map(F.lit, classes)), 1 - ranked["i"])))
 
 
+def dominance(times: np.ndarray, values: np.ndarray, span: float, threshold: float, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in order of time: how many rows of the next span, this one included, there are, how many of them are lower
+    than the row's value less the threshold, and how many higher than it and the threshold.
+
+    Rows go to blocks, each with its values sorted. A window's whole blocks are counted by binary search in them, its two
+    ends by a look at each row: no window's rows are put together."""
+    n = len(times)
+    start, end = np.searchsorted(times, times, "left"), np.searchsorted(times, times + span, "right")
+    low, high = values - threshold, values + threshold
+    below, above = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first, last = -(-start // block), end // block  # whole blocks: first <= b < last
+    for b in range(n // block):
+        asks = np.flatnonzero((first <= b) & (b < last))
+        if len(asks):
+            own = np.sort(values[b * block : (b + 1) * block])
+            below[asks] += np.searchsorted(own, low[asks], "left")
+            above[asks] += block - np.searchsorted(own, high[asks], "right")
+    split = first < last
+    for lo, hi in ((start, np.where(split, first * block, end)), (np.where(split, last * block, end), end)):
+        for k in range(int((hi - lo).max(initial=0))):
+            asks = np.flatnonzero(lo + k < hi)
+            there = values[lo[asks] + k]
+            below[asks] += there < low[asks]
+            above[asks] += there > high[asks]
+    return end - start, below, above
+
+
 def rolling_trend(df: DataFrame, value: str, span: int, threshold: float, keys: Sequence[str], clock: str = "gt") -> DataFrame:
-    """Shares of the rows in the next span whose value is lower, alike or higher than this row's, beyond a threshold."""
-    w = Window.partitionBy(*keys).orderBy(clock).rangeBetween(0, span)
-    seen = F.collect_list(value).over(w)
-    n = lambda c: F.size(F.filter("_seen", c)) / F.size("_seen")
-    v = F.col(value)
-    return df.withColumn("_seen", seen).withColumns({"falls": n(lambda x: x < v - threshold), "stays": n(lambda x: F.abs(x - v) <= threshold), "rises": n(lambda x: x > v + threshold)}).drop("_seen")
+    """Shares of the rows in the next span whose value is lower, alike or higher than this row's, beyond a threshold: falls,
+    stays, rises. Null values are left out of the counts; a row with a null value or clock has null shares. A key's rows
+    (a round's) are counted in one task, as arrays of numbers."""
+    names = ("falls", "stays", "rises")
+    shape = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def trend(table: pa.Table) -> pa.Table:
+        clocks, values = (table.column(c).combine_chunks().cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False) for c in (clock, value))
+        there = np.flatnonzero(~np.isnan(clocks) & ~np.isnan(values))
+        there = there[np.argsort(clocks[there], kind="stable")]
+        shares = {c: np.full(len(clocks), np.nan) for c in names}
+        if len(there):
+            n, below, above = dominance(clocks[there], values[there], span, threshold)
+            for c, count in zip(names, (below, n - below - above, above)):
+                shares[c][there] = count / n
+        for c in names:
+            table = table.append_column(c, pa.array(shares[c], pa.float64(), from_pandas=True))
+        return table
+
+    return df.groupBy(*keys).applyInArrow(trend, shape)
 
 
 def tick_fraction(df: DataFrame, keys: Sequence[str] = ("round_id",), clock: str = "gt") -> DataFrame:
@@ -194,5 +238,5 @@ def event_contiguous(df: DataFrame, flag: Column, k: int, keys: Sequence[str], o
 def cum_sample_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 0) -> DataFrame:
     """(key, is_train): keys in hash order train until their rows reach the share of all rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    earlier = running_sum(counts.withColumn("_h", F.xxhash64(F.lit(seed), key)), ["_h", key], F.col("n"))
+    earlier = running_sum(counts.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"))), ["_h", key], F.col("n"))
     return earlier.select(key, (F.col("before") < share * df.count()).alias("is_train"))

@@ -127,10 +127,13 @@ def _(t):
     return c.round_lengths(t.pat, 8).join(alive, "round_id", "left").select("round_id", "n", "min", "max", "padded", F.col("last").alias("last_alive"))
 
 
-@query("remix_setups")
+_DEALT = "dealt AS (SELECT *, k % 2 AS site, row_number() OVER (PARTITION BY team, k % 2 ORDER BY md5(CASE team WHEN 3 THEN '0:def_id:' ELSE '0:off_id:' END || tick_id), tick_id) - 1 AS i, count(*) OVER (PARTITION BY team, k % 2) AS n FROM pat)"
+
+
+@query("remix_setups", "SELECT d.site, d.tick_id AS def_id, o.tick_id AS off_id, o.player AS off_player, o.x AS off_x, o.y AS off_y FROM dealt d JOIN dealt o ON o.team = 2 AND o.site = d.site AND o.i = d.i % o.n WHERE d.team = 3", _DEALT)
 def _(t):
     s = t.pat.withColumn("site", F.col("k") % 2)
-    return c.remix_setups(s.where("team = 3"), s.where("team = 2"), "site", "tick_id")
+    return c.remix_setups(s.where("team = 3"), s.where("team = 2"), "site", "tick_id", ["player", "x", "y"])
 
 
 @query("slot_assign", "SELECT p.tick_id, s.slot FROM pat p JOIN (SELECT *, row_number() OVER (PARTITION BY round_id, team ORDER BY f, player) - 1 AS slot FROM (SELECT round_id, team, player, min(tick_id) AS f FROM pat GROUP BY ALL)) s USING (round_id, team, player) WHERE s.slot < 4")

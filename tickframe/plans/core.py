@@ -94,19 +94,19 @@ def _(t):
 
 @query("full_range_join", "SELECT k.tick_id AS kill_tick, f.tick_id AS hurt_tick FROM kills k FULL JOIN hurt f ON f.attacker = k.killer AND f.round_id = k.round_id AND f.gt BETWEEN k.gt - 3600 AND k.gt + 3600")
 def _(t):
-    k = t.kills.select("round_id", F.col("killer").alias("player"), F.col("gt").alias("at"), F.col("tick_id").alias("kill_tick"))
-    h = t.hurt.select("round_id", F.col("attacker").alias("player"), F.col("gt").alias("g"), F.col("tick_id").alias("hurt_tick"))
-    return k.join(h, (k.round_id == h.round_id) & (k.player == h.player) & F.col("g").between(F.col("at") - 3600, F.col("at") + 3600), "full").select("kill_tick", "hurt_tick")
+    k = t.kills.select("round_id", F.col("killer").alias("player"), (F.col("gt") - 3600).alias("lo"), (F.col("gt") + 3600).alias("hi"), F.col("tick_id").alias("kill_tick"))
+    h = t.hurt.select("round_id", F.col("attacker").alias("player"), "gt", F.col("tick_id").alias("hurt_tick"))
+    return j.full_range_join(k, h, "lo", "hi", "gt", "kill_tick", "hurt_tick", RP, 7200).select("kill_tick", "hurt_tick")
 
 
-@query("asof_prev", "SELECT p.tick_id, p.player, max(f.tick_id) AS prev_fire FROM pat p LEFT JOIN fire f ON f.player = p.player AND f.tick_id <= p.tick_id GROUP BY ALL")
+@query("asof_prev", "SELECT p.tick_id, p.player, max(f.tick_id) AS prev_fire FROM pat p LEFT JOIN fire f ON f.round_id = p.round_id AND f.player = p.player AND f.tick_id <= p.tick_id GROUP BY ALL")
 def _(t):
-    return w.asof_prev(t.pat.select("tick_id", "player"), t.fire.select("tick_id", "player", F.col("tick_id").alias("fire")), ["player"], "tick_id", ["fire"])
+    return w.asof_prev(t.pat.select("tick_id", "round_id", "player"), t.fire.select("tick_id", "round_id", "player", F.col("tick_id").alias("fire")), RP, "tick_id", ["fire"]).drop("round_id")
 
 
-@query("asof_next", "SELECT p.tick_id, p.player, min(f.tick_id) AS next_fire FROM pat p LEFT JOIN fire f ON f.player = p.player AND f.tick_id >= p.tick_id GROUP BY ALL")
+@query("asof_next", "SELECT p.tick_id, p.player, min(f.tick_id) AS next_fire FROM pat p LEFT JOIN fire f ON f.round_id = p.round_id AND f.player = p.player AND f.tick_id >= p.tick_id GROUP BY ALL")
 def _(t):
-    return w.asof_next(t.pat.select("tick_id", "player"), t.fire.select("tick_id", "player", F.col("tick_id").alias("fire")), ["player"], "tick_id", ["fire"])
+    return w.asof_next(t.pat.select("tick_id", "round_id", "player"), t.fire.select("tick_id", "round_id", "player", F.col("tick_id").alias("fire")), RP, "tick_id", ["fire"]).drop("round_id")
 
 
 @query("semi_rounds", "SELECT tick_id FROM pat WHERE round_id IN (SELECT round_id FROM rounds WHERE winner = 2)")
@@ -199,7 +199,7 @@ def _(t):
     return w.rolling_mode(t.pat, "kind", _KINDS, 3600, ["round_id"]).select("tick_id", "mode")
 
 
-@query("rolling_trend", "SELECT p.tick_id, avg(CASE WHEN q.x < p.x - 10 THEN 1.0 ELSE 0 END) AS falls, avg(CASE WHEN abs(q.x - p.x) <= 10 THEN 1.0 ELSE 0 END) AS stays, avg(CASE WHEN q.x > p.x + 10 THEN 1.0 ELSE 0 END) AS rises FROM pat p JOIN pat q ON q.round_id = p.round_id AND q.gt BETWEEN p.gt AND p.gt + 3600 GROUP BY 1")
+@query("rolling_trend", "SELECT p.tick_id, avg(CASE WHEN q.x < p.x - 10 THEN 1.0 ELSE 0 END) AS falls, avg(CASE WHEN q.x < p.x - 10 OR q.x > p.x + 10 THEN 0 ELSE 1.0 END) AS stays, avg(CASE WHEN q.x > p.x + 10 THEN 1.0 ELSE 0 END) AS rises FROM pat p JOIN pat q ON q.round_id = p.round_id AND q.gt BETWEEN p.gt AND p.gt + 3600 GROUP BY 1")
 def _(t):
     return w.rolling_trend(t.pat, "x", 3600, 10, ["round_id"]).select("tick_id", "falls", "stays", "rises")
 
@@ -209,9 +209,9 @@ def _(t):
     return w.tick_fraction(t.pat).select("tick_id", "fraction")
 
 
-@query("tick_counters", "SELECT tick_id, gt - max(CASE WHEN kind = 'error' THEN gt END) OVER o AS since_hurt, gt - max(CASE WHEN kind = 'click' THEN gt END) OVER o AS since_fire FROM pat WINDOW o AS (PARTITION BY player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING)")
+@query("tick_counters", "SELECT tick_id, gt - max(CASE WHEN kind = 'error' THEN gt END) OVER o AS since_hurt, gt - max(CASE WHEN kind = 'click' THEN gt END) OVER o AS since_fire FROM pat WINDOW o AS (PARTITION BY round_id, player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING)")
 def _(t):
-    return w.since_flags(t.pat, {"hurt": F.col("kind") == "error", "fire": F.col("kind") == "click"}, ["player"], GP).select("tick_id", "since_hurt", "since_fire")
+    return w.since_flags(t.pat, {"hurt": F.col("kind") == "error", "fire": F.col("kind") == "click"}, RP, GP).select("tick_id", "since_hurt", "since_fire")
 
 
 @query("until_next", "SELECT tick_id, min(CASE WHEN kind = 'click' THEN tick_id END) OVER (PARTITION BY round_id, player ORDER BY gt, tick_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_tick FROM pat")
@@ -221,10 +221,10 @@ def _(t):
 
 @query(
     "contiguous_history",
-    "SELECT tick_id, min(gt) OVER (PARTITION BY player, island) AS oldest FROM (SELECT *, sum(n) OVER (PARTITION BY player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN gt - lag(gt) OVER (PARTITION BY player ORDER BY gt, tick_id) <= 3600 THEN 0 ELSE 1 END AS n FROM pat))",
+    "SELECT tick_id, min(gt) OVER (PARTITION BY round_id, player, island) AS oldest FROM (SELECT *, sum(n) OVER (PARTITION BY round_id, player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN gt - lag(gt) OVER (PARTITION BY round_id, player ORDER BY gt, tick_id) <= 3600 THEN 0 ELSE 1 END AS n FROM pat))",
 )
 def _(t):
-    return w.contiguous_history(t.pat, ["player"], "gt", 3600).select("tick_id", "oldest")
+    return w.contiguous_history(t.pat, RP, "gt", 3600).select("tick_id", "oldest")
 
 
 @query(
@@ -247,10 +247,10 @@ def _(t):
 
 @query(
     "event_contiguous",
-    "SELECT player, min(tick_id) AS start, max(tick_id) AS \"end\", count(*) AS length FROM (SELECT *, sum(n) OVER (PARTITION BY player ORDER BY tick_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN near IS DISTINCT FROM lag(near) OVER (PARTITION BY player ORDER BY tick_id) THEN 1 ELSE 0 END AS n FROM (SELECT player, tick_id, max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY player ORDER BY tick_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM pat))) WHERE near = 1 GROUP BY player, island",
+    "SELECT round_id, player, min(tick_id) AS start, max(tick_id) AS \"end\", count(*) AS length FROM (SELECT *, sum(n) OVER (PARTITION BY round_id, player ORDER BY tick_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN near IS DISTINCT FROM lag(near) OVER (PARTITION BY round_id, player ORDER BY tick_id) THEN 1 ELSE 0 END AS n FROM (SELECT round_id, player, tick_id, max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY round_id, player ORDER BY tick_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM pat))) WHERE near = 1 GROUP BY round_id, player, island",
 )
 def _(t):
-    return w.event_contiguous(t.pat, F.col("kind") == "purchase", 2, ["player"], ["tick_id"])
+    return w.event_contiguous(t.pat, F.col("kind") == "purchase", 2, RP, ["tick_id"])
 
 
 @query("first_row", "SELECT arg_min(tick_id, tick_id) AS tick_id, round_id FROM pat GROUP BY round_id")
@@ -258,11 +258,11 @@ def _(t):
     return w.first_row(t.pat, ["round_id"], ["tick_id"]).select("tick_id", "round_id")
 
 
-@query("cum_sample_split")
+@query("cum_sample_split", "SELECT round_id, sum(n) OVER (ORDER BY md5('0:' || round_id), round_id) - n < 0.8 * sum(n) OVER () AS is_train FROM (SELECT round_id, count(*) AS n FROM pat GROUP BY 1)")
 def _(t):
     return w.cum_sample_split(t.pat, "round_id")
 
 
-@query("runs", "SELECT player, team_kind AS kind, min(tick_id) AS start, max(tick_id) AS \"end\", count(*) AS length FROM (SELECT *, sum(n) OVER (PARTITION BY player ORDER BY tick_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT player, tick_id, kind AS team_kind, CASE WHEN kind = lag(kind) OVER (PARTITION BY player ORDER BY tick_id) THEN 0 ELSE 1 END AS n FROM pat)) GROUP BY player, team_kind, island")
+@query("runs", "SELECT round_id, player, team_kind AS kind, min(tick_id) AS start, max(tick_id) AS \"end\", count(*) AS length FROM (SELECT *, sum(n) OVER (PARTITION BY round_id, player ORDER BY tick_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT round_id, player, tick_id, kind AS team_kind, CASE WHEN kind = lag(kind) OVER (PARTITION BY round_id, player ORDER BY tick_id) THEN 0 ELSE 1 END AS n FROM pat)) GROUP BY round_id, player, team_kind, island")
 def _(t):
-    return w.runs(t.pat, ["player"], ["tick_id"], "kind")
+    return w.runs(t.pat, RP, ["tick_id"], "kind")

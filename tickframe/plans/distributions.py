@@ -159,9 +159,9 @@ def _(t):
     return _r(d.slice_ranges(t.pat, {"x": (10, 60), "weapon": (1, 2)}, "x", 3, ["player"], ["tick_id"]).select("tick_id", "change"), "change")
 
 
-@query("mouse_bins", "SELECT floor(dk / 4)::BIGINT AS bin, count(*) AS n FROM (SELECT y - lag(y) OVER (PARTITION BY player ORDER BY tick_id) AS dk FROM pat) WHERE dk IS NOT NULL GROUP BY 1")
+@query("mouse_bins", "SELECT floor(dk / 4)::BIGINT AS bin, count(*) AS n FROM (SELECT y - lag(y) OVER (PARTITION BY round_id, player ORDER BY tick_id) AS dk FROM pat) WHERE dk IS NOT NULL GROUP BY 1")
 def _(t):
-    return d.mouse_bins(t.pat, "y", 1, 4.0, ["player"], ["tick_id"])
+    return d.mouse_bins(t.pat, "y", 1, 4.0, ["round_id", "player"], ["tick_id"])
 
 
 @query("fitts", "SELECT round_id AS test, round(log2(2 * (end_gt - start_gt)::DOUBLE / nullif((\"end\" - start)::DOUBLE, 0)), 6) AS bits, (SELECT min(tick_id) FROM pat p WHERE p.round_id = r.round_id AND kind = 'click') AS first_shot, (SELECT min(tick_id) FROM pat p WHERE p.round_id = r.round_id AND kind = 'error') AS first_hit FROM rounds r")

@@ -101,32 +101,32 @@ def _(t):
     return out.select("tick_id", "since_fire", "shots", "holding", "since_hold", "hit", F.array_join(F.transform("victims", lambda x: x.cast("string")), ",").alias("victims"))
 
 
-_RUNS = "SELECT player, {0} AS {1}, min(tick_id) AS start, max(tick_id) AS \"end\", count(*) AS length FROM (SELECT *, sum(n) OVER (PARTITION BY player ORDER BY tick_id ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY player ORDER BY tick_id) THEN 0 ELSE 1 END AS n FROM (SELECT *, {2} AS v FROM pat))) GROUP BY player, v, i"
+_RUNS = "SELECT round_id, player, {0} AS {1}, min(tick_id) AS start, max(tick_id) AS \"end\", count(*) AS length FROM (SELECT *, sum(n) OVER (PARTITION BY round_id, player ORDER BY tick_id ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY round_id, player ORDER BY tick_id) THEN 0 ELSE 1 END AS n FROM (SELECT *, {2} AS v FROM pat))) GROUP BY round_id, player, v, i"
 
 
 @query("latent_engagement", _RUNS.format("v", "target", "k % 3"))
 def _(t):
-    return runs(t.pat.withColumn("target", F.col("k") % 3), ["player"], ["tick_id"], "target")
+    return runs(t.pat.withColumn("target", F.col("k") % 3), ["round_id", "player"], ["tick_id"], "target")
 
 
 @query("latent_order", _RUNS.format("v", "order3", "weapon"))
 def _(t):
-    return runs(t.pat.withColumn("order3", F.col("weapon")), ["player"], ["tick_id"], "order3")
+    return runs(t.pat.withColumn("order3", F.col("weapon")), ["round_id", "player"], ["tick_id"], "order3")
 
 
 @query("argmax_runs", _RUNS.format("v", "best", "CASE WHEN x >= y AND x >= z THEN 'x' WHEN y >= z THEN 'y' ELSE 'z' END"))
 def _(t):
-    return e.argmax_runs(t.pat, ["x", "y", "z"], ["player"], ["tick_id"])
+    return e.argmax_runs(t.pat, ["x", "y", "z"], ["round_id", "player"], ["tick_id"])
 
 
-@query("event_detect", "SELECT tick_id, coalesce(k <= lag(k) OVER o, false) AS new_fire, alive AND NOT coalesce(lead(alive) OVER o, true) AS dies FROM pat WINDOW o AS (PARTITION BY player ORDER BY tick_id)")
+@query("event_detect", "SELECT tick_id, coalesce(k <= lag(k) OVER o, false) AS new_fire, alive AND NOT coalesce(lead(alive) OVER o, true) AS dies FROM pat WINDOW o AS (PARTITION BY round_id, player ORDER BY tick_id)")
 def _(t):
-    return e.event_detect(t.pat, "k", ["player"], ["tick_id"]).select("tick_id", "new_fire", "dies")
+    return e.event_detect(t.pat, "k", ["round_id", "player"], ["tick_id"]).select("tick_id", "new_fire", "dies")
 
 
-@query("split_discontinuity", 'SELECT player, i AS "index" FROM (SELECT *, count(*) FILTER (y > 40) OVER o - 1 AS i, coalesce(lag(y > 40) OVER (PARTITION BY player ORDER BY tick_id), false) AS b FROM pat WINDOW o AS (PARTITION BY player ORDER BY tick_id ROWS UNBOUNDED PRECEDING)) WHERE y > 40 AND NOT b')
+@query("split_discontinuity", 'SELECT round_id, player, i AS "index" FROM (SELECT *, count(*) FILTER (y > 40) OVER o - 1 AS i, coalesce(lag(y > 40) OVER (PARTITION BY round_id, player ORDER BY tick_id), false) AS b FROM pat WINDOW o AS (PARTITION BY round_id, player ORDER BY tick_id ROWS UNBOUNDED PRECEDING)) WHERE y > 40 AND NOT b')
 def _(t):
-    return e.split_discontinuity(t.pat, F.col("y") > 40, ["player"], ["tick_id"])
+    return e.split_discontinuity(t.pat, F.col("y") > 40, ["round_id", "player"], ["tick_id"])
 
 
 @query("c4_approach", "SELECT p.tick_id, max_by(q.x, q.gt) < p.x - 10 AS approaches FROM pat p JOIN pat q ON q.round_id = p.round_id AND q.player = p.player AND q.gt BETWEEN p.gt AND p.gt + 7200 GROUP BY p.tick_id, p.x")

@@ -305,7 +305,7 @@ def _(t):
     return _r(g.team_features(t.pat, 7200).select("round_id", "at", "player", "x", "shots", "left"), "left")
 
 
-@query("split_groups")
+@query("split_groups", "SELECT tick_id, round_id, CASE WHEN ('0x' || substr(md5('0:' || round_id), 1, 8))::BIGINT % 10000 < 8000 THEN 'train' ELSE 'test' END AS split FROM pat")
 def _(t):
     return g.split_groups(t.pat, "round_id").select("tick_id", "round_id", "split")
 
@@ -336,7 +336,7 @@ def _(t):
     return b.first_last(t.pat, "x", ["round_id"], "tick_id").select("round_id", "first", "last").distinct()
 
 
-@query("island_count", "SELECT player, count(*) FILTER (n = 1) AS islands FROM (SELECT player, CASE WHEN gt - lag(gt) OVER (PARTITION BY player ORDER BY gt, tick_id) <= 3600 THEN 0 ELSE 1 END AS n FROM pat) GROUP BY 1")
+@query("island_count", "SELECT round_id, player, count(*) FILTER (n = 1) AS islands FROM (SELECT round_id, player, CASE WHEN gt - lag(gt) OVER (PARTITION BY round_id, player ORDER BY gt, tick_id) <= 3600 THEN 0 ELSE 1 END AS n FROM pat) GROUP BY ALL")
 def _(t):
-    marked = w.islands(t.pat, ["player"], GP, F.col("gt") - F.lag("gt").over(w.over(["player"], GP)) > 3600)
-    return marked.groupBy("player").agg(F.max("island").alias("islands"))
+    marked = w.islands(t.pat, RP, GP, F.col("gt") - F.lag("gt").over(w.over(RP, GP)) > 3600)
+    return marked.groupBy(*RP).agg(F.max("island").alias("islands"))
