@@ -281,6 +281,20 @@ def heat_mean(df: DataFrame, value: str, cell: float) -> DataFrame:
     return df.groupBy(F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
+def nearest_player_heat(states: DataFrame, cell: float, keys: Sequence[str] = ("round_id", "tick_id"), teammate: bool = True, most: float = 1e5, coverage: DataFrame | None = None) -> DataFrame:
+    """gx, gy, n and the mean distance from the living players in a cell to their nearest living teammate (or enemy) of the
+    same keys. Players without one nearer than `most` don't count. coverage (gx, gy): other cells are left out, and covered
+    cells without a distance have a null mean. states: keys, player, team, alive, x, y, z, a row a player."""
+    a = states.where("alive").select(*keys, "player", "team", "x", "y", "z")
+    b = a.withColumnsRenamed({c: f"_{c}" for c in ("player", "team", "x", "y", "z")})
+    side = F.col("team") == F.col("_team") if teammate else F.col("team") != F.col("_team")
+    gap = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in ("x", "y", "z")), F.lit(0.0)))
+    pairs = a.join(b, list(keys)).where((F.col("player") != F.col("_player")) & side)
+    nearest = pairs.groupBy(*keys, "player").agg(F.min(gap).alias("_d"), F.first("x").alias("x"), F.first("y").alias("y")).where(F.col("_d") < most)
+    heat = heat_mean(nearest, "_d", cell)
+    return heat if coverage is None else coverage.select("gx", "gy").distinct().join(heat, ["gx", "gy"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def eval_ranges(rows: DataFrame, ranges: DataFrame, at: str, width: int, keys: Sequence[str] = ()) -> DataFrame:
     """Rows inside any of the ranges (start, end)."""
     from .joins import stab_join

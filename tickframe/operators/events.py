@@ -23,12 +23,17 @@ def engagements(hurt: DataFrame, bounds: DataFrame, pre: int, post: int, clock:
     return spans.select(*keys, F.greatest(F.col("_a") - pre, "start_gt").alias("start"), F.least(F.col("_b") + post, "end_gt").alias("end"), "hits", "hurt_ids")
 
 
-def engagement_match(eng: DataFrame, nearest: DataFrame, width: int, clock: str = "gt") -> DataFrame:
-    """+ share: of the attacker's rows within an engagement those whose nearest enemy is the victim. nearest:
-    round_id, player, clock, target."""
-    rows = nearest.select("round_id", F.col("player").alias("attacker"), clock, "target")
-    inside = stab_join(rows, eng, clock, keys=["round_id", "attacker"], width=width)
-    return inside.groupBy("round_id", "attacker", "victim", "start", "end").agg(F.avg(F.when(F.col("target") == F.col("victim"), 1.0).otherwise(0.0)).alias("share"))
+def engagement_match(eng: DataFrame, nearest: DataFrame, targets: Sequence[str], width: int, clock: str = "gt", tick: str = "tick_id") -> DataFrame:
+    """round_id, attacker, victim, start, end and share_<t> for each of the targets: of the attacker's rows within an
+    engagement the share whose nearest enemy (now, or at a horizon) is the victim. Where engagements of an attacker overlap,
+    a row counts as a hit for the one that began last only (ties: the larger victim), but in the length of each. nearest:
+    round_id, player, tick, clock and the targets."""
+    own = ["round_id", "attacker", "victim", "start", "end"]
+    rows = nearest.select("round_id", F.col("player").alias("attacker"), clock, tick, *targets)
+    inside = stab_join(rows, eng.select(*own), clock, keys=["round_id", "attacker"], width=width)
+    latest = F.row_number().over(Window.partitionBy("round_id", "attacker", tick).orderBy(F.desc("start"), F.desc("victim"), F.desc("end"))) == 1
+    marked = inside.withColumn("_latest", latest)
+    return marked.groupBy(*own).agg(*[F.avg(F.when(F.col("_latest") & (F.col(t) == F.col("victim")), 1.0).otherwise(0.0)).alias(f"share_{t}") for t in targets])
 
 
 def non_engagement(pat: DataFrame, eng: DataFrame, width: int, clock: str = "gt", tick: str = "tick_id") -> DataFrame:
@@ -69,16 +74,6 @@ def segment_buckets(rows: DataFrame, seconds: int, keys: Sequence[str], clock: s
     return rows.withColumn("segment", at).groupBy(*keys, "segment").agg(F.min(clock).alias("start"), F.max(clock).alias("end"), F.count(F.lit(1)).alias("n"))
 
 
-def plant_states(plants: DataFrame, pat: DataFrame, clock: str = "gt") -> DataFrame:
-    """The first plant of each round with how many of either team have a living row up to then: plants has round_id,
-    tick_id."""
-    first = plants.groupBy("round_id").agg(F.min("tick_id").alias("plant_tick"))
-    near = pat.join(first, "round_id").where(F.col("tick_id") <= F.col("plant_tick"))
-    last = near.groupBy("round_id", "plant_tick", "team", "player").agg(F.max_by("alive", "tick_id").alias("alive"))
-    both = last.groupBy("round_id", "plant_tick").agg(F.count_if(F.col("alive") & (F.col("team") == 3)).alias("ct_alive"), F.count_if(F.col("alive") & (F.col("team") == 2)).alias("t_alive"))
-    return both.where("ct_alive > 0 AND t_alive > 0")
-
-
 def alive_counts_by_tick(pat: DataFrame, every: int = 1) -> DataFrame:
     """Per round and clock bucket the players of either team with a living row."""
     at = F.floor(F.col("gt") / every).alias("at")
@@ -175,15 +170,6 @@ def test_outcome(df: DataFrame, test: str, ok: str, round_id: str = "round_id")
     return rounds.withColumn("share", F.col("rounds") / F.sum("rounds").over(Window.partitionBy(test)))
 
 
-def retake_moments(pat: DataFrame, keys: Sequence[str] = ("round_id", "team"), clock: str = "gt", tick: str = "tick_id") -> DataFrame:
-    """Per round and team: shots, kills, distance travelled, farthest from a player's start, kills per shot."""
-    w = over([*keys, "player"], [clock, tick])
-    start = lambda c: F.first(c).over(w)
-    moved = pat.withColumns({"_step": F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), "_far": F.hypot(F.col("x") - start("x"), F.col("y") - start("y"))})
-    out = moved.groupBy(*keys).agg(F.count_if(F.col("kind") == "click").alias("shots"), F.count_if(F.col("kind") == "purchase").alias("kills"), F.coalesce(F.sum("_step"), F.lit(0.0)).alias("travelled"), F.max("_far").alias("farthest"))
-    return out.withColumn("kills_per_shot", F.try_divide("kills", "shots"))
-
-
 def teleport_reset(pat: DataFrame, jump: float, still: Column, after: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """+ reset: a jump at no speed here or within the `after` rows before."""
     w = over(keys, order)

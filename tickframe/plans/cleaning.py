@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as c
+from ..operators import retakes as rt
 from .domain import query
 
 _G = '(SELECT *, round_id // 10 AS game_id FROM rounds)'
@@ -168,6 +169,23 @@ def _(t):
     return c.flatten(t.pat.select("tick_id", F.struct("x", "y").alias("p"), "team"), {"p": ["x", "y"]}, {"team": {2: "T"}})
 
 
-@query("key_events", "SELECT tick_id, coalesce(bool_or(kind = 'click') OVER o, false) AS fired, coalesce(bool_or(kind = 'signup') OVER o, false) AS planted FROM pat WINDOW o AS (PARTITION BY round_id ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING)")
+_KEY = """begins AS (SELECT round_id, min(tick_id) AS lo FROM pat GROUP BY 1),
+marks AS (SELECT tick_id, 'fired' AS n FROM fire UNION ALL SELECT tick_id, 'planted' FROM grenades JOIN begins USING (round_id) WHERE kind4 <> 0 AND tick_id - 30 >= lo
+  UNION ALL SELECT tick_id, 'defused' FROM kills JOIN begins USING (round_id) WHERE headshot AND tick_id - 15 >= lo UNION ALL SELECT tick_id, 'exploded' FROM hurt WHERE damage > 90
+  UNION ALL SELECT tick_id, CASE k % 5 WHEN 0 THEN 'test_started' ELSE 'test_ended' END FROM pat WHERE kind = 'view' AND k % 5 < 2)"""
+_FLAGS = ", ".join(f"bool_or(EXISTS (SELECT 1 FROM marks m WHERE m.tick_id = p.tick_id AND n = '{n}')) OVER o AS {n}" for n in rt.KEY_EVENTS)
+
+
+@query("key_events", f'SELECT p.tick_id, p.round_id, {_FLAGS}, p.tick_id >= (r.start + r."end") // 2 AS round_ended FROM pat p JOIN rounds r USING (round_id) WINDOW o AS (PARTITION BY p.round_id ORDER BY p.tick_id ROWS UNBOUNDED PRECEDING)', _KEY)
 def _(t):
-    return c.running_flags(t.pat, {"fired": F.col("kind") == "click", "planted": F.col("kind") == "signup"}, ["round_id"], ["gt", "tick_id"]).select("tick_id", "fired", "planted")
+    ended = t.rounds.select("round_id", F.floor((F.col("start") + F.col("end")) / 2).alias("end"))
+    say = lambda k: t.of("view").where(F.col("k") % 5 == k).select("tick_id")
+    events = {
+        "fired": t.fire.select("tick_id"),
+        "planted": t.grenades.where("kind4 <> 0").select("tick_id", (F.col("tick_id") - 30).alias("start")),
+        "defused": t.kills.where("headshot").select("tick_id", (F.col("tick_id") - 15).alias("start")),
+        "exploded": t.hurt.where("damage > 90").select("tick_id"),
+        "test_started": say(0),
+        "test_ended": say(1),
+    }
+    return rt.key_events(t.pat, ended, events)
\ No newline at end of file

@@ -210,9 +210,19 @@ def _(t):
     return t.pat.groupBy("kind").agg(F.avg(F.when(F.col("x") > 50, 1.0).otherwise(0.0)).alias("mean"))
 
 
-@query("dist_heat", "SELECT floor(x / 25)::BIGINT AS gx, floor(y / 25)::BIGINT AS gy, round(avg(z), 6) AS mean, count(z) AS n FROM pat GROUP BY 1, 2")
+_LAST = """ends AS (SELECT *, gt // 1800 AS half FROM pat QUALIFY row_number() OVER (PARTITION BY round_id, gt // 1800, player ORDER BY gt DESC, tick_id DESC) = 1),
+gaps AS (SELECT a.round_id, a.half, a.player, a.x, a.y, a.team = b.team AS mate, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))) AS d
+  FROM ends a JOIN ends b ON a.round_id = b.round_id AND a.half = b.half AND a.player <> b.player AND a.alive AND b.alive GROUP BY ALL),
+covered AS (SELECT DISTINCT floor(x / 25)::BIGINT AS gx, floor(y / 25)::BIGINT AS gy FROM pat WHERE weapon < 3)"""
+
+
+@query("dist_heat", "SELECT c.gx, c.gy, m.mate, round(avg(d), 6) AS mean, count(d) AS n FROM covered c CROSS JOIN (VALUES (true), (false)) m(mate) LEFT JOIN gaps g ON floor(g.x / 25)::BIGINT = c.gx AND floor(g.y / 25)::BIGINT = c.gy AND g.mate = m.mate AND d < 80 GROUP BY ALL", _LAST)
 def _(t):
-    return _r(d.heat_mean(t.pat, "z", 25.0), "mean")
+    half = t.pat.withColumn("at", F.floor(F.col("gt") / 1800))
+    last = half.groupBy("round_id", "at", "player").agg(F.max(F.struct("gt", "tick_id", "team", "alive", "x", "y", "z")).alias("s")).select("round_id", "at", "player", "s.*")
+    cells = t.pat.where("weapon < 3").select(F.floor(F.col("x") / 25).alias("gx"), F.floor(F.col("y") / 25).alias("gy"))
+    heat = lambda mate: d.nearest_player_heat(last, 25.0, ("round_id", "at"), mate, 80.0, cells).withColumn("mate", F.lit(mate))
+    return _r(heat(True).unionByName(heat(False)), "mean")
 
 
 @query("coverage", "SELECT floor(x / 2)::BIGINT AS gx, floor(y / 2)::BIGINT AS gy, count(*) AS n FROM pat WHERE alive GROUP BY 1, 2")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as e
+from ..operators import retakes as rt
+from ..operators import windows as w
 from ..operators.windows import runs
 from .domain import query
 
@@ -24,9 +26,21 @@ def _(t):
     return _eng(t).withColumn("hurt_ids", F.array_join(F.transform("hurt_ids", lambda x: x.cast("string")), ","))
 
 
-@query("engagement_match", "SELECT e.round_id, e.attacker, e.victim, e.start, avg(CASE WHEN p.k % 10 = e.victim THEN 1.0 ELSE 0.0 END) AS share FROM eng e JOIN pat p ON p.round_id = e.round_id AND p.player = e.attacker AND p.gt BETWEEN e.start AND e.stop GROUP BY ALL", _ENG)
+_AIMED = """, aimed AS (SELECT p.*, (SELECT arg_max(q.k % 10, q.gt * 1000000 + q.tick_id) FROM pat q WHERE q.round_id = p.round_id AND q.player = p.player AND q.gt BETWEEN p.gt + 1 AND p.gt + 600) AS soon,
+    (SELECT arg_max(q.k % 10, q.gt * 1000000 + q.tick_id) FROM pat q WHERE q.round_id = p.round_id AND q.player = p.player AND q.gt BETWEEN p.gt + 1 AND p.gt + 1200) AS later,
+    (SELECT arg_max(q.k % 10, q.gt * 1000000 + q.tick_id) FROM pat q WHERE q.round_id = p.round_id AND q.player = p.player AND q.gt BETWEEN p.gt + 1 AND p.gt + 2400) AS last FROM pat p),
+  met AS (SELECT e.round_id, e.attacker, e.victim, e.start, e.stop, p.k % 10 AS now, soon, later, last, row_number() OVER (PARTITION BY p.tick_id, p.player ORDER BY e.start DESC, e.victim DESC, e.stop DESC) = 1 AS latest
+    FROM eng e JOIN aimed p ON p.round_id = e.round_id AND p.player = e.attacker AND p.gt BETWEEN e.start AND e.stop)"""
+_HORIZONS = {"now": 0, "soon": 600, "later": 1200, "last": 2400}
+
+
+@query("engagement_match", "SELECT round_id, attacker, victim, start, " + ", ".join(f"avg(CASE WHEN latest AND {h} = victim THEN 1.0 ELSE 0.0 END) AS share_{h}" for h in _HORIZONS) + " FROM met GROUP BY round_id, attacker, victim, start, stop", _ENG + _AIMED)
 def _(t):
-    return e.engagement_match(_eng(t), t.pat.withColumn("target", F.col("k") % 10), 4800).select("round_id", "attacker", "victim", "start", "share")
+    aimed = t.pat.withColumns({"now": F.col("k") % 10, "_t": F.struct("tick_id", (F.col("k") % 10).alias("target"))})
+    for name, horizon in _HORIZONS.items():
+        if horizon:
+            aimed = w.future_label(aimed, "_t", horizon, RP).withColumn(name, F.col("label.target")).drop("label")
+    return e.engagement_match(_eng(t), aimed, list(_HORIZONS), 4800).drop("end")
 
 
 @query(
@@ -52,12 +66,26 @@ def _(t):
     return e.segment_buckets(t.pat, 3600, RP)
 
 
-@query(
-    "plant_states",
-    "SELECT * FROM (SELECT round_id, plant_tick, count(*) FILTER (alive AND team = 3) AS ct_alive, count(*) FILTER (alive AND team = 2) AS t_alive FROM (SELECT p.round_id, plant_tick, team, player, max_by(alive, tick_id) AS alive FROM pat p JOIN (SELECT round_id, min(tick_id) AS plant_tick FROM grenades GROUP BY 1) f ON f.round_id = p.round_id AND p.tick_id <= plant_tick GROUP BY ALL) GROUP BY ALL) WHERE ct_alive > 0 AND t_alive > 0",
-)
+_PLANTS = """roster AS (SELECT DISTINCT round_id, player, team FROM pat),
+marks AS (SELECT round_id, tick_id, 'plant' AS what FROM grenades WHERE kind4 <> 0 UNION ALL SELECT round_id, tick_id, 'defusal' FROM kills WHERE headshot AND tick_id % 8 = 0),
+seen AS (SELECT m.round_id, m.tick_id, what, player, team, (SELECT arg_max({'alive': alive, 'x': x, 'y': y, 'z': z, 'view': view}, tick_id) FROM pat p WHERE p.round_id = m.round_id AND p.player = r.player AND p.tick_id <= m.tick_id) AS s
+  FROM marks m JOIN roster r ON r.round_id = m.round_id),
+twosided AS (SELECT round_id, tick_id, what FROM seen GROUP BY ALL HAVING bool_or(team = 3 AND s.alive) AND bool_or(team = 2 AND s.alive)),
+planted AS (SELECT round_id, min(tick_id) AS tick_id FROM twosided WHERE what = 'plant' GROUP BY 1),
+slots AS (SELECT round_id, tick_id, player, team, s, row_number() OVER (PARTITION BY round_id, team ORDER BY player) AS i FROM planted JOIN seen USING (round_id, tick_id) WHERE what = 'plant' AND s.alive)"""
+_SUMS = ", ".join(f"round(coalesce(sum(i * s.{c}) FILTER (team = {code} AND i <= 5), 0.0), 4) AS {side}_{c}" for side, code in rt.TEAMS.items() for c in ("x", "y", "z", "view"))
+
+
+@query("plant_states", f"SELECT p.round_id, p.tick_id AS plant_id, p.tick_id AS plant_tick, r.\"end\" AS end_tick, r.\"end\" - p.tick_id + 1 AS length, winner, EXISTS (SELECT 1 FROM twosided b WHERE b.round_id = p.round_id AND what = 'defusal') AS defused, p.tick_id % 97 AS bomb_x, p.tick_id % 89 AS bomb_y, p.tick_id % 83 AS bomb_z, " + ", ".join(f"string_agg(player::VARCHAR, ',' ORDER BY player) FILTER (team = {code} AND i <= 5) AS {side}_players" for side, code in rt.TEAMS.items()) + f", {_SUMS} FROM planted p JOIN rounds r ON r.round_id = p.round_id JOIN slots s ON s.round_id = p.round_id GROUP BY ALL", _PLANTS)
 def _(t):
-    return e.plant_states(t.grenades.select("round_id", "tick_id"), t.pat)
+    plants = t.grenades.select("round_id", "tick_id", F.col("tick_id").alias("event"), (F.col("kind4") != 0).alias("ok"))
+    defusals = t.kills.select("round_id", "tick_id", F.col("tick_id").alias("event"), (F.col("headshot") & (F.col("tick_id") % 8 == 0)).alias("ok"))
+    bomb = t.pat.select("tick_id", *[(F.col("tick_id") % n).alias(f"bomb_{c}") for c, n in zip("xyz", (97, 89, 83))])
+    out = rt.plant_states(plants, defusals, t.pat, t.rounds, bomb)
+    total = lambda side, c: F.round(F.aggregate(F.transform(side, lambda s, i: F.when(s["alive"], s[c] * (i + 1)).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v), 4)
+    sums = {f"{side}_{c}": total(side, c) for side in rt.TEAMS for c in ("x", "y", "z", "view")}
+    players = {f"{side}_players": F.array_join(F.transform(F.filter(side, lambda s: s["alive"]), lambda s: s["player"].cast("string")), ",") for side in rt.TEAMS}
+    return out.withColumns(sums | players).drop("ct", "t")
 
 
 @query("alive_flags", "SELECT round_id, gt // 3600 AS at, count(DISTINCT CASE WHEN alive AND team = 3 THEN player END) AS ct_alive, count(DISTINCT CASE WHEN alive AND team = 2 THEN player END) AS t_alive FROM pat GROUP BY ALL")
@@ -145,13 +173,30 @@ def _(t):
     return e.test_outcome(t.pat, "weapon", "alive")
 
 
+_MOVES = """blasts AS (SELECT round_id, max(tick_id) AS blast FROM hurt WHERE damage > 60 AND tick_id % 3 = 0 GROUP BY 1), first_plant AS (SELECT round_id, min(tick_id) AS plant FROM grenades WHERE kind4 = 1 GROUP BY 1),
+lived AS (SELECT p.*, (k % 4)::DOUBLE AS speed, plant, start, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(z) OVER o AS pz FROM pat p JOIN first_plant f ON f.round_id = p.round_id AND p.tick_id >= plant JOIN rounds r ON r.round_id = p.round_id
+  WHERE alive WINDOW o AS (PARTITION BY p.round_id, player ORDER BY tick_id)),
+jumped AS (SELECT round_id, min(tick_id) AS jump FROM lived WHERE sqrt(power(x - px, 2) + power(y - py, 2) + power(z - pz, 2)) > 110 AND speed = 0 AND tick_id <> start GROUP BY 1),
+settled AS (SELECT l.* EXCLUDE (px, py, pz), lag(x) OVER o AS px, lag(y) OVER o AS py, lag(z) OVER o AS pz, first_value(x) OVER o AS fx, first_value(y) OVER o AS fy, first_value(z) OVER o AS fz
+  FROM lived l LEFT JOIN jumped j ON j.round_id = l.round_id WHERE jump IS NULL OR l.tick_id > jump + 3 WINDOW o AS (PARTITION BY l.round_id, player ORDER BY l.tick_id)),
+each AS (SELECT s.round_id, team, player, coalesce(sum(sqrt(power(x - px, 2) + power(y - py, 2) + power(z - pz, 2))), 0.0) AS d, max(sqrt(power(x - fx, 2) + power(y - fy, 2) + power(z - fz, 2))) AS far,
+  count(*) FILTER (kind = 'click') AS shots, count(*) FILTER (kind = 'purchase') AS kills, coalesce(sum(speed) FILTER (kind = 'click'), 0.0) AS v, max(tick_id) AS last FROM settled s GROUP BY ALL),
+sides AS (SELECT f.round_id, side AS team, plant, r."end" AS fin, winner, blast, count(e.player) AS players, coalesce(sum(d), 0.0) AS d, coalesce(max(far), 0.0) AS far, coalesce(sum(shots), 0) AS shots, coalesce(sum(kills), 0) AS kills, coalesce(sum(v), 0.0) AS v,
+  count(*) FILTER (last + 1 >= blast) AS b, count(*) FILTER (last > blast) AS a
+  FROM first_plant f JOIN rounds r USING (round_id) CROSS JOIN (VALUES (2), (3)) x(side) LEFT JOIN blasts USING (round_id) LEFT JOIN each e ON e.round_id = f.round_id AND e.team = side GROUP BY ALL)"""
+
+
 @query(
     "retake_moments",
-    "SELECT round_id, team, shots, kills, round(travelled, 4) AS travelled, round(farthest, 4) AS farthest, kills / nullif(shots, 0) AS kills_per_shot FROM (SELECT round_id, team, count(*) FILTER (kind = 'click') AS shots, count(*) FILTER (kind = 'purchase') AS kills, coalesce(sum(step), 0.0) AS travelled, max(far) AS farthest FROM (SELECT *, sqrt(power(x - lag(x) OVER o, 2) + power(y - lag(y) OVER o, 2)) AS step, sqrt(power(x - first_value(x) OVER o, 2) + power(y - first_value(y) OVER o, 2)) AS far FROM pat WINDOW o AS (PARTITION BY round_id, team, player ORDER BY gt, tick_id)) GROUP BY ALL)",
+    "SELECT round_id, team, winner = team AS win, players, round(d, 4) AS travelled, round(far, 4) AS farthest, round(shots / nullif(sum(players) OVER g, 0), 6) AS shots_per_player, round(kills / nullif(sum(players) OVER g, 0), 6) AS kills_per_player, round(shots / nullif(kills, 0), 6) AS shots_per_kill, round(v / nullif(shots, 0), 6) AS shooting_speed, CASE WHEN blast IS NOT NULL THEN b END AS alive_before, CASE WHEN blast IS NOT NULL THEN a END AS alive_after, fin - plant + 1 AS length FROM sides WINDOW g AS (PARTITION BY round_id)",
+    _MOVES,
 )
 def _(t):
-    out = e.retake_moments(t.pat)
-    return out.withColumns({"travelled": F.round("travelled", 4), "farthest": F.round("farthest", 4)})
+    plants = t.grenades.select("round_id", "tick_id", (F.col("kind4") == 1).alias("ok"))
+    blasts = t.hurt.where("damage > 60 AND tick_id % 3 = 0").select("round_id", "tick_id")
+    out = rt.retake_moments(t.pat.withColumn("speed", (F.col("k") % 4).cast("double")), t.rounds, blasts, plants, F.col("kind") == "click", F.col("kind") == "purchase", jump=110.0)
+    places = {"travelled": 4, "farthest": 4} | dict.fromkeys(("shots_per_player", "kills_per_player", "shots_per_kill", "shooting_speed"), 6)
+    return out.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 @query("teleport_reset", "SELECT tick_id, bool_or(j) OVER (PARTITION BY player ORDER BY tick_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS reset FROM (SELECT *, coalesce(sqrt(power(x - lag(x) OVER o, 2) + power(y - lag(y) OVER o, 2)) > 60 AND weapon = 0, false) AS j FROM pat WINDOW o AS (PARTITION BY player ORDER BY tick_id))")
