@@ -31,12 +31,24 @@ def _flag(c: Column) -> Column:
     return F.when(c, 1).otherwise(0)
 
 
-def _placed(t, rows: DataFrame) -> DataFrame:
-    """rows (with tick_id) with their tick's clock, round and game."""
+def with_clock(t) -> SimpleNamespace:
+    """The tables with `clock`: every tick with its round and game, joined and written once (a job of its own, run here).
+    The questions that place many tables on the clock read it in place of three joins for each."""
+    if hasattr(t, "clock"):
+        return t
+    return SimpleNamespace(**vars(t), clock=cut(_clock(t)))
+
+
+def _clock(t) -> DataFrame:
     ticks = t.ticks.select(F.col("id").alias("tick_id"), "round_id", F.col("game_tick_number").alias("gt"))
     rounds = t.rounds.select(F.col("id").alias("round_id"), "game_id", "warmup", "end_tick")
     games = t.games.select(F.col("id").alias("game_id"), F.col("demo_file").alias("demo"), "game_tick_rate", "demo_tick_rate")
-    return rows.join(ticks, "tick_id").join(rounds, "round_id").join(games, "game_id")
+    return ticks.join(rounds, "round_id").join(games, "game_id")
+
+
+def _placed(t, rows: DataFrame) -> DataFrame:
+    """rows (with tick_id) with their tick's clock, round and game."""
+    return rows.join(t.clock if hasattr(t, "clock") else _clock(t), "tick_id")
 
 
 def _turned(view: Column, last: Column) -> Column:
@@ -359,6 +371,7 @@ def _seconds(c: Column) -> Column:
 def q_react_final(t, seen_seconds: float = 5) -> DataFrame:
     """Seconds from sight to aim and to fire, whether the pair met shortly before, and the share of clusters watched;
     the round is the one whose clock holds the start."""
+    t = with_clock(t)
     bounds = q_round_bounds(t).select("game_id", F.col("min_gt").alias("gt"), F.struct("round_id", "max_gt").alias("in"))
     spans = asof_prev(q_react_cover(t).drop("round_id").withColumn("gt", F.col("start_gt")), bounds, ["game_id"], "gt", ["in"]).where("start_gt < prev_in.max_gt")
     start = F.col("start_gt")
@@ -415,6 +428,7 @@ def q_hand_fire(t, before: float = 128, **aim) -> DataFrame:
 
 def q_hand_final(t, seen_seconds: float = 5, width: int = 100_000, **fire) -> DataFrame:
     """Reaction seconds from the hand's start and from the log's, in every round that the span overlaps."""
+    t = with_clock(t)
     games = t.games.select(F.col("id").alias("game_id"), F.col("demo_file").alias("demo"), "game_tick_rate")
     spans = q_hand_fire(t, **fire).join(games, "demo").withColumns({"a_start": F.col("start_gt"), "a_end": F.coalesce("end_gt", F.lit(FOREVER))}).where("a_start < a_end")
     bounds = q_round_bounds(t, after=-1).select("game_id", "round_id", F.col("min_gt").alias("b_start"), F.col("max_gt").alias("b_end")).where("b_start < b_end")
