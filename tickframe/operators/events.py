@@ -89,10 +89,12 @@ def deaths_at(deaths: DataFrame, marks: DataFrame, width: int) -> DataFrame:
 
 
 def smoke_state(grenades: DataFrame, positions: DataFrame, every: int = 1) -> DataFrame:
-    """A row for every tick (or every so many) of a grenade's life with its position at the last step so far.
-    grenades: grenade, start, end; positions: grenade, tick, x, y."""
-    ticks = grenades.select("grenade", F.explode(F.sequence("start", "end", F.lit(every).cast("long"))).alias("tick"))
-    return asof_prev(ticks, positions, ["grenade"], "tick", ["x", "y"]).select("grenade", "tick", F.col("prev_x").alias("x"), F.col("prev_y").alias("y"))
+    """A row for every tick (or every so many) of a grenade's life: grenade, tick, state (thrown, and active from its active
+    tick on; one without stays thrown) and its position at the last step so far. grenades: grenade, start, active, end;
+    positions: grenade, tick, x, y."""
+    ticks = grenades.select("grenade", "active", F.explode(F.sequence("start", "end", F.lit(every).cast("long"))).alias("tick"))
+    state = F.when(F.col("tick") >= F.col("active"), "active").otherwise("thrown").alias("state")
+    return asof_prev(ticks, positions, ["grenade"], "tick", ["x", "y"]).select("grenade", "tick", state, F.col("prev_x").alias("x"), F.col("prev_y").alias("y"))
 
 
 def flash_state(pat: DataFrame, flashed: DataFrame, full: float, scale: float, clock: str = "gt") -> DataFrame:

@@ -8,16 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import stab_join
-from .windows import over, rows_offset, runs
+from .windows import asof_prev, over, rows_offset, runs
 
 
 def aim_rows(eng: DataFrame, pat: DataFrame, width: int, past: int = 13, future: int = 13, columns: Sequence[str] = ("x", "y", "view"), clock: str = "gt", tick: str = "tick_id") -> DataFrame:
-    """The attacker's rows inside its engagements with past and future values. Of several engagements at one tick the
-    one with the earliest start counts (the latest end of equals)."""
+    """The attacker's rows inside its engagements with past and future values, and turn: degrees (-180 to 180) from where
+    the victim's last row up to the tick stands to where the attacker looks, null before the victim has one.
+
+    An attacker has one engagement at a tick: one with a hit still to come before one without; of those with one the first
+    to begin (then the smaller victim), of those without the last to end (then the larger). Rows of which any in the window
+    from `past` before to `future` after is not alive are left out. eng has hurt_ids, the ticks of its hits."""
+    w = over(["round_id", "player"], [clock, tick])
     near = rows_offset(pat, columns, [*range(-past, 0), *range(1, future + 1)], ["round_id", "player"], [clock, tick])
-    inside = stab_join(near.withColumnRenamed("player", "attacker"), eng.select("round_id", "attacker", "victim", "start", "end"), clock, keys=["round_id", "attacker"], width=width)
-    one = Window.partitionBy(tick).orderBy("start", F.col("end").desc(), "victim")
-    return inside.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    near = near.withColumn("_lives", F.every("alive").over(w.rowsBetween(-past, future))).where("_lives").drop("_lives")
+    spans = eng.select("round_id", "attacker", "victim", "start", "end", F.array_max("hurt_ids").alias("_hit"))
+    inside = stab_join(near.withColumnRenamed("player", "attacker"), spans, clock, keys=["round_id", "attacker"], width=width)
+    hit = F.col("_hit") >= F.col(tick)
+    order = [hit.desc(), F.when(hit, F.col("start")).asc(), F.when(hit, F.col("victim")).asc(), F.when(~hit, F.col("end")).desc(), F.when(~hit, F.col("victim")).desc()]
+    one = Window.partitionBy("round_id", "attacker", tick).orderBy(*order)
+    chosen = inside.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "_hit")
+    where = pat.select("round_id", F.col("player").alias("victim"), tick, F.col("x").alias("_vx"), F.col("y").alias("_vy"))
+    seen = asof_prev(chosen, where, ["round_id", "victim"], tick, ["_vx", "_vy"])
+    turn = F.pmod(F.col("view") - F.degrees(F.atan2(F.col("prev__vy") - F.col("y"), F.col("prev__vx") - F.col("x"))) + 180, F.lit(360.0)) - 180
+    return seen.withColumn("turn", turn).drop("prev__vx", "prev__vy")
 
 
 def aim_links(eng: DataFrame, aim: DataFrame, clock: str = "gt") -> DataFrame:
@@ -53,14 +66,31 @@ def engage_rows(pat: DataFrame, keys: Sequence[str] = ("round_id", "player"), or
     return pat.withColumns({"fires_soon": soon, "hurt_before": F.count(F.when(F.col("kind") == "error", 1)).over(back)})
 
 
-def team_features(pat: DataFrame, every: int, clock: str = "gt") -> DataFrame:
-    """Long features per round, time bucket and player: last position, alive, shots so far, time left share (0 to 1)."""
-    at = pat.withColumn("at", F.floor(F.col(clock) / every))
-    last = at.groupBy("round_id", "at", "team", "player").agg(*[F.max_by(c, F.struct(clock, "tick_id")).alias(c) for c in ("x", "y", "alive")], F.count_if(F.col("kind") == "click").alias("_s"), F.max(clock).alias("_t"))
-    w = Window.partitionBy("round_id", "player").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def team_features(pat: DataFrame, every: int, plants: DataFrame, defusals: DataFrame, bomb: DataFrame, sites: dict[str, tuple[float, float]], areas: DataFrame, reach: float, slots: int = 5, clock: str = "gt", tick: str = "tick_id") -> DataFrame:
+    """Long features per round, time bucket and player of the first `slots` of its team: slot, last position and alive, the
+    nearest area (null for the dead), ticks since the last shot and hit taken (null before one), shots so far, bomb (carried, planted,
+    defused), the site nearer to the bomb, and the share of the round's time left (0 to 1).
+
+    plants, defusals: round_id, tick of success. bomb: tick, bomb_x, bomb_y; the last place up to the player's row counts.
+    sites: name to centre; ties go to the first by name. areas, reach: see nearest_areas."""
+    from .cleaning import slot_assign
+    from .neighbours import nearest_areas
+
+    past = over(["round_id", "player"], [clock, tick]).rowsBetween(Window.unboundedPreceding, 0)
+    since = lambda kind: F.col(tick) - F.last(F.when(F.col("kind") == kind, F.col(tick)), True).over(past)
+    rows = slot_assign(pat, slots).withColumns({"since_shot": since("click"), "since_hurt": since("error"), "shots": F.count(F.when(F.col("kind") == "click", 1)).over(past), "at": F.floor(F.col(clock) / every)})
+    names = ["slot", "x", "y", "z", "alive", "since_shot", "since_hurt", "shots"]
+    last = rows.groupBy("round_id", "at", "team", "player").agg(F.max_by(F.struct(tick, clock, *names), F.struct(clock, tick)).alias("s")).select("round_id", "at", "team", "player", "s.*")
+    first = lambda df, name: df.groupBy("round_id").agg(F.min(tick).alias(name))
+    last = last.join(first(plants, "_plant"), "round_id", "left").join(first(defusals, "_defusal"), "round_id", "left")
+    status = F.when(F.col("_defusal") <= F.col(tick), "defused").when(F.col("_plant") <= F.col(tick), "planted").otherwise("carried")
+    placed = asof_prev(last.withColumn("bomb", status), bomb.join(pat.select(tick, "round_id"), tick), ["round_id"], tick, ["bomb_x", "bomb_y"])
+    gaps = [F.struct(F.hypot(F.col("prev_bomb_x") - x, F.col("prev_bomb_y") - y).alias("d"), F.lit(name).alias("name")) for name, (x, y) in sorted(sites.items())]
     r = Window.partitionBy("round_id")
-    left = F.coalesce(F.try_divide(F.max("_t").over(r) - F.col("_t"), F.max("_t").over(r) - F.min("_t").over(r)), F.lit(0.0))
-    return last.withColumns({"shots": F.sum("_s").over(w), "left": F.greatest(F.lit(0.0), F.least(F.lit(1.0), left))}).drop("_s", "_t")
+    left = F.coalesce(F.try_divide(F.max(clock).over(r) - F.col(clock), F.max(clock).over(r) - F.min(clock).over(r)), F.lit(0.0))
+    found = placed.withColumns({"site": F.when(F.col("prev_bomb_x").isNotNull(), F.least(*gaps)["name"]), "left": F.greatest(F.lit(0.0), F.least(F.lit(1.0), left))})
+    near = nearest_areas(last.where("alive").withColumn("_key", F.struct("round_id", "at", "player")), areas, reach, key="_key").select(F.col("_key.*"), "area")
+    return found.join(near, ["round_id", "at", "player"], "left").select("round_id", "at", "team", "player", *names, "area", "bomb", "site", "left")
 
 
 def split_groups(df: DataFrame, key: str, share: float = 0.8, seed: int = 0) -> DataFrame:

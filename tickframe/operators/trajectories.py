@@ -54,17 +54,24 @@ def mappings(n: int) -> list[tuple[int, list[int]]]:
     return [(k, list(p)) for k, p in enumerate(permutations(range(n)))]
 
 
-def label_by_match(sim: DataFrame, labels: DataFrame, default: float = 0.5) -> DataFrame:
-    """Each predicted one's label from its best match: pred, label. sim: pred, truth, rank; labels: truth, label."""
-    best = sim.where("rank = 1").join(labels, "truth", "left")
-    return sim.select("pred").distinct().join(best.select("pred", "label"), "pred", "left").select("pred", F.coalesce("label", F.lit(default)).alias("label"))
-
-
-def loo_eval(predicted: DataFrame, truth: DataFrame, key: str = "pred", bins: int = 10) -> DataFrame:
-    """Per decile of the true label: n, mean absolute error, and how many are on the right side of a half."""
-    both = predicted.withColumnRenamed("label", "guess").join(truth, key)
-    decile = F.least(F.lit(bins - 1), F.floor(F.col("label") * bins)).cast("int").alias("decile")
-    return both.groupBy(decile).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("guess") - F.col("label"))).alias("error"), F.count_if((F.col("guess") >= 0.5) == (F.col("label") >= 0.5)).alias("agree"))
+def label_by_match(sim: DataFrame, labels: DataFrame, leave_self_out: bool = False) -> DataFrame:
+    """pred, label: of each predicted round the label of its best match with one, by the slope-limited metric if it has such a
+    match, else by the free one; 0.5 without a match. leave_self_out: matches of every rank count but the round itself, and
+    -1 stands for none. sim: pred, metric (slope or free), rank (from 1), truth; labels: truth, label."""
+    own = sim.where(F.col("pred") != F.col("truth")) if leave_self_out else sim.where("rank = 1")
+    found = own.join(labels, "truth").groupBy("pred").agg(F.min_by("label", F.struct(F.col("metric") != "slope", "rank", "truth")).alias("label"))
+    return sim.select("pred").distinct().join(found, "pred", "left").select("pred", F.coalesce("label", F.lit(-1.0 if leave_self_out else 0.5)).alias("label"))
+
+
+def loo_eval(predicted: DataFrame, truth: DataFrame, test: DataFrame, key: str = "pred") -> DataFrame:
+    """Confusion counts: split (test or train), guess_decile and decile (tenths of the predicted and the true label, cut), n
+    and the mean absolute error. Predictions below 0, the unlabelled, have null deciles and no error. truth: key, label;
+    test: the keys of the test split."""
+    both = predicted.withColumnRenamed("label", "guess").join(truth, key).join(test.select(key).distinct().withColumn("_test", F.lit(True)), key, "left")
+    known = lambda c: F.when(F.col("guess") >= 0, c)
+    split = F.when(F.col("_test").isNotNull(), "test").otherwise("train").alias("split")
+    deciles = [known(F.floor(F.col(c) * 10)).cast("int").alias(n) for c, n in (("guess", "guess_decile"), ("label", "decile"))]
+    return both.groupBy(split, *deciles).agg(F.count(F.lit(1)).alias("n"), F.avg(known(F.abs(F.col("guess") - F.col("label")))).alias("error"))
 
 
 def find_similar(rows: DataFrame, ref: dict[str, float], radii: dict[str, float], group: str, tick: str = "tick_id") -> DataFrame:

@@ -98,11 +98,11 @@ def _(t):
     return e.deaths_at(t.kills, t.grenades, 3)
 
 
-@query("smoke_state", 'SELECT g.tick_id AS grenade, u.tick, max_by(p.x, p.tick_id) AS x, max_by(p.y, p.tick_id) AS y FROM grenades g CROSS JOIN LATERAL (SELECT unnest(generate_series(g.start, g."end", 5)) AS tick) u LEFT JOIN pat p ON p.player = g.thrower AND p.tick_id BETWEEN g.start AND u.tick GROUP BY ALL')
+@query("smoke_state", 'SELECT g.tick_id AS grenade, u.tick, CASE WHEN kind4 <> 3 AND u.tick >= g.start + 12 THEN $$active$$ ELSE $$thrown$$ END AS state, max_by(p.x, p.tick_id) AS x, max_by(p.y, p.tick_id) AS y FROM grenades g CROSS JOIN LATERAL (SELECT unnest(generate_series(g.start, g."end", 5)) AS tick) u LEFT JOIN pat p ON p.player = g.thrower AND p.tick_id BETWEEN g.start AND u.tick GROUP BY ALL')
 def _(t):
     from ..operators.joins import stab_join
 
-    g = t.grenades.select(F.col("tick_id").alias("grenade"), "start", "end", F.col("thrower").alias("player"))
+    g = t.grenades.select(F.col("tick_id").alias("grenade"), "start", F.when(F.col("kind4") != 3, F.col("start") + 12).alias("active"), "end", F.col("thrower").alias("player"))
     steps = stab_join(t.pat.select("player", F.col("tick_id").alias("tick"), "x", "y"), g, "tick", keys=["player"], width=64).select("grenade", "tick", "x", "y")
     return e.smoke_state(g, steps, 5)
 

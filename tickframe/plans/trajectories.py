@@ -158,23 +158,33 @@ def _(t):
     return tr.find_similar(t.pat, {"x": 40.0, "y": 50.0}, {"x": 15.0, "y": 20.0}, "round_id")
 
 
-_SIM = "sim AS (SELECT tick_id AS pred, (tick_id * 7) % 5000 AS truth FROM pat), labs AS (SELECT tick_id AS truth, y / 100 AS label FROM pat WHERE k % 4 > 0)"
+_SIM = """sim AS (SELECT tick_id AS pred, 'slope' AS metric, 1 AS rank, xor(tick_id, 1) AS truth FROM pat WHERE k % 3 > 0 UNION ALL SELECT tick_id, 'slope', 2, tick_id FROM pat WHERE k % 3 > 0
+  UNION ALL SELECT tick_id, 'free', 1, xor(tick_id, 2) FROM pat UNION ALL SELECT tick_id, 'free', 2, xor(tick_id, 4) FROM pat),
+labs AS (SELECT tick_id AS truth, y / 99 AS label FROM pat WHERE k % 4 > 0),
+ranked AS (SELECT pred, label, row_number() OVER (PARTITION BY pred ORDER BY metric = 'free', rank) AS n FROM sim JOIN labs USING (truth) WHERE {}),
+given AS (SELECT DISTINCT sim.pred, coalesce(label, {}) AS label FROM sim LEFT JOIN ranked r ON r.pred = sim.pred AND n = 1)"""
 
 
-def _sim(t):
-    sim = t.pat.select(F.col("tick_id").alias("pred"), ((F.col("tick_id") * 7) % 5000).alias("truth"), F.lit(1).alias("rank"))
-    return tr.label_by_match(sim, t.pat.where("k % 4 > 0").select(F.col("tick_id").alias("truth"), (F.col("y") / 100).alias("label")))
+def _sim(t, **how):
+    id_, pair = F.col("tick_id"), lambda metric, rank, truth, where="true": t.pat.where(where).select(F.col("tick_id").alias("pred"), F.lit(metric).alias("metric"), F.lit(rank).alias("rank"), truth.alias("truth"))
+    flip = lambda n: id_.bitwiseXOR(F.lit(n).cast("long"))
+    sim = pair("slope", 1, flip(1), "k % 3 > 0").union(pair("slope", 2, id_, "k % 3 > 0")).union(pair("free", 1, flip(2))).union(pair("free", 2, flip(4)))
+    return tr.label_by_match(sim, t.pat.where("k % 4 > 0").select(id_.alias("truth"), (F.col("y") / 99).alias("label")), **how)
 
 
-@query("label_by_match", "SELECT pred, coalesce(label, 0.5) AS label FROM sim LEFT JOIN labs USING (truth)", _SIM)
+@query("label_by_match", "SELECT pred, label FROM given", _SIM.format("rank = 1", "0.5"))
 def _(t):
     return _sim(t)
 
 
-@query("loo_eval", "SELECT least(9, floor(l.label * 10))::INT AS decile, count(*) AS n, round(avg(abs(coalesce(m.label, 0.5) - l.label)), 6) AS error, count(*) FILTER ((coalesce(m.label, 0.5) >= 0.5) = (l.label >= 0.5)) AS agree FROM sim s LEFT JOIN labs m USING (truth) JOIN labs l ON l.truth = s.pred GROUP BY 1", _SIM)
+@query(
+    "loo_eval",
+    "SELECT CASE WHEN g.pred % 5 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN g.label >= 0 THEN floor(g.label * 10) END::INT AS guess_decile, CASE WHEN g.label >= 0 THEN floor(l.label * 10) END::INT AS decile, count(*) AS n, round(avg(CASE WHEN g.label >= 0 THEN abs(g.label - l.label) END), 6) AS error FROM given g JOIN labs l ON l.truth = g.pred GROUP BY 1, 2, 3",
+    _SIM.format("pred <> truth", "-1.0"),
+)
 def _(t):
-    truth = t.pat.where("k % 4 > 0").select(F.col("tick_id").alias("pred"), (F.col("y") / 100).alias("label"))
-    return _r(tr.loo_eval(_sim(t), truth), "error")
+    truth = t.pat.where("k % 4 > 0").select(F.col("tick_id").alias("pred"), (F.col("y") / 99).alias("label"))
+    return _r(tr.loo_eval(_sim(t, leave_self_out=True), truth, t.pat.where("tick_id % 5 = 0").select(F.col("tick_id").alias("pred"))), "error")
 
 
 _HM = "hm AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER o, 2) + power(y - lag(y) OVER o, 2)), 0.0) AS speed FROM pat WINDOW o AS (PARTITION BY round_id, player ORDER BY gt, tick_id))"
@@ -261,16 +271,18 @@ def _(t):
     return b.baiters(k, t.pat, 3600, 30.0)
 
 
-@query(
-    "ds_aim",
-    'SELECT tick_id, attacker, victim, xb AS "x (t-1)", xa AS "x (t+1)" FROM (SELECT p.*, e.attacker, e.victim, row_number() OVER (PARTITION BY tick_id ORDER BY e.start, e.stop DESC, e.victim) AS n FROM (SELECT *, lag(x) OVER o AS xb, lead(x) OVER o AS xa FROM pat WINDOW o AS (PARTITION BY round_id, player ORDER BY gt, tick_id)) p JOIN eng e ON e.round_id = p.round_id AND e.attacker = p.player AND p.gt BETWEEN e.start AND e.stop) WHERE n = 1',
-    _ENG,
-)
+_AIM = """, windowed AS (SELECT *, lag(x) OVER o AS xb, lead(x) OVER o AS xa, bool_and(alive) OVER (PARTITION BY round_id, player ORDER BY gt, tick_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS lives FROM pat WINDOW o AS (PARTITION BY round_id, player ORDER BY gt, tick_id)),
+chosen AS (SELECT p.*, e.attacker, e.victim, e.start, e.stop, list_max(hurt_ids) >= p.tick_id AS hit FROM windowed p JOIN eng e ON e.round_id = p.round_id AND e.attacker = p.player AND p.gt BETWEEN e.start AND e.stop WHERE lives
+  QUALIFY row_number() OVER (PARTITION BY p.tick_id, e.attacker ORDER BY hit DESC, CASE WHEN hit THEN e.start END, CASE WHEN hit THEN e.victim END, CASE WHEN NOT hit THEN e.stop END DESC, CASE WHEN NOT hit THEN e.victim END DESC) = 1),
+aimed AS (SELECT c.*, c.view - degrees(atan2(v.y - c.y, v.x - c.x)) + 180 AS raw FROM chosen c ASOF LEFT JOIN pat v ON v.round_id = c.round_id AND v.player = c.victim AND v.tick_id <= c.tick_id)"""
+
+
+@query("ds_aim", 'SELECT tick_id, attacker, victim, xb AS "x (t-1)", xa AS "x (t+1)", round(raw - 360 * floor(raw / 360) - 180, 6) AS turn FROM aimed', _ENG + _AIM)
 def _(t):
-    return g.aim_rows(_eng(t), t.pat, 4800, 1, 1, ["x"]).select("tick_id", "attacker", "victim", "x (t-1)", "x (t+1)")
+    return _r(g.aim_rows(_eng(t), t.pat, 4800, 1, 1, ["x"]).select("tick_id", "attacker", "victim", "x (t-1)", "x (t+1)", "turn"), "turn")
 
 
-@query("ds_aim_link", "SELECT round_id, attacker, victim, start, tick_id, stop - gt AS to_end FROM (SELECT p.tick_id, p.gt, e.*, row_number() OVER (PARTITION BY tick_id ORDER BY e.start, e.stop DESC, e.victim) AS n FROM pat p JOIN eng e ON e.round_id = p.round_id AND e.attacker = p.player AND p.gt BETWEEN e.start AND e.stop) WHERE n = 1", _ENG)
+@query("ds_aim_link", "SELECT round_id, attacker, victim, start, tick_id, stop - gt AS to_end FROM chosen", _ENG + _AIM)
 def _(t):
     return g.aim_links(_eng(t), g.aim_rows(_eng(t), t.pat, 4800, 1, 1, ["x"]))
 
@@ -300,9 +312,26 @@ def _(t):
     return g.engage_rows(t.pat).select("tick_id", "fires_soon", "hurt_before")
 
 
-@query("team_features", "SELECT round_id, at, player, x, sum(s) OVER (PARTITION BY round_id, player ORDER BY at)::BIGINT AS shots, round(coalesce((max(tt) OVER (PARTITION BY round_id) - tt) / nullif(max(tt) OVER (PARTITION BY round_id) - min(tt) OVER (PARTITION BY round_id), 0), 0.0), 6) AS \"left\" FROM (SELECT round_id, gt // 7200 AS at, player, arg_max(x, gt * 1000000 + tick_id) AS x, count(*) FILTER (kind = 'click') AS s, max(gt) AS tt FROM pat GROUP BY ALL)")
+_TEAM = """starts AS (SELECT *, row_number() OVER (PARTITION BY round_id, team ORDER BY f, player) - 1 AS slot FROM (SELECT round_id, team, player, min(tick_id) AS f FROM pat GROUP BY ALL)),
+counted AS (SELECT p.*, slot, tick_id - max(CASE WHEN kind = 'click' THEN tick_id END) OVER u AS since_shot, tick_id - max(CASE WHEN kind = 'error' THEN tick_id END) OVER u AS since_hurt, count(*) FILTER (kind = 'click') OVER u AS shots, gt // 7200 AS "when"
+  FROM pat p JOIN starts USING (round_id, team, player) WHERE slot < 5 WINDOW u AS (PARTITION BY round_id, player ORDER BY gt, tick_id ROWS UNBOUNDED PRECEDING)),
+latest AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY round_id, "when", player ORDER BY gt DESC, tick_id DESC) = 1),
+planted AS (SELECT round_id, min(tick_id) AS plant FROM grenades WHERE kind4 = 1 GROUP BY 1), saved AS (SELECT round_id, min(tick_id) AS defusal FROM kills WHERE headshot AND tick_id % 16 = 0 GROUP BY 1),
+box AS (SELECT l.round_id, l.tick_id, area, row_number() OVER (PARTITION BY l.tick_id ORDER BY sqrt(power(greatest(x0 - x, 0, x - x1), 2) + power(greatest(y0 - y, 0, y - y1), 2) + power(greatest(z0 - z, 0, z - z1), 2)), area) AS n FROM latest l, areas WHERE alive),
+carried AS (SELECT round_id, tick_id, (tick_id % 97)::DOUBLE AS bx, (tick_id % 89)::DOUBLE AS "by" FROM pat WHERE kind <> 'view')"""
+
+
+@query(
+    "team_features",
+    "SELECT l.round_id, \"when\" AS at, l.team, player, slot, round(x, 6) AS x, alive, since_shot, since_hurt, shots, area, CASE WHEN defusal <= l.tick_id THEN 'defused' WHEN plant <= l.tick_id THEN 'planted' ELSE 'carried' END AS bomb, CASE WHEN bx IS NOT NULL THEN CASE WHEN sqrt(power(bx - 20, 2) + power(\"by\" - 70, 2)) <= sqrt(power(bx - 80, 2) + power(\"by\" - 30, 2)) THEN 'A' ELSE 'B' END END AS site, round(coalesce((max(gt) OVER r - gt) / nullif(max(gt) OVER r - min(gt) OVER r, 0), 0.0), 6) AS \"left\" FROM latest l LEFT JOIN planted USING (round_id) LEFT JOIN saved USING (round_id) LEFT JOIN box ON box.tick_id = l.tick_id AND n = 1 ASOF LEFT JOIN carried c ON c.round_id = l.round_id AND c.tick_id <= l.tick_id WINDOW r AS (PARTITION BY l.round_id)",
+    _TEAM,
+)
 def _(t):
-    return _r(g.team_features(t.pat, 7200).select("round_id", "at", "player", "x", "shots", "left"), "left")
+    bomb = t.pat.where("kind <> 'view'").select("tick_id", (F.col("tick_id") % 97).cast("double").alias("bomb_x"), (F.col("tick_id") % 89).cast("double").alias("bomb_y"))
+    plants = t.grenades.where("kind4 = 1").select("round_id", "tick_id")
+    defusals = t.kills.where("headshot AND tick_id % 16 = 0").select("round_id", "tick_id")
+    out = g.team_features(t.pat, 7200, plants, defusals, bomb, {"A": (20.0, 70.0), "B": (80.0, 30.0)}, t.areas, 20.0)
+    return _r(out.drop("y", "z"), "x", "left")
 
 
 @query("split_groups", "SELECT tick_id, round_id, CASE WHEN ('0x' || substr(md5('0:' || round_id), 1, 8))::BIGINT % 10000 < 8000 THEN 'train' ELSE 'test' END AS split FROM pat")
