@@ -240,7 +240,7 @@ def test_new_files_only(spark, tmp_path):
 #: Queries that run models or streams when they are made; their joins are those of the others.
 RUN_AT_ONCE = {"rest_clusters", "peek_kmeans", "log_reg", "st_count", "st_count_sliding", "st_engage", "st_events", "st_evict", "st_fire", "st_aim", "st_replay", "st_reset"}
 #: One task sees a row a group (of a few named groups) or a row a range of values here, or only an aggregate's partial rows.
-FEW_ROWS = {"sum_diff", "trial_summary", "assign_ids", "cum_sample_split", "rank_tests", "q_vis_compare"}
+FEW_ROWS = {"sum_diff", "trial_summary", "assign_ids", "cum_sample_split", "remix_setups", "infer_time", "rank_tests", "q_vis_compare"}
 
 
 @pytest.mark.parametrize("limit", ["-1"])
