@@ -1,6 +1,5 @@
 """Edge cases and properties of operators."""
 
-import itertools
 import math
 import random
 
@@ -9,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickframe.functions import scalars as s
-from tickframe.operators import behaviour, cleaning, distributions, events, joins, spatial, training, trajectories, windows
+from tickframe.operators import behaviour, cleaning, distributions, events, joins, spatial, training, windows
 from tickframe.sources import tables
 
 

@@ -6,11 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as sc
 from ..operators import intervals as v
 from ..operators import windows as w
 from ..sources import tables as tab
-from ..streaming import state as st
 from .domain import query
 from .spatial import _REACH, _edges
 
