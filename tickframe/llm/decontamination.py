@@ -11,7 +11,7 @@ characters is sent to the tasks and each block is one pass, whose matches are wr
 fetched. `contamination` doesn't shuffle the documents.
 
 Items with fewer than `least_words` words are matched exactly (budget 0), word for word; in scripts that put no spaces
-between words (Han, kana, Thai and others) each character is a word. Ids may be of any type. Items without words match nothing. Null and empty texts match nothing. Null ids, of documents and of items,
+between words (Han, kana, Thai and others) each character is a word, and two of them count as one for that bound. Ids may be of any type. Items without words match nothing. Null and empty texts match nothing. Null ids, of documents and of items,
 are carried along; a document with a null id, or one of several rows with an id, is told by its text as well when found
 documents are taken out. Repeated rows and repeated items each give their own rows. Other columns are not read by
 `contamination` and pass through `decontaminate`. Empty tables give an empty result.
@@ -31,6 +31,7 @@ from .common import fresh, keep
 
 # Characters of scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han), each a word of its own.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SINGLE = re.compile(rf"[{_UNSPACED}]")
 _WORDS = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 MATCHES = "doc_id string, row long, item_id string, distance int, budget int, first_word int, n_words int"
 
@@ -49,6 +50,12 @@ def allowed(n: int, rate: float, least_words: int) -> int:
     return budget(n, rate) if n >= least_words else 0
 
 
+def errors(ws: list[str], rate: float, least_words: int) -> int:
+    """The edits allowed for an item of these words. For the bound two characters of a script without spaces are one word."""
+    singles = sum(len(w) == 1 and bool(_SINGLE.match(w)) for w in ws)
+    return allowed(len(ws), rate, least_words) if len(ws) - singles / 2 >= least_words else 0
+
+
 def pieces(n: int, errors: int) -> list[tuple[int, int]]:
     """errors + 1 stretches of nearly equal length that cover n words."""
     cuts = [n * k // (errors + 1) for k in range(errors + 2)]
@@ -86,7 +93,7 @@ def _matcher(items: list[tuple[str | None, list[str]]], rate: float, least_words
 
         machine, at = ahocorasick.Automaton(), {}
         for k, (_, ws) in enumerate(items):
-            for a, b in pieces(len(ws), allowed(len(ws), rate, least_words)):
+            for a, b in pieces(len(ws), errors(ws, rate, least_words)):
                 at.setdefault(" " + " ".join(ws[a:b]) + " ", []).append((k, a))
         for piece, places in at.items():
             machine.add_word(piece, (len(piece), places))
@@ -110,7 +117,7 @@ def _matcher(items: list[tuple[str | None, list[str]]], rate: float, least_words
                         hits.setdefault(k, set()).add(first - a)
                 for k, diagonals in hits.items():
                     item, pattern = items[k]
-                    e = allowed(len(pattern), rate, least_words)
+                    e = errors(pattern, rate, least_words)
                     best = None
                     for lo, hi in _joined(sorted(diagonals), len(pattern) + 2 * e):
                         lo, hi = max(0, lo - e), min(len(ws), hi + len(pattern) + e)
