@@ -58,7 +58,7 @@ def loops(rows, ahead):
     return sorted((r.tick_id, r.player, (min if ahead else max)([f.tick_id for f in rows if f.player == r.player and f.kind == "click" and (f.tick_id >= r.tick_id if ahead else f.tick_id <= r.tick_id)], default=-1)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["asof_prev"])
+@pytest.mark.parametrize("name", ["asof_prev", "asof_next"])
 def test_nearest_event_of_any_round(spark, name):
     rows = Tables(spark, AT).pat.select("tick_id", "round_id", "player", "kind").collect()
     got = sorted((r[0], r[1], -1 if r[2] is None else r[2]) for r in registry.QUERIES[name](spark, AT).select("tick_id", "player", name.split("_")[1] + "_fire").collect())
@@ -67,7 +67,7 @@ def test_nearest_event_of_any_round(spark, name):
     assert sum(rounds[tick] != rounds.get(near) for tick, _, near in got if near >= 0) > 400  # an earlier day's, or a later one's
 
 
-@pytest.mark.parametrize("name", ["asof_prev"])
+@pytest.mark.parametrize("name", ["asof_prev", "asof_next"])
 def test_odd_events(spark, ranges, odd, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{odd}/events.parquet'")
