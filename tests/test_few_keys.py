@@ -67,7 +67,19 @@ def test_nearest_event_of_any_round(spark, name):
     assert sum(rounds[tick] != rounds.get(near) for tick, _, near in got if near >= 0) > 400  # an earlier day's, or a later one's
 
 
-@pytest.mark.parametrize("name", ["asof_prev", "asof_next"])
+def test_counters_go_over_rounds(spark):
+    rows = sorted(Tables(spark, AT).pat.select("gt", "tick_id", "round_id", "player", "kind").collect())
+    want, at, began, over = {}, {}, {}, 0
+    for r in rows:
+        at[r.player, r.kind] = r.gt
+        since = [None if (r.player, kind) not in at else r.gt - at[r.player, kind] for kind in ("error", "click")]
+        began.setdefault(r.round_id, r.gt)
+        want[r.tick_id] = tuple(since)
+        over += sum(s is not None and r.gt - s < began[r.round_id] for s in since)
+    assert {r.tick_id: (r.since_hurt, r.since_fire) for r in registry.QUERIES["tick_counters"](spark, AT).collect()} == want and over > 900
+
+
+@pytest.mark.parametrize("name", ["asof_prev", "asof_next", "tick_counters"])
 def test_odd_events(spark, ranges, odd, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{odd}/events.parquet'")
