@@ -25,3 +25,10 @@ def frames(df) -> set[str]:
 def test_no_frame_from_the_row_to_the_end(spark, name):
     found = frames(registry.QUERIES[name](spark, AT))
     assert found and not [f for f in found if "unboundedfollowing" in f and "unboundedpreceding" not in f]
+
+
+@pytest.mark.parametrize("name", ["q_hand_others", "q_vis_others"])
+def test_no_pairs_of_spans(spark, name):
+    """Spans are dealt to other players, not to every bucket of the clock they touch."""
+    plan = registry.QUERIES[name](spark, AT)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan

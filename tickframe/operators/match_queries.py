@@ -289,25 +289,29 @@ def q_vis_alive(t) -> DataFrame:
     return q_vis_locate(t).join(alive, ["start_tick", "spotter_id"])
 
 
-def _others(spans: DataFrame, keys: list[str], own: list[str], width: int) -> DataFrame:
+def _others(spans: DataFrame, keys: list[str], own: list[str]) -> DataFrame:
     """spans with the number of other players whom the spotter sees during each. Ranges are half-open; one without an
-    end goes on forever."""
+    end goes on forever. A span asks for each other player of its keys, once: it overlaps one of that player's spans if those
+    that begin before its end reach beyond its start. No two spans are paired."""
     bounds = {"a_start": F.col("start_gt"), "a_end": F.coalesce("end_gt", F.lit(FOREVER))}
     a = spans.select(*keys, "spotted_id", "start_gt", "end_gt").distinct().withColumns(bounds).where("a_start < a_end")
-    b = a.select(*keys, F.col("spotted_id").alias("other"), F.col("a_start").alias("b_start"), F.col("a_end").alias("b_end"))
-    n = overlap_join(a, b, keys, False, width).where("spotted_id <> other").groupBy(*keys, "spotted_id", "start_gt", "end_gt").agg(F.count_distinct("other").alias("n"))
+    asks = a.join(a.select(*keys, F.col("spotted_id").alias("other")).distinct(), keys).where("spotted_id <> other").select(*keys, "other", "spotted_id", "start_gt", "end_gt", "a_start", F.col("a_end").alias("at"), F.lit(0).alias("_b"))
+    tells = a.select(*keys, F.col("spotted_id").alias("other"), F.col("a_start").alias("at"), F.lit(1).alias("_b"), F.col("a_end").alias("b_end"))
+    reach = F.max("b_end").over(so_far([*keys, "other"], ["at", "_b"]))
+    met = asks.unionByName(tells, allowMissingColumns=True).withColumn("reach", reach).where("_b = 0 AND reach > a_start")
+    n = met.groupBy(*keys, "spotted_id", "start_gt", "end_gt").agg(F.count(F.lit(1)).alias("n"))
     counted = n.select(*[F.col(c).alias(f"_{c}") for c in own], "n")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own])
     return spans.join(counted, same, "left").withColumn("others", F.coalesce("n", F.lit(0))).drop("n", *[f"_{c}" for c in own])
 
 
 def q_vis_others(t, parity: bool = False, width: int = 100_000) -> DataFrame:
-    """parity: spans of all techniques count as others. width: of the buckets in which spans meet."""
+    """parity: spans of all techniques count as others. width: of the buckets in which spans met once; changes nothing."""
     spans = cut(q_vis_alive(t))  # read three times below
     if not parity:
-        return _others(spans, ["demo", "technique", "spotter_id"], ["demo", "technique", *PAIR, "start_gt", "end_gt"], width)
+        return _others(spans, ["demo", "technique", "spotter_id"], ["demo", "technique", *PAIR, "start_gt", "end_gt"])
     keys = ["demo", "spotter_id"]
-    plain = _others(spans.select(*keys, "spotted_id", "start_gt", "end_gt").distinct(), keys, [*keys, "spotted_id", "start_gt", "end_gt"], width)
+    plain = _others(spans.select(*keys, "spotted_id", "start_gt", "end_gt").distinct(), keys, [*keys, "spotted_id", "start_gt", "end_gt"])
     named = plain.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "spotted_id", "start_gt", "end_gt")], "others")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "spotted_id", "start_gt", "end_gt")])
     return spans.join(named, same).drop(*[f"_{c}" for c in (*keys, "spotted_id", "start_gt", "end_gt")])
@@ -412,7 +416,8 @@ def q_vis_compare(t) -> DataFrame:
 
 
 def q_hand_others(t, width: int = 100_000) -> DataFrame:
-    return _others(cut(q_vis_compare(t)), ["demo", "spotter_id"], ["demo", *PAIR, "start_gt", "end_gt"], width)
+    """+ the number of others in sight meanwhile. width: as in q_vis_others."""
+    return _others(cut(q_vis_compare(t)), ["demo", "spotter_id"], ["demo", *PAIR, "start_gt", "end_gt"])
 
 
 def q_hand_aim(t, before: float = 64 * 3, least_look: float = 0.1) -> DataFrame:
