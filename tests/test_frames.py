@@ -8,7 +8,7 @@ from tickframe.plans import registry
 
 AT = "/root/testdata/sf0.001"
 #: Their frames began at the row and ended with the key, which Spark reads anew for each row.
-TO_THE_END = ["seconds_since_hit", "lookforward", "q_vis_compare"]
+TO_THE_END = ["seconds_since_hit", "lookforward", "q_vis_compare", "q_hand_final"]
 
 
 def frames(df) -> set[str]:
