@@ -1,9 +1,12 @@
 """Window frames whose cost grows with the rows of a key for each row: none may be left in the queries named here."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tickframe.operators import windows
 from tickframe.plans import registry
 
 AT = "/root/testdata/sf0.001"
@@ -32,3 +35,22 @@ def test_no_pairs_of_spans(spark, name):
     """Spans are dealt to other players, not to every bucket of the clock they touch."""
     plan = registry.QUERIES[name](spark, AT)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+@pytest.mark.parametrize("name", ["future_label"])
+def test_frames_only_grow(spark, name):
+    """A frame that slides is read anew for each row, so it may only be a row or so wide (lag, lead)."""
+    found = [[b.strip("$()") for b in f.split(", ")] for f in frames(registry.QUERIES[name](spark, AT))]
+    assert found and not [f for f in found if f[1] != "unboundedpreceding" and not (f[0] == "RowFrame" and f[1] == f[2])]
+
+
+def test_last_row_within_the_horizon(spark):
+    """Ties, gaps, and rows too near, against a loop."""
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.randrange(300), k, rng.choice("xyz")) for k in range(200)]
+    df = spark.createDataFrame(rows, "key string, gt long, tick_id long, kind string")
+    got = {r.tick_id: r.label for r in windows.future_label(df.withColumn("v", F.struct("tick_id", "kind")), "v", 20, ["key"], least=5).collect()}
+    for key, gt, tick, _ in rows:
+        ahead = [(g, t, kind) for k, g, t, kind in rows if k == key and gt + 5 <= g <= gt + 20]
+        assert (got[tick] and tuple(got[tick])) == (max(ahead)[1:] if ahead else None)
+    assert None in got.values()
