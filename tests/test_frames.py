@@ -37,7 +37,7 @@ def test_no_pairs_of_spans(spark, name):
     assert "Generate" not in plan
 
 
-@pytest.mark.parametrize("name", ["future_label"])
+@pytest.mark.parametrize("name", ["future_label", "merge_intervals"])
 def test_frames_only_grow(spark, name):
     """A frame that slides is read anew for each row, so it may only be a row or so wide (lag, lead)."""
     found = [[b.strip("$()") for b in f.split(", ")] for f in frames(registry.QUERIES[name](spark, AT))]

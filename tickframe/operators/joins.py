@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -117,8 +117,6 @@ def quiet_rounds(rounds: DataFrame, events: DataFrame, least: int, round_id: str
 
 def with_group(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
     """Aggregates of the row's group beside the row, without a join."""
-    from pyspark.sql import Window
-
     return df.withColumns({n: a.over(Window.partitionBy(*keys)) for n, a in aggs.items()})
 
 
@@ -139,9 +137,9 @@ def set_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", slack: int = 2, last_end: bool = False) -> DataFrame:
     """Intervals of a key merged where the next begins at most slack after the end so far. last_end: end where the
     last one ends, even if an earlier one ends later."""
-    from .windows import islands, over, so_far
+    from .windows import islands, over
 
-    before = F.max(end).over(so_far(keys, [start, end]).rowsBetween(-(1 << 31), -1)) if not last_end else F.lag(end).over(over(keys, [start, end]))
+    before = F.max(end).over(over(keys, [start, end]).rowsBetween(Window.unboundedPreceding, -1)) if not last_end else F.lag(end).over(over(keys, [start, end]))
     marked = islands(df, keys, [start, end], F.col(start) > before + slack)
     stop = F.max_by(end, F.struct(start, end)) if last_end else F.max(end)
     return marked.groupBy(*keys, "island").agg(F.min(start).alias(start), stop.alias(end)).drop("island")
