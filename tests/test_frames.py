@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tickframe.operators import windows
+from tickframe.operators import events, windows
 from tickframe.plans import registry
 
 AT = "/root/testdata/sf0.001"
@@ -37,7 +37,7 @@ def test_no_pairs_of_spans(spark, name):
     assert "Generate" not in plan
 
 
-@pytest.mark.parametrize("name", ["future_label", "merge_intervals"])
+@pytest.mark.parametrize("name", ["future_label", "merge_intervals", "c4_approach"])
 def test_frames_only_grow(spark, name):
     """A frame that slides is read anew for each row, so it may only be a row or so wide (lag, lead)."""
     found = [[b.strip("$()") for b in f.split(", ")] for f in frames(registry.QUERIES[name](spark, AT))]
@@ -54,3 +54,11 @@ def test_last_row_within_the_horizon(spark):
         ahead = [(g, t, kind) for k, g, t, kind in rows if k == key and gt + 5 <= g <= gt + 20]
         assert (got[tick] and tuple(got[tick])) == (max(ahead)[1:] if ahead else None)
     assert None in got.values()
+
+
+def test_of_rows_at_one_clock_the_last_tick_counts(spark):
+    rows = [(1, 0, 1, 50.0), (1, 10, 2, 90.0), (1, 10, 3, 20.0), (1, 40, 4, None)]
+    df = spark.createDataFrame(rows, "key long, gt long, tick_id long, x double")
+    got = {r.tick_id: r.approaches for r in events.c4_approach(df, "x", 15, 10, ["key"]).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: None}
+    assert {r.tick_id: r.approaches for r in events.c4_approach(df, "x", 60, 10, ["key"]).collect()} == got  # a row without a distance is passed over
