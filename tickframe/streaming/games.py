@@ -3,14 +3,16 @@
 A tick is all rows of a game with one tick_id; ticks go by (gt, tick_id). If any row of a tick has the reset flag, the whole
 game is forgotten before the tick counts. A player whose last row is more than `forget` clock units before a tick is
 forgotten by then; a timer forgets games that fell silent, by event time, of which `unit_ms` are a clock unit. What is forgotten begins anew. A micro-batch
-must bring a game's ticks whole and in order; its rows of one game are sorted in memory. Rows later than the watermark are
-dropped by Spark.
+must bring a game's ticks whole and in order; its rows of one game are sorted in memory, then walked as plain tuples, a
+slice of them at a time. Rows later than the watermark are dropped by Spark.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,13 +22,22 @@ from pyspark.sql.streaming import StatefulProcessor
 FIRE = "game long, player long, tick_id long, gt long, since_fire long, since_hold long, holding boolean, shots long, hit boolean, victims array<long>, known int, evicted long"
 AIM = "game long, player long, tick_id long, gt long, target long, far double, turn double, since_first double, change double, target_alive boolean, target_speed double"
 _CLOCK = "gt long, ms long, evicted long, timer long"
+_SLICE = 20_000  # rows that are tuples at a time, and results a frame
+
+
+def _tuples(batch: pd.DataFrame, columns: tuple[str, ...]) -> Iterator[tuple]:
+    """The rows of a frame as tuples of Python values."""
+    for at in range(0, len(batch), _SLICE):
+        part = batch.iloc[at : at + _SLICE]
+        yield from zip(*(part[c].tolist() for c in columns))
 
 
 class _Game(StatefulProcessor):
     """Loads a game's players, goes through its ticks, and writes back what changed. Subclasses name the state of a player
-    (VALUE, whose first column is the gt of its last row) and the result, and step a row."""
+    (VALUE, whose first column is the gt of its last row), the columns that they read (ROW) and the result, and step a row."""
 
     VALUE = "gt long"
+    ROW: tuple[str, ...] = ()
     RESULT = ""
 
     def __init__(self, forget: int, unit_ms: int):
@@ -37,7 +48,7 @@ class _Game(StatefulProcessor):
         self.players = handle.getMapState("players", "player long", self.VALUE)
         self.clock = handle.getValueState("clock", _CLOCK)
 
-    def step(self, game: int, row, known: dict[int, tuple], evicted: int) -> tuple:
+    def step(self, game: int, row: tuple, known: dict[int, tuple], evicted: int) -> tuple | None:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -46,16 +57,26 @@ class _Game(StatefulProcessor):
         before = dict(known)
         _, ms, evicted, timer = self.clock.get() if self.clock.exists() else (0, 0, 0, 0)
         batch = pd.concat(list(rows)).sort_values(["gt", "tick_id", "player"], kind="stable")
-        out = []
-        for (gt, _), tick in batch.groupby(["gt", "tick_id"], sort=False):
-            if tick["reset"].any():
+        names, out = [c.split()[0] for c in self.RESULT.split(", ")], []
+        oldest = min((v[0] for v in known.values()), default=math.inf)  # no player's last row is older
+        for (gt, _), tick in groupby(_tuples(batch, ("gt", "tick_id", "reset", *self.ROW)), itemgetter(0, 1)):
+            tick = list(tick)
+            if any(r[2] for r in tick):
                 known.clear()
-            for p in [p for p, v in known.items() if v[0] < gt - self.forget]:
-                del known[p]
-                evicted += 1
+            if oldest < gt - self.forget:
+                for p in [p for p, v in known.items() if v[0] < gt - self.forget]:
+                    del known[p]
+                    evicted += 1
+                oldest = min((v[0] for v in known.values()), default=math.inf)
+            oldest = min(oldest, gt)
             self.tick(known, tick)
-            out += [self.step(game, r, known, evicted) for r in tick.itertuples(index=False)]
-        out = [r for r in out if r is not None]
+            for r in tick:
+                result = self.step(game, r, known, evicted)
+                if result is not None:
+                    out.append(result)
+            if len(out) >= _SLICE:
+                yield pd.DataFrame(out, columns=names)
+                out = []
         for p in before.keys() - known.keys():
             self.players.removeKey((p,))
         for p, v in known.items():
@@ -68,9 +89,9 @@ class _Game(StatefulProcessor):
         timer = max(ms, timerValues.getCurrentWatermarkInMs()) + self.unit_ms * self.forget
         self.handle.registerTimer(timer)
         self.clock.update((int(batch["gt"].max()), ms, evicted, timer))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.RESULT.split(", ")])
+        yield pd.DataFrame(out, columns=names)
 
-    def tick(self, known: dict[int, tuple], rows: pd.DataFrame) -> None:
+    def tick(self, known: dict[int, tuple], rows: list[tuple]) -> None:
         """What a tick changes before its rows are stepped."""
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -86,24 +107,26 @@ class _Game(StatefulProcessor):
 
 class FireState(_Game):
     VALUE = "gt long, since_fire long, since_hold long, holding boolean, recoil double, shots long"
+    ROW = ("player", "alive", "fired", "wants", "recoil", "reloading", "victims")
     RESULT = FIRE
 
     def __init__(self, forget: int, unit_ms: int, cap: int, floor: float):
         super().__init__(forget, unit_ms)
         self.cap, self.floor = cap, floor
 
-    def step(self, game: int, row, known: dict[int, tuple], evicted: int) -> tuple:
-        prior, cap = known.get(row.player), self.cap
-        shots = (prior[5] if prior else 0) + bool(row.fired)
-        if prior is None or not row.alive:
-            now, victims = (row.gt, cap, cap, False, row.recoil, shots), []
+    def step(self, game: int, row: tuple, known: dict[int, tuple], evicted: int) -> tuple:
+        gt, tick_id, _, player, alive, fired, wants, recoil, reloading, struck = row
+        prior, cap = known.get(player), self.cap
+        shots = (prior[5] if prior else 0) + bool(fired)
+        if prior is None or not alive:
+            now, victims = (gt, cap, cap, False, recoil, shots), []
         else:
-            _, fire, hold, held, recoil, _ = prior
-            held = not row.reloading and row.recoil > self.floor and (row.recoil > recoil or (row.recoil == recoil and held))
-            now = (row.gt, 0 if row.fired else min(cap, fire + 1), 0 if row.wants else min(cap, hold + 1), bool(held), row.recoil, shots)
-            victims = sorted({int(v) for v in row.victims}) if row.victims is not None else []
-        known[row.player] = now
-        return game, row.player, row.tick_id, row.gt, *now[1:4], shots, bool(victims), victims, len(known), evicted
+            _, fire, hold, held, was, _ = prior
+            held = not reloading and recoil > self.floor and (recoil > was or (recoil == was and held))
+            now = (gt, 0 if fired else min(cap, fire + 1), 0 if wants else min(cap, hold + 1), bool(held), recoil, shots)
+            victims = sorted({int(v) for v in struck}) if struck is not None else []
+        known[player] = now
+        return game, player, tick_id, gt, *now[1:4], shots, bool(victims), victims, len(known), evicted
 
 
 def fire_state(stream: DataFrame, cap: int = 1000, floor: float = 0.5, late: str = "10 minutes", forget: int = 86_400, unit_ms: int = 1000, ts: str = "ts") -> DataFrame:
@@ -119,33 +142,35 @@ def fire_state(stream: DataFrame, cap: int = 1000, floor: float = 0.5, late: str
 
 class AimState(_Game):
     VALUE = "gt long, alive boolean, x double, y double, at long, speed double, target long, turns array<double>, first double"
+    ROW = ("player", "alive", "x", "y", "view", "target")
     RESULT = AIM
 
     def __init__(self, forget: int, unit_ms: int, back: int):
         super().__init__(forget, unit_ms)
         self.back = back
 
-    def tick(self, known: dict[int, tuple], rows: pd.DataFrame) -> None:
-        for r in rows.itertuples(index=False):
-            prior = known.get(r.player)
+    def tick(self, known: dict[int, tuple], rows: list[tuple]) -> None:
+        for gt, _, _, player, alive, to_x, to_y, _, _ in rows:
+            prior = known.get(player)
             _, _, x, y, at, speed, target, turns, first = prior if prior else (0, False, None, None, None, 0.0, None, [], None)
-            if r.alive:
-                speed = math.hypot(r.x - x, r.y - y) / (r.gt - at) if x is not None and r.gt > at else 0.0
-                x, y, at = r.x, r.y, r.gt
-            known[r.player] = (r.gt, bool(r.alive), x, y, at, speed if r.alive else 0.0, target, turns, first)
-
-    def step(self, game: int, row, known: dict[int, tuple], evicted: int) -> tuple | None:
-        own = known[row.player]
-        target = None if pd.isna(row.target) else int(row.target)
+            if alive:
+                speed = math.hypot(to_x - x, to_y - y) / (gt - at) if x is not None and gt > at else 0.0
+                x, y, at = to_x, to_y, gt
+            known[player] = (gt, bool(alive), x, y, at, speed if alive else 0.0, target, turns, first)
+
+    def step(self, game: int, row: tuple, known: dict[int, tuple], evicted: int) -> tuple | None:
+        gt, tick_id, _, player, alive, x, y, view, target = row
+        own = known[player]
+        target = None if pd.isna(target) else int(target)
         them = known.get(target) if target is not None else None
-        if not row.alive or them is None or them[2] is None:
-            known[row.player] = (*own[:6], None, [], None)
+        if not alive or them is None or them[2] is None:
+            known[player] = (*own[:6], None, [], None)
             return None
-        turn = (row.view - math.degrees(math.atan2(them[3] - row.y, them[2] - row.x)) + 180) % 360 - 180
+        turn = (view - math.degrees(math.atan2(them[3] - y, them[2] - x)) + 180) % 360 - 180
         turns, first = (list(own[7]), own[8]) if own[6] == target else ([], turn)
         change = turn - turns[0] if len(turns) == self.back else None
-        known[row.player] = (*own[:6], target, [*turns, turn][-self.back :], first)
-        return game, row.player, row.tick_id, row.gt, target, math.hypot(them[2] - row.x, them[3] - row.y), turn, turn - first, change, them[1], them[5]
+        known[player] = (*own[:6], target, [*turns, turn][-self.back :], first)
+        return game, player, tick_id, gt, target, math.hypot(them[2] - x, them[3] - y), turn, turn - first, change, them[1], them[5]
 
 
 def aim_state(stream: DataFrame, back: int = 3, late: str = "10 minutes", forget: int = 86_400, unit_ms: int = 1000, ts: str = "ts") -> DataFrame:
