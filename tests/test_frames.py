@@ -62,3 +62,21 @@ def test_of_rows_at_one_clock_the_last_tick_counts(spark):
     got = {r.tick_id: r.approaches for r in events.c4_approach(df, "x", 15, 10, ["key"]).collect()}
     assert got == {1: True, 2: True, 3: False, 4: None}
     assert {r.tick_id: r.approaches for r in events.c4_approach(df, "x", 60, 10, ["key"]).collect()} == got  # a row without a distance is passed over
+
+
+def test_pairs_of_a_full_range_join_are_not_shuffled(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = registry.QUERIES["full_range_join"](spark, AT)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above, joined = [], 0
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        above = [(d, node) for d, node in above if d < depth]
+        if "Join" in line:
+            joined += 1
+            assert not [node for _, node in above if "Exchange" in node]
+        above.append((depth, line))
+    assert joined

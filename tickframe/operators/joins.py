@@ -92,14 +92,30 @@ def right_range_join(spans: DataFrame, points: DataFrame, lo: str, hi: str, poin
 def full_range_join(spans: DataFrame, points: DataFrame, lo: str, hi: str, point: str, span_id: str, point_id: str, keys: Sequence[str] = (), width: int = 1000) -> DataFrame:
     """All spans and all points, side by side where the keys are equal and the point lies in [lo, hi], else alone with nulls.
 
-    Pairs of ids meet in buckets; both sides' rows are then joined to them by id, which leaves the unmatched ones. The ids
-    tell the rows of their table apart. A null key, bound or point matches nothing. Points' columns that spans also have,
-    keys among them, come as point_<name>."""
-    pairs = stab_join(points.select(*keys, point, point_id), spans.select(*keys, lo, hi, span_id), point, lo, hi, keys, width).select(span_id, F.col(point_id).alias("_p"))
+    Rows meet in buckets and leave from there: pairs, of which there may be very many, are not shuffled again. Spans whose
+    next point comes after their end, and points that no span begun before reaches, are found by one sort each and put beside
+    the pairs. A null key, bound or point matches nothing. Points' columns that spans also have, keys among them, come as
+    point_<name>. span_id and point_id, which tell the rows of their table apart, are not needed for it. Those sorts are by
+    key: without keys, each is one task."""
+    from .windows import asof_next, so_far
+
     named = {c: f"point_{c}" for c in points.columns if c in spans.columns}
     right = points.withColumnsRenamed(named)
-    left = spans.join(pairs, span_id, "left")
-    return left.join(right, F.col("_p") == F.col(named.get(point_id, point_id)), "full").drop("_p")
+    at = F.col(named.get(point, point))
+    equal = [F.col(k) == F.col(named[k]) for k in keys]
+    met = _buckets(spans, lo, hi, width, "_b").join(right.withColumn("_pb", F.floor(at / width)), reduce(Column.__and__, equal, F.col("_b") == F.col("_pb")))
+    pairs = met.where(at.between(F.col(lo), F.col(hi))).drop("_b", "_pb")
+
+    valid = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    told = points.where(valid & F.col(point).isNotNull()).select(*keys, F.col(point).alias("_at"))
+    next_point = asof_next(spans.withColumn("_at", F.col(lo)), told.withColumn("_p", F.col("_at")), keys, "_at", ["_p"])
+    lone_spans = next_point.where(~F.coalesce(F.col("next__p").between(F.col(lo), F.col(hi)), F.lit(False))).drop("_at", "next__p")
+
+    begun = spans.where(valid & (F.col(lo) <= F.col(hi))).select(*keys, F.col(lo).alias("_at"), F.lit(0).alias("_kind"), F.col(hi).alias("_hi"))
+    both = points.withColumns({"_at": F.col(point), "_kind": F.lit(1)}).unionByName(begun, allowMissingColumns=True)
+    reached = both.withColumn("_reach", F.max("_hi").over(so_far(keys, ["_at", "_kind"])))
+    lone_points = reached.where((F.col("_kind") == 1) & ~F.coalesce(F.col("_reach") >= F.col("_at"), F.lit(False))).select(*points.columns).withColumnsRenamed(named)
+    return pairs.unionByName(lone_spans, allowMissingColumns=True).unionByName(lone_points, allowMissingColumns=True)
 
 
 def semi(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
