@@ -13,7 +13,7 @@ AT = "/root/testdata/sf0.001"
 #: Their frames began at the row and ended with the key, which Spark reads anew for each row.
 TO_THE_END = [
     "seconds_since_hit", "lookforward", "q_vis_compare", "q_hand_final", "q_react_final", "event_distance",
-    "until_next", "hm_support", "q_react_split", "q_hand_fire", "q_react_fire",
+    "until_next", "hm_support", "q_react_split", "q_hand_fire", "q_react_fire", "q_react_cover",
 ]
 
 
