@@ -14,7 +14,7 @@ AT = "/root/testdata/sf0.001"
 TO_THE_END = [
     "seconds_since_hit", "lookforward", "q_vis_compare", "q_hand_final", "q_react_final", "event_distance",
     "until_next", "hm_support", "q_react_split", "q_hand_fire", "q_react_fire", "q_react_cover",
-    "q_hand_aim", "q_react_aim",
+    "q_hand_aim", "q_react_aim", "q_react_grouped",
 ]
 
 
