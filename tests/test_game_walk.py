@@ -85,3 +85,20 @@ def test_walk_by_slices(monkeypatch, make):
     assert walk(make(), [df]) == whole
     if isinstance(make(), games.FireState):
         assert whole[-1][-1] > 0 and {r[-2] for r in whole} >= {1, 5}  # players were forgotten, and known
+
+
+@pytest.mark.parametrize("forget, reset", [(86_400, 0), (86_400, 50), (60, 0)], ids=["st_fire", "st_reset", "st_evict"])
+def test_fire_knows_and_forgets(monkeypatch, forget, reset):
+    """How many players are known and forgotten, against a loop that looks at all of them at each row."""
+    monkeypatch.setattr(pd.DataFrame, "groupby", None)
+    df = rows(300).assign(reset=lambda d: d.tick_id % reset == 0 if reset else False)
+    want, last, gone, tick = [], {}, 0, None
+    for r in df.sort_values(["gt", "tick_id", "player"]).to_dict("records"):
+        if r["tick_id"] != tick and r["reset"]:
+            last = {}
+        tick, old = r["tick_id"], [p for p, at in last.items() if at < r["gt"] - forget]
+        gone += len(old)
+        last = {p: at for p, at in last.items() if p not in old} | {r["player"]: r["gt"]}
+        want.append((r["player"], tick, len(last), gone))
+    assert [(g[1], g[2], g[-2], g[-1]) for g in walk(games.FireState(forget, 1000, 1000, 0.5), [df])] == want
+    assert (gone > 0) == (forget == 60)
